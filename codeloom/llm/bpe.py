@@ -5,18 +5,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import map_pieces, text_bytes
+from .common import map_pieces
 
-#: Distinct words whose ids a task remembers; it forgets all beyond, and encodes a word again when it comes back.
-REMEMBERED = 200_000
-#: Longer words are encoded each time, so that what a task remembers stays small.
+#: Distinct words whose ids a worker remembers: as many recent ones again before they are forgotten.
+REMEMBERED = 150_000
+#: Longer words are encoded each time, so that what a worker remembers stays small.
 LONGEST_REMEMBERED = 64
+#: Stands between words in the array of symbols; no rank is as high.
+EDGE = 1 << 31
+
+_codecs: dict[int, Codec] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,96 +44,106 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {r: t for t, r in ranks.items()}
+        self.token = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.token[r] = t
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _pair(self, a: int, b: int) -> int:
-        """The rank of the token that a pair makes, or -1."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        #: Rank of the token that two adjacent tokens make, by first << 32 | second.
+        self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, shared: Broadcast) -> Codec:
+        """The codec of a broadcast vocabulary; a worker process keeps the last one over its tasks."""
+        key = hash(frozenset(shared.value.items()))
+        if key not in _codecs:
+            _codecs.clear()
+            _codecs[key] = cls(shared.value)
+        return _codecs[key]
+
+    def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is itself a token stays whole, whether or not merges lead to it."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        sym: list[int] = []
+        out: list[list[int]] = [[]] * len(words)
+        sym: list[int] = [EDGE]
         begin: list[tuple[int, int]] = []
+        ids = self.byte_ids
         for k, w in enumerate(words):
             r = self.ranks.get(w)
             if r is not None:
-                out[k] = (r,)
+                out[k] = [r]
             elif w:
                 begin.append((k, len(sym)))
-                sym.extend(map(self.byte_ids.__getitem__, w))
-                sym.append(-1)  # the end of a word
-        n, pair = len(sym), self._pair
+                sym += [ids[b] for b in w]
+                sym.append(EDGE)
+        n, get = len(sym), self.pairs.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        made = [get(a << 32 | b, -1) for a, b in zip(sym, sym[1:], strict=False)]  # by each position and its right neighbour
+        made.append(-1)
         index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0:
-                r = pair(a, b)
-                if r >= 0:
-                    index.setdefault(r, []).append(i)
+        for i, r in enumerate(made):
+            if r >= 0:
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
         queue = list(index)
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            rank = heapq.heappop(queue)
-            places = index.pop(rank, None)
-            if places is None:
-                continue
+            rank = pop(queue)
+            places = index.pop(rank)
             places.sort()
+            high = rank << 32
             for i in places:
-                a, j = sym[i], right[i]
-                if a < 0 or j >= n or (b := sym[j]) < 0 or pair(a, b) != rank:
-                    continue  # touched since it was indexed
-                sym[i], sym[j] = rank, -2
+                if made[i] != rank:  # touched since it was indexed
+                    continue
+                j = right[i]
                 k = right[i] = right[j]
-                if k < n:
-                    left[k] = i
-                    if (c := sym[k]) >= 0 and (r := pair(rank, c)) >= 0:
-                        self._add(index, queue, r, i)
+                left[k] = i
+                sym[i] = rank
+                made[j] = -1
+                r = made[i] = get(high | sym[k], -1)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(queue, r)
                 h = left[i]
-                if h >= 0 and (c := sym[h]) >= 0 and (r := pair(c, rank)) >= 0:
-                    self._add(index, queue, r, h)
+                r = made[h] = get(sym[h] << 32 | rank, -1)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        push(queue, r)
         for k, i in begin:
-            ids = []
-            while sym[i] != -1:
-                ids.append(sym[i])
+            found = []
+            while (s := sym[i]) != EDGE:
+                found.append(s)
                 i = right[i]
-            out[k] = tuple(ids)
+            out[k] = found
         return out
 
-    @staticmethod
-    def _add(index, queue, rank, place):
-        if rank in index:
-            index[rank].append(place)
-        else:
-            index[rank] = [place]
-            heapq.heappush(queue, rank)
-
-    def encode_words(self, lists: list[list[str]]) -> list[list[int]]:
-        """Ids of each list of words; the words new to this task are replayed together."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for x in lists for w in x if w not in known})
-        fresh = dict(zip(new, self.replay([w.encode() for w in new]), strict=True))
-        known.update(fresh)
-        out = []
-        for x in lists:
-            ids: list[int] = []
-            for w in x:
-                ids += known[w]
-            out.append(ids)
-        for w in new:
+    def encode_words(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words, as little-endian unsigned 32-bit integers; words that the worker doesn't remember are replayed together."""
+        known, older = self.known, self.older
+        new, long = [], []
+        for w in set().union(*lists).difference(known):
+            if (x := older.get(w)) is not None:
+                known[w] = x
+            else:
+                new.append(w)
+        for w, x in zip(new, self.replay([w.encode() for w in new]), strict=True):
+            known[w] = array("I", x).tobytes()
             if len(w) > LONGEST_REMEMBERED:
-                del known[w]
+                long.append(w)
+        out = [b"".join(map(known.__getitem__, x)) for x in lists]
+        for w in long:
+            del known[w]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -153,18 +169,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
-            held.update(codec=Codec(shared.value), split=regex.compile(pattern))
+            held.update(codec=Codec.of(shared), split=regex.compile(pattern))
         codec, split = held["codec"], held["split"]
-        texts = text_bytes(batch.column(text))
-        found = codec.encode_words([split.findall(t.decode()) for t in texts])
+        found = codec.encode_words([split.findall(t or "") for t in batch.column(text).to_pylist()])
+        ids_of = [np.frombuffer(x, "<u4") for x in found]
         if digest:
             cols = [
-                pa.array([len(x) for x in found], pa.int64()),
-                pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in found], pa.string()),
-                pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in found], pa.string()),
+                pa.array([len(x) for x in ids_of], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                pa.array([hashlib.sha256(codec.decode(x.tolist())).hexdigest() for x in ids_of], pa.string()),
             ]
         else:
-            cols = [pa.array(found, pa.list_(pa.int32()))]
+            cols = [pa.array([x.astype(np.int32) for x in ids_of], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, *extra])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{k}` {v}" for k, v in extra.items())])
