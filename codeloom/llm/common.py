@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,30 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
 def crc_mod(col: str, m: int):
     """crc32 of an integer id as text, modulo m."""
     return F.crc32(F.col(col).cast("string")) % m
+
+
+#: Bits of the filter of ids: 8 MB, however many ids there are.
+ID_FILTER_BITS = 1 << 26
+
+
+def id_place(col: str):
+    """The place of an id in the filter."""
+    return F.pmod(F.xxhash64(col), F.lit(ID_FILTER_BITS))
+
+
+def id_filter(df: DataFrame, col: str) -> np.ndarray:
+    """A bit for each hash of an id, gathered as bitmaps of 32768 places (at most 2048 rows come to the driver).
+
+    It saves moving rows that have no partner in a later join; the join decides. With more ids
+    than bits, it lets nearly all through.
+    """
+    place = id_place(col) + 1  # Spark's bitmap functions count from 1
+    bits = np.zeros(ID_FILTER_BITS // 8, np.uint8)
+    for r in df.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).toLocalIterator():
+        part = np.frombuffer(bytes(r.m), np.uint8)
+        bits[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(part)] |= part
+    return bits
+
+
+def has_place(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7)) & 1 == 1
