@@ -117,9 +117,11 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 def _rows(kind: int, bucket: np.ndarray, records: np.ndarray, extra: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[tuple[int, int, bytes, bytes]]:
     """Records dealt into one packed row for each bucket (and their windows' hashes)."""
+    if not len(records):
+        return []
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     out = []
     if extra is not None:
         offset = np.cumsum(sizes) - sizes
