@@ -25,6 +25,12 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_report
 
@@ -53,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op3_suffix_dedup, op5_shards, op7_secrets, op8_decontamination, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk, op3_suffix_dedup, op5_shards, op6_quality, op7_secrets, op8_decontamination, op9_minhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

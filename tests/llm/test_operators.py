@@ -214,3 +214,33 @@ def test_shards_split_a_hot_group(spark):
     assert sum(len(s) > 1 for s in groups.values()) <= 7
 
 
+
+
+def test_quality_learns_what_labels_mark(spark):
+    import zlib
+
+    from codeloom.llm.quality import quality_report, score_quality
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in quality_report(docs, labels).collect()}
+    assert len(got) == docs.count()
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) for d, r in got.items())
+    held = [(r.quality, got[r.doc_id].predicted) for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.93
+    rows, odd = odd_docs(spark)
+    assert quality_report(odd, labels.limit(0)).where("score = 0.5 and predicted = 0").count() == len(rows)
+    assert quality_report(odd, labels.withColumn("text", labels.doc_id)).count() == len(rows)
+    assert score_quality(odd.limit(0), None).count() == 0
+
+
+def test_machine_pairs_in_linear_time():
+    import numpy as np
+
+    from codeloom.llm.quality import FEATURES, RANK, Machine
+
+    rng = np.random.default_rng(0)
+    m = Machine(0.3, rng.normal(size=FEATURES), rng.normal(size=(FEATURES, RANK)))
+    p, x = np.array([3, 90, 1000, 7]), np.array([0.5, 1.0, -2.0, 0.1])
+    want = 0.3 + m.w[p] @ x + sum(m.v[p[i]] @ m.v[p[j]] * x[i] * x[j] for i in range(4) for j in range(i))
+    assert abs(m.raw(p, x, np.array([0]))[0][0] - want) < 1e-9
