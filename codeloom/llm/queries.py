@@ -13,12 +13,24 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .markov import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import dedup_report
 
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import page_report
+
+    return page_report(table(spark, sf_dir, "pages"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shard_by_bytes
 
@@ -59,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op3_suffix_dedup, op5_shards, op6_quality, op7_secrets, op8_decontamination, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk, op2_hidden_markov, op3_suffix_dedup, op4_html, op5_shards, op6_quality, op7_secrets, op8_decontamination, op9_minhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

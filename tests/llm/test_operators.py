@@ -244,3 +244,96 @@ def test_machine_pairs_in_linear_time():
     p, x = np.array([3, 90, 1000, 7]), np.array([0.5, 1.0, -2.0, 0.1])
     want = 0.3 + m.w[p] @ x + sum(m.v[p[i]] @ m.v[p[j]] * x[i] * x[j] for i in range(4) for j in range(i))
     assert abs(m.raw(p, x, np.array([0]))[0][0] - want) < 1e-9
+
+
+def test_language_scores(spark, monkeypatch):
+    import math
+    import zlib
+    from collections import Counter
+
+    from codeloom.llm import markov
+
+    monkeypatch.setattr(markov, "SYMBOLS", 500)
+    monkeypatch.setattr(markov, "HELD", 2000)
+    for df in (documents(spark), odd_docs(spark)[1]):
+        rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in df.collect()]
+        held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+        c = Counter(w for d, ws in rows if not held(d) for w in ws)
+        n, v = sum(c.values()), len(c)
+        want = sorted((str(d), held(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in rows)
+        got = markov.language_scores(df).collect()
+        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        if len(got) > 100:
+            tokens = sum(r.n_tokens for r in got if r.held_out)
+            assert sum(r.score for r in got if r.held_out) / tokens > sum(r.base_score for r in got if r.held_out) / tokens
+    assert markov.language_scores(df.limit(0)).count() == 0
+
+
+def test_forward_and_expected_counts_match_plain_recursions():
+    import numpy as np
+
+    from codeloom.llm.markov import Model, Texts
+
+    rng = np.random.default_rng(2)
+    k, s = 3, 7
+    m = Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T)
+    seqs = [rng.integers(0, s, n).astype(np.int32) for n in (1, 5, 32, 33, 200, 64)]
+    like, start, steps, counts = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((s, k))
+    each = []
+    for x in seqs:
+        a = [m.start * m.emit[x[0]]]
+        for t in x[1:]:
+            a.append(a[-1] @ m.step * m.emit[t])
+        b = [np.ones(k)]
+        for t in x[:0:-1]:
+            b.append(m.step @ (m.emit[t] * b[-1]))
+        b.reverse()
+        p = a[-1].sum()
+        each.append(np.log(p))
+        for t in range(len(x)):
+            g = a[t] * b[t] / p
+            counts[x[t]] += g
+            if t == 0:
+                start += g
+            else:
+                steps += np.outer(a[t - 1], m.emit[x[t]] * b[t]) * m.step / p
+    texts = Texts(seqs)
+    assert np.allclose(texts.forward(m)[0], each)
+    got = texts.expect(m)
+    assert np.isclose(got[0], sum(each)) and np.allclose(got[1], start) and np.allclose(got[2], steps) and np.allclose(got[3], counts)
+
+
+PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="page"><header>Site</header>
+<nav><ul>{menu}</ul></nav><div class="notice">Cookies!</div><div id="content"><h1>{title}</h1>{body}
+<div class="ad">Buy</div><form><p>Mail</p></form></div><section class="comments"><p>I disagree {title}</p></section><footer>&copy; {title}</footer></body></html>"""
+
+
+def test_pages(spark):
+    import re
+
+    from codeloom.llm.wrappers import container, extract_pages, fold, infer, page_report, stream
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in page_report(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        blocks = re.split(r"</?(?:p|h1)>", re.search("<article>(.*?)</article>", r.html, re.S)[1])
+        import html
+
+        want = "\n".join(b for b in (" ".join(html.unescape(re.sub("<[^>]+>", " " if "<br>" in x else "", x)).split()) for x in blocks) if b)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+    made = [PAGE.format(menu="".join(f"<li><a href=/{j}>m{j}</a></li>" for j in range(2 + i)), title=f"Title {i}", body="".join(f"<p>Par <b>{i}</b>.{j}\n  &amp; more</p>" for j in range(1 + i % 3)) + "<table><tr><td>cell</td></tr></table>" * (i % 2)) for i in range(5)]
+    streams = [fold(stream(p)) for p in made]
+    assert any(n[0] == "rep" for n in streams[1])
+    wrapper = infer(streams)
+    assert any(n[0] == "opt" for n in wrapper) and container(wrapper, 5) == "div"
+    rows = [(i, "http://Example.org:80/x", p) for i, p in enumerate(made)] + [(7, None, None), (8, "u", ""), (9, "http://a/", "<p>cut <b>off & <di"), (9, "http://a/", "plain & simple &lt;x&gt;"), (10, "http://b/", "<p>" + "long " * 50000)]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    out = extract_pages(df).collect()
+    assert len(out) == len(rows)
+    by = {(r.page_id, r.html): r.text for r in out}
+    for i, p in enumerate(made):
+        want = [f"Title {i}", *(f"Par {i}.{j} & more" for j in range(1 + i % 3)), *(["cell"] * (i % 2))]
+        assert by[i, p] == "\n".join(want)
+    assert by[7, None] == by[8, ""] == "" and by[9, rows[7][2]] == "cut off &" and by[9, rows[8][2]] == "plain & simple <x>" and len(by[10, rows[9][2]]) == 249999
+    assert page_report(df.limit(0)).count() == 0
