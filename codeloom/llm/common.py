@@ -113,3 +113,22 @@ def id_filter(df: DataFrame, col: str) -> np.ndarray:
 
 def has_place(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def parted(df: DataFrame, col: str, ids: DataFrame, ids_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose col may be among ids, and those whose col surely isn't: only the first need to meet ids in a join."""
+    shared = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_col))
+    small_batches(df.sparkSession)
+    marked = df.withColumn("__place", F.when(F.col(col).isNotNull(), id_place(col)))
+
+    def pick(want: bool) -> DataFrame:
+        def run(batches):
+            bits = shared.value
+            for batch in batches:
+                place = batch.column("__place")
+                has = has_place(bits, place.fill_null(0).to_numpy()) & ~place.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(has == want)).drop_columns(["__place"])
+
+        return marked.mapInArrow(run, df.schema)
+
+    return pick(True), pick(False)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_place, id_filter, id_place, map_pieces, pieces, small_batches, text_bytes, written
+from .common import has_place, id_filter, id_place, map_pieces, parted, pieces, small_batches, text_bytes, written
 from .hashing import U, mix, word_hashes
 
 BANDS, ROWS = 25, 4
@@ -253,3 +253,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     named = classes.join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     out = sigs.join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs (all columns) without the documents that near_duplicates doesn't keep. Only rows that may go are shuffled."""
+    gone = written(near_duplicates(docs.select("doc_id", text), width, percent, text).where("not kept").select("doc_id").distinct(), "gone")
+    maybe, rest = parted(docs, "doc_id", gone, "doc_id")
+    return rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))

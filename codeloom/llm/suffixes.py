@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_place, id_filter, id_place, map_pieces, pieces, small_batches, text_bytes, written
+from .common import map_pieces, parted, pieces, small_batches, text_bytes, written
 from .hashing import U, mix, powers, prefix
 
 #: Bits of the filters between passes (16 MB; their size doesn't grow with the data).
@@ -344,21 +344,7 @@ def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame
     out = ("kept", "n_bytes", "n_removed", "n_spans")
     base = docs.drop(*out)
     spans = written(repeated_spans(base.select("doc_id", text), window, text=text), "spans")
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(spans, "doc_id"))
-    small_batches(docs.sparkSession)
-    marked = base.withColumn("__pos", F.when(F.col("doc_id").isNotNull(), id_place("doc_id")))
-
-    def pick(want: bool):
-        def run(batches):
-            bits = shared.value
-            for batch in batches:
-                col = batch.column("__pos")
-                p = col.fill_null(0).to_numpy()
-                has = has_place(bits, p) & ~col.is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(has == want)).drop_columns(["__pos"])
-
-        return marked.mapInArrow(run, base.schema)
-
+    maybe, rest = parted(base, "doc_id", spans, "doc_id")
     names = base.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -385,8 +371,8 @@ def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", kept binary, n_bytes long, n_removed long, n_spans long"
     kind = "array<struct<s:bigint,e:bigint>>"
-    some = pick(True).join(spans, "doc_id", "left").select(*names, F.col("spans").cast(kind).alias("spans"))
-    rest = pick(False).withColumn("spans", F.lit(None).cast(kind))
+    some = maybe.join(spans, "doc_id", "left").select(*names, F.col("spans").cast(kind).alias("spans"))
+    rest = rest.withColumn("spans", F.lit(None).cast(kind))
     return map_pieces(some, text, cut, schema).unionByName(map_pieces(rest, text, cut, schema))
 
 
