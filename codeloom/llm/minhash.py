@@ -119,12 +119,16 @@ def links_within(sets: list[np.ndarray], label: np.ndarray, percent: int) -> lis
     """Links that connect what sets of at least percent / 100 similarity connect, beyond what label already does.
 
     Two such sets share an element among the rarest n - ceil(percent * n / 100) + 1 of each
-    (rarest within these sets), so only those are indexed; a pair with one label needs no look.
+    (rarest within these sets), so an index of those gives the candidates; a pair with one label
+    needs no look. A set's candidates are then confirmed by counting what they share in a full
+    index, all at once.
     """
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     ids = np.split(inverse, np.cumsum(n)[:-1])
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(inverse, kind="stable")]
+    at = np.concatenate(([0], np.cumsum(count)))
     heads = []
     for k, x in enumerate(ids):
         keep = n[k] - -(-percent * n[k] // 100) + 1
@@ -137,28 +141,26 @@ def links_within(sets: list[np.ndarray], label: np.ndarray, percent: int) -> lis
     label, out, members = label.copy(), [], {}
     for k, v in enumerate(label.tolist()):
         members.setdefault(v, []).append(k)
-    as_set: dict[int, set] = {}
     for x in np.lexsort((np.arange(len(sets)), n)):
         if not len(heads[x]):
             continue
         a, b = np.searchsorted(token, heads[x], "left"), np.searchsorted(token, heads[x], "right")
         cand = np.unique(np.concatenate([owner[i:j] for i, j in zip(a, b, strict=True)]))
         cand = cand[(label[cand] != label[x]) & (n[cand] * 100 >= n[x] * percent) & (n[cand] * percent <= n[x] * 100)]
-        for y in cand.tolist():
-            if label[y] == label[x]:
+        if not len(cand):
+            continue
+        mine = ids[x][count[ids[x]] > 1]
+        both = np.bincount(np.concatenate([holder[at[i] : at[i + 1]] for i in mine]), minlength=len(sets))[cand]
+        for y in cand[100 * both >= percent * (n[x] + n[cand] - both)].tolist():
+            one, two = label[x], label[y]
+            if one == two:
                 continue
-            for z in (x, y):
-                if z not in as_set:
-                    as_set[z] = set(ids[z].tolist())
-            both = len(as_set[x] & as_set[y])
-            if 100 * both >= percent * (n[x] + n[y] - both):
-                out.append((int(x), y))
-                one, two = label[x], label[y]
-                if len(members[one]) < len(members[two]):
-                    one, two = two, one
-                moved = members.pop(two)
-                label[moved] = one
-                members[one] += moved
+            out.append((int(x), y))
+            if len(members[one]) < len(members[two]):
+                one, two = two, one
+            moved = members.pop(two)
+            label[moved] = one
+            members[one] += moved
     return out
 
 
