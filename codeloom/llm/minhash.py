@@ -11,8 +11,9 @@ from .common import has_place, id_filter, id_place, map_pieces, parted, pieces,
 from .hashing import U, mix, word_hashes
 
 BANDS, ROWS = 25, 4
-#: Members of a pivot that are compared in one task.
+#: Members of a pivot that are compared in one task, and about how many shingles their sets may sum to (8 bytes each).
 SLICE = 2000
+SLICE_SHINGLES = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -212,8 +213,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     2. Bands of the signatures make buckets. Each bucket names as pivot its member that shares
        most buckets; a member then meets its pivots' other members, not every pair of a bucket.
     3. A second scan makes the full sets of documents in shared buckets, and only these move.
-       Each pivot's members are compared exactly, in tasks of about SLICE members: an index of
-       each set's rarest elements gives the pairs that can qualify, pairs already connected by
+       Each pivot's members are compared exactly, in tasks of about SLICE members or SLICE_SHINGLES
+       elements, whichever is less: an index of each set's rarest elements gives the pairs that can qualify, pairs already connected by
        union-find are passed over, and links are confirmed on full sets. Of pivots with more
        members, slices are then compared pairwise where they aren't connected yet.
     4. Stars connect the links (see connected).
@@ -229,16 +230,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     key = ["n", "k1", "k2"]
     full = sigs.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("rep", F.explode("bands").alias("h"))
+    members = classes.select("rep", "n", F.explode("bands").alias("h"))
     shared = members.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     inside = written(members.join(shared, "h"), "buckets")
     rank = inside.groupBy("rep").agg(F.sum("c").alias("weight"))
     weighed = inside.join(rank, "rep")
     pivots = weighed.groupBy("h").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("p"))
-    pairs = written(inside.join(pivots, "h").select("p", "rep").distinct(), "pairs")  # a pivot is among its members
+    pairs = written(inside.join(pivots, "h").select("p", "rep", "n").distinct(), "pairs")  # a pivot is among its members
     sets = written(_sets_of(docs, pairs.select("rep").distinct(), width, text).dropDuplicates(["rep"]), "sets")
 
-    slices = pairs.groupBy("p").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    slices = pairs.groupBy("p").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("n") / SLICE_SHINGLES)).cast("int").alias("slices"))
     placed = written(pairs.join(slices, "p").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "placed")
     with_pivot = placed.select("p", "s", "rep").unionByName(slices.where("slices > 1").select("p", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), F.col("p").alias("rep"))).distinct()
     links = written(_links(with_pivot.withColumn("label", F.col("rep")), sets, percent), "links")
