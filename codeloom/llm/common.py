@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: what a step computes at once is further bounded by PIECE_BYTES.
 BATCH_ROWS = 512
 #: Bytes of text that a vectorised step works on at once (a longer text is a piece by itself).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

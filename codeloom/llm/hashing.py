@@ -29,7 +29,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         base = BASES[which]
         size = 1 << max(16, (n - 1).bit_length())
         held = tuple(np.cumprod(np.concatenate((np.ones(1, U), np.full(size - 1, b, U))), dtype=U) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 23:
+        if size <= 1 << 20:  # longer ones are rare, and would hold memory in every worker
             _powers[which] = held
     return held
 
