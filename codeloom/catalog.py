@@ -441,8 +441,11 @@ def sc2_parse_files(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from codeloom import resolution_catalog  # noqa: F401  (registers more)
+
     return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

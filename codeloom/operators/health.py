@@ -95,6 +95,18 @@ def co_changes(commits: DataFrame, min_count: int = 3, min_confidence: float = 0
     return out.orderBy(F.desc("count"), "file_a", "file_b").limit(limit).select("file_a", "file_b", "count", "confidence")
 
 
+def co_changes_of(commits: DataFrame, file: str, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
+    """The pairs of one file, on either side. Only commits that touch it are paired."""
+    rows = commits.select("commit_idx", "file").distinct()
+    with_it = rows.where(F.col("file") == file).select("commit_idx")
+    alone = rows.groupBy("file").agg(F.count("*").alias("n"))
+    pairs = rows.join(with_it, "commit_idx", "left_semi").where(F.col("file") != file).groupBy("file").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
+    own = rows.where(F.col("file") == file).agg(F.count("*").alias("own"))
+    out = pairs.join(alone, "file").join(F.broadcast(own)).withColumn("confidence", F.col("count") / F.least("n", "own")).where(F.col("confidence") >= min_confidence)
+    named = out.select(F.least("file", F.lit(file)).alias("file_a"), F.greatest("file", F.lit(file)).alias("file_b"), "count", "confidence")
+    return named.orderBy(F.desc("count"), "file_a", "file_b").limit(limit)
+
+
 def git_summary(commits: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """Files, contributors among the three foremost of each file, and the file that changes most."""
     spots = hotspots(commits, as_of, days)
