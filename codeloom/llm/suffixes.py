@@ -14,7 +14,7 @@ from .hashing import U, mix, powers, prefix
 #: Bits of the filters between passes (16 MB; their size doesn't grow with the data).
 FILTER_BITS = 27
 #: Input bytes for each bucket of a pass, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 32
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 #: Anchors that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: A longer text is read in parts of so many bytes, which overlap by a window.
