@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph, first_named
 from codeloom.operators import health, search, traverse, views
-from codeloom.plans.star import COMMITS, EVENT_EDGES, bound, oracle, star_graph
+from codeloom.plans.star import ALL_EVENT_EDGES, COMMITS, EVENT_EDGES, bound, oracle, star_graph
 from codeloom.sources import gitlog, pysource
 from codeloom.streaming import changes
 
@@ -232,6 +232,26 @@ def t6_cohesion(spark, sf_dir):
     return traverse.cohesion(traverse.components(edges), edges)
 
 
+@query()
+def t3_cycles_all_events(spark, sf_dir):
+    return traverse.strongly_connected(bound(spark, sf_dir, ALL_EVENT_EDGES))
+
+
+@query()
+def t4_components_all_events(spark, sf_dir):
+    return traverse.components(bound(spark, sf_dir, ALL_EVENT_EDGES))
+
+
+@query()
+def t6_cohesion_all_events(spark, sf_dir):
+    edges = bound(spark, sf_dir, ALL_EVENT_EDGES)
+    return traverse.cohesion(traverse.components(edges), edges)
+
+
+for same in ("t3_cycles", "t4_components", "t6_cohesion"):
+    SQL[f"{same}_all_events"] = SQL[same].replace(EVENT_EDGES.format(events="events"), ALL_EVENT_EDGES.format(events="events"))
+
+
 @on_graph(
     "SELECT n.id, n.name, coalesce(o.c, 0) AS callees, coalesce(i.c, 0) AS callers, CASE WHEN coalesce(o.c, 0) = 0 THEN 0.0E0 ELSE o.c - 1.5E0 * coalesce(i.c, 0) END AS score FROM nodes n "
     "LEFT JOIN (SELECT source_id AS id, count(*) AS c FROM edges WHERE edge_type = 'CALLS' GROUP BY 1) o ON o.id = n.id LEFT JOIN (SELECT target_id AS id, count(*) AS c FROM edges WHERE edge_type = 'CALLS' GROUP BY 1) i ON i.id = n.id WHERE label IN ('Function', 'Method')"

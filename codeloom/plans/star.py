@@ -70,6 +70,15 @@ SELECT DISTINCT concat(day, '/', user_id) AS source_id, concat(day, '/', next_us
 ) steps WHERE next_user IS NOT NULL
 """
 
+#: The same over all events, whatever their value.
+ALL_EVENT_EDGES = """
+SELECT DISTINCT concat(day, '/', user_id) AS source_id, concat(day, '/', next_user) AS target_id FROM (
+  SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, user_id,
+         lead(user_id) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS next_user
+    FROM {events}
+) steps WHERE next_user IS NOT NULL
+"""
+
 #: A commit is an order, its author the customer, and its files the kinds of its parts.
 COMMITS = """
 SELECT o_orderkey AS commit_idx, concat('a', o_custkey) AS author, o_orderdate AS date, concat('src/', replace(p_type, ' ', '_'), '.py') AS file
