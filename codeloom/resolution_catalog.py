@@ -89,6 +89,16 @@ def j4_lookup_global(g):
     return resolve.lookup_global(g.nodes, g.nodes.where("label = 'Method' AND ordinal % 7 = 0")).select("id", "name", "file_path")
 
 
+@on_graph("SELECT id, name, file_path FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes a WHERE a.name = n.name AND a.file_path = n.file_path)")
+def j3_lookup_exact_all(g):
+    return resolve.lookup_exact(g.nodes, g.nodes).select("id", "name", "file_path")
+
+
+@on_graph("SELECT id, name, file_path FROM nodes WHERE name IN (SELECT name FROM nodes)")
+def j4_lookup_global_all(g):
+    return resolve.lookup_global(g.nodes, g.nodes).select("id", "name", "file_path")
+
+
 @on_graph("SELECT id, name FROM nodes WHERE label IN ('Function', 'Method') AND contains(name, 'er_12')")
 def j5_lookup_callable(g):
     return resolve.lookup_callable(g.nodes, "er_12").select("id", "name")
@@ -101,6 +111,13 @@ def j6_lookup_member(g):
     return resolve.lookup_member(g.nodes.where("ordinal % 7 = 0"), g.edges, asked).select("owner_id", "id", "name")
 
 
+@on_graph("SELECT e.source_id AS owner_id, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')")
+def j6_lookup_member_all(g):
+    owned = g.edges.where("edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')").select(F.col("source_id").alias("owner_id"), F.col("target_id").alias("id"))
+    asked = owned.join(g.nodes.select("id", "name"), "id")
+    return resolve.lookup_member(g.nodes, g.edges, asked).select("owner_id", "id", "name")
+
+
 @on_graph("SELECT e.source_id, e.target_id, e.edge_type FROM edges e WHERE e.edge_type = 'EXTENDS'")
 def j15_extends(g):
     bases = g.edges.where("edge_type = 'EXTENDS'").join(g.nodes.select(F.col("id").alias("target_id"), "name"), "target_id")
