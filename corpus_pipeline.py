@@ -9,8 +9,10 @@ from codeloom.llm import bpe, common, decontam, minhash, quality, secrets
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labelled ones among them, scores 0.7 or more."""
+    """Documents that the classifier, fitted to the labelled ones among them, scores 0.7 or more; all of them where these labels hold one class or none, as nothing is learned then."""
     machine = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    if machine is None:
+        return docs
     return quality.score_quality(docs, machine, out="__score").where("__score >= 0.7").select(*docs.columns)
 
 
