@@ -23,14 +23,13 @@ NEEDLES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 SAMPLE = 2000
 #: Characters that a labelled credential may have to be learned from.
 LONGEST = 256
-#: Credentials of a kind below which no automaton is learned.
-LEAST = 20
-#: Characters that a candidate has at least.
-SHORTEST = 16
+#: Characters that a candidate has at least: the shortest credential that a base rule finds.
+SHORTEST = 8
 
-CANDIDATE = re.compile(r"(?<![\w@.+/=-])[A-Za-z0-9+/_=-]{%d,}(?![\w@.+/=-])" % SHORTEST)
+#: A run of credential characters; '=' ends it (a name before its value) but as padding.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_.=-]))?" % SHORTEST)
 _HEXMAP = bytes(0x78 if b in b"0123456789abcdef" else 0x20 for b in range(256))
-_RUNS = bytes(0x39 if 0x30 <= b <= 0x39 else 0x61 if chr(b).isalpha() and b < 0x80 or b in b"+/_=-" else 0x20 for b in range(256))
+_RUNS = bytes(0x39 if 0x30 <= b <= 0x39 else 0x61 if chr(b).isalpha() and b < 0x80 or b in b"+/_.-" else 0x20 for b in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -47,15 +46,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of at least SHORTEST credential characters with a letter and a digit, outside the base spans."""
+    """Runs of at least SHORTEST credential characters with a letter and a digit, without dots at their ends, outside the base spans."""
     runs = text.encode("utf-8", "surrogatepass").translate(_RUNS).split()
     if not any(len(r) >= SHORTEST and b"9" in r and b"a" in r for r in runs):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if _mixed(m[0]) and not any(a < e and s < b for a, _, b, _ in taken):
-            out.append((s, e, m[0]))
+        v = m[0].strip(".")
+        s = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        e = s + len(v)
+        if len(v) >= SHORTEST and _mixed(v) and not any(a < e and s < b for a, _, b, _ in taken):
+            out.append((s, e, v))
     return out
 
 
@@ -102,6 +103,7 @@ class Automaton:
         for c, n in self.chars.items():
             self.of_class[symbol(c)] += n
         self.scale = math.sqrt(0.5 * math.log(2 / alpha))
+        self.shortest = min(map(len, strings))
         self._merge()
         scores = sorted(self.score(s) for s in strings)
         self.least = scores[len(scores) // 100]  # the labelled strings' first percentile
@@ -170,7 +172,7 @@ class Automaton:
         return (out + math.log(self.final[q] / self.total[q])) / (len(s) + 1)
 
     def accepts(self, s: str) -> bool:
-        return self.score(s) >= self.least
+        return len(s) >= self.shortest and self.score(s) >= self.least
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -195,12 +197,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def learn(scanned: DataFrame) -> dict[int, Automaton]:
-    """An automaton for each kind with enough labelled credentials: a sample of SAMPLE of the distinct ones, by hash."""
+    """An automaton for each kind with labelled credentials: a sample of SAMPLE of the distinct ones, by hash."""
     values = scanned.select(F.explode("__base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= LONGEST).where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).distinct()
     out = {}
     for k in range(3):
         some = [r.value for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
-        if len(some) >= LEAST:
+        if some:
             out[k] = Automaton(some)
     return out
 
@@ -209,12 +211,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs but the text, and n_assign, n_access, n_hex, base, spans ('kind:start:end' arrays, code points).
 
     A scan finds the base spans and the candidates (runs of credential characters with a letter
-    and a digit outside base spans). The base spans' values label a bounded sample from which a
+    and a digit outside base spans; a name before '=' is a run of its own). The base spans' values label a bounded sample from which a
     prefix tree is grown and merged into an automaton per kind. A candidate becomes a span of
     kind 'format' if an automaton gives it at least the mean log probability that 99 % of its
-    labelled credentials have.
+    labelled credentials have, and is as long as the shortest of them.
 
-    Defined cases: null or empty texts have no spans; with fewer than LEAST credentials of a kind
+    Defined cases: null or empty texts have no spans; without a credential of a kind
     nothing is learned from it; output names replace columns of docs.
     """
     out = ("n_assign", "n_access", "n_hex", "base", "spans")

@@ -1,0 +1,43 @@
+"""Secrets without a listed name: at the end of a sentence, dotted, behind other names, short, or of few labelled ones."""
+
+import random
+
+from codeloom.llm.secrets import find_secrets, redact
+
+LETTERS = "0123456789abcdefghijklmnop"
+
+
+def keys(rng, n, width):
+    out = []
+    while len(out) < n:
+        k = "".join(rng.choices(LETTERS, k=width))
+        if any(c.isdigit() for c in k) and any(c.isalpha() for c in k):
+            out.append(k)
+    return out
+
+
+def masked(spark, labelled, texts):
+    rows = [(i, f"say token = {k} and so on") for i, k in enumerate(labelled)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in find_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        for s in spans[1000 + i]:
+            assert s.startswith("format:")
+    return [r.text for r in redact(df).where("doc_id >= 1000").orderBy("doc_id").collect()]
+
+
+def test_runs_at_other_characters_and_behind_names(spark):
+    rng = random.Random(11)
+    *labelled, key = keys(rng, 301, 24)
+    texts = [f"It is {key}.", f"It is {key}...", f"auth={key}", f"see http://a.example/x?sig={key}&b=1", f"to user@{key}", "words of plain prose 2024-01-01."]
+    assert masked(spark, labelled, texts) == ["It is [REDACTED].", "It is [REDACTED]...", "auth=[REDACTED]", "see http://a.example/x?sig=[REDACTED]&b=1", "to user@[REDACTED]", texts[-1]]
+    parts = [f"{a[:8]}.{a[8:16]}.{a[16:]}" for a in (*labelled, key)]
+    assert masked(spark, parts[:-1], [f"bare {parts[-1]} here"]) == ["bare [REDACTED] here"]
+
+
+def test_short_and_few_credentials(spark):
+    rng = random.Random(12)
+    *labelled, key = keys(rng, 301, 10)
+    assert masked(spark, labelled, [f"bare {key} here", "an item x86 of word12"]) == ["bare [REDACTED] here", "an item x86 of word12"]
+    few = keys(rng, 5, 24)
+    assert masked(spark, few, [f"bare {few[0]} here"]) == ["bare [REDACTED] here"]
