@@ -83,6 +83,14 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of those taken is equal to, letter case aside."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str, m: int):
     """crc32 of an integer id as text, modulo m."""
     return F.crc32(F.col(col).cast("string")) % m
@@ -119,15 +127,16 @@ def parted(df: DataFrame, col: str, ids: DataFrame, ids_col: str) -> tuple[DataF
     """The rows of df whose col may be among ids, and those whose col surely isn't: only the first need to meet ids in a join."""
     shared = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_col))
     small_batches(df.sparkSession)
-    marked = df.withColumn("__place", F.when(F.col(col).isNotNull(), id_place(col)))
+    mark = fresh("__place", df.columns)
+    marked = df.withColumn(mark, F.when(F.col(col).isNotNull(), id_place(col)))
 
     def pick(want: bool) -> DataFrame:
         def run(batches):
             bits = shared.value
             for batch in batches:
-                place = batch.column("__place")
+                place = batch.column(mark)
                 has = has_place(bits, place.fill_null(0).to_numpy()) & ~place.is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(has == want)).drop_columns(["__place"])
+                yield batch.filter(pa.array(has == want)).drop_columns([mark])
 
         return marked.mapInArrow(run, df.schema)
 

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, parted, pieces, small_batches, text_bytes, written
+from .common import PIECE_BYTES, fresh, map_pieces, parted, pieces, small_batches, text_bytes, written
 from .hashing import U, mix, powers, prefix
 
 #: Bits of the filters between passes (16 MB; their size doesn't grow with the data).
 FILTER_BITS = 27
+#: Rows in which a filter comes to the driver.
+FILTER_ROWS = 256
 #: Input bytes for each bucket of a pass, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 #: Anchors that a task gathers before it hands them on.
 GATHER = 1 << 20
-#: A longer text is read in parts of so many bytes, which overlap by a window.
-PART = 8 << 20
+#: Runs of an anchor from which they are dealt by later digits too.
+HOT_RUNS = 4096
+#: Bytes of hot runs or windows that a task holds, to hand on each content once.
+HELD_BYTES = 16 << 20
+#: Windows that are sorted at once (one anchor's may be more: HOT_RUNS times a run's).
+SORTED_WINDOWS = 1 << 19
 _LOW = U((1 << 28) - 1)
 
 ANCHOR = np.dtype([("a", "<u8"), ("n", "<u4")])
-RUN = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("len", "<i4")])
+RUN = np.dtype([("a", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("len", "<i4"), ("shift", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("start", "<i8")])
 
 
 class Runs:
@@ -30,21 +39,21 @@ class Runs:
 
     A window's anchor is its gram of `gram` bytes with the least hash (the rightmost of equals).
     It depends on the window's content alone, so equal windows have equal anchors at equal
-    places: the anchor is the window's first digit. Neighbouring windows mostly share one.
+    places: where the anchor stands, and which it is, are the window's first digits. Neighbouring
+    windows mostly share one. `bits` shortens the hash (results don't depend on it).
     """
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
-        parts = [(k, at, t[at : at + PART + window - 1]) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - window + 1), PART) if len(t) >= window]
+    def __init__(self, parts: list[tuple[int, int, bytes]], window: int, gram: int, bits: int = 64):
+        """parts: number of the text, place in it, bytes (see parts_of)."""
         self.window = window
-        buf = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
+        self.buf = b"".join(p for _, _, p in parts)
+        buf = np.frombuffer(self.buf, np.uint8)
         size = np.array([len(p) for _, _, p in parts], np.int64)
         ends = np.cumsum(size)
         begins = ends - size
-        self.sums, self.down = prefix(buf), powers(len(buf) + 1)[1]
-        if not parts:
-            self.anchor, self.ctx, self.text, self.start, self.len, self.at, self.shift = (np.zeros(0, k) for k in (U, U, np.int64, np.int64, np.int64, np.int64, np.int64))
-            return
-        grams = mix((self.sums[gram:] - self.sums[: len(buf) - gram + 1]) * self.down[: len(buf) - gram + 1])
+        sums, down = prefix(buf), powers(len(buf) + 1)[1]
+        grams = mix((sums[gram:] - sums[: len(buf) - gram + 1]) * down[: len(buf) - gram + 1]) & U((1 << 64) - (1 << 64 - bits))
+        del sums
         key = (grams & ~_LOW) | (_LOW - (np.arange(len(grams), dtype=U) & _LOW))
         width, span, least = window - gram + 1, 1, key
         while span * 2 <= width:
@@ -67,18 +76,61 @@ class Runs:
         self.len = np.diff(np.r_[cut, len(begin)])
         at_anchor = of[cut]
         self.anchor, self.shift = grams[at_anchor], at_anchor - self.at
-        size_ctx = self.len + window - 1
-        self.ctx = mix(mix((self.sums[self.at + size_ctx] - self.sums[self.at]) * self.down[self.at]) + (self.shift << 32 | size_ctx).astype(U))
         part = np.searchsorted(ends, self.at, "right")
         self.text = np.array([k for k, _, _ in parts], np.int64)[part]
         self.start = self.at - begins[part] + np.array([b for _, b, _ in parts], np.int64)[part]
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of some runs, and the run of each."""
-        n = self.len[which]
-        run = np.repeat(np.arange(len(which)), n)
-        at = np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(len(run))
-        return mix((self.sums[at + self.window] - self.sums[at]) * self.down[at]), run
+    def records(self, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Records of some runs, and the bytes that their windows cover."""
+        r = np.empty(len(which), RUN)
+        r["a"], r["doc"], r["start"], r["len"], r["shift"] = self.anchor[which], ids[self.text[which]], self.start[which], self.len[which], self.shift[which]
+        at, end = self.at[which], self.at[which] + self.len[which] + self.window - 1
+        return r, [self.buf[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)]
+
+
+def parts_of(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The texts in lists of parts of about PIECE_BYTES in all; the parts of a long text overlap, so that each window is in one."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) - window + 1, PIECE_BYTES):
+            part = t[at : at + PIECE_BYTES + window - 1]
+            if held and size + len(part) > PIECE_BYTES:
+                yield held
+                held, size = [], 0
+            held.append((k, at, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+def repeated_windows(buf: bytes, at: np.ndarray, digit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows of buf that start at `at` equal another one, in order of their bytes, and the group of each.
+
+    A radix sort from the most significant digit on: first the given digit, then eight bytes of
+    the window at a time. A pass orders each group of the one before by its next digit, and
+    windows that then stand alone leave; after the last byte, groups are equal windows.
+    """
+    octets = np.lib.stride_tricks.sliding_window_view(np.frombuffer(buf, np.uint8), 8) if len(buf) >= 8 else None
+    index, group = np.arange(len(at)), digit
+    depths = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])] if window >= 8 else []
+    single = [] if depths else list(range(window))  # windows shorter than a digit
+    for depth in [None, *depths, *single]:
+        if not len(index):
+            break
+        if depth is None:
+            order = np.argsort(group, kind="stable")
+            g = group[order]
+            new = np.r_[True, g[1:] != g[:-1]]
+        else:
+            place = at[index] + depth
+            value = np.ascontiguousarray(octets[place]).view(">u8").ravel().astype(U) if depths else np.frombuffer(buf, np.uint8)[place].astype(U)
+            order = np.lexsort((value, group))
+            g, v = group[order], value[order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+        alone = new & np.r_[new[1:], True]
+        group = np.cumsum(new)[~alone]
+        index = index[order[~alone]]
+    return index, group
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -86,18 +138,24 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(40)) * U(n) >> U(24)).astype(np.int64)
 
 
-def later(order: np.ndarray, same: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For sorted rows, whether a row of the same key stands earlier (equal rows stand nowhere earlier)."""
+def later(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a row of the same group stands earlier (equal rows stand nowhere earlier)."""
+    order = np.lexsort((start, doc, group))
+    g, d, s = group[order], doc[order], start[order]
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in same])
+    new[1:] = g[1:] != g[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     out = np.zeros(len(order), bool)
-    d, s = doc[order], start[order]
     out[order] = (d != d[head]) | (s != s[head])
     return out
 
 
+def numbered(contents: list[bytes]) -> np.ndarray:
+    """A number for each distinct content, by comparing the bytes."""
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(c, len(known)) for c in contents), np.int64, len(contents))
+
+
 def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans with those of a document that overlap or touch joined."""
     if not len(doc):
@@ -115,47 +173,50 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], reach[last] - base[last]
 
 
-def _rows(kind: int, bucket: np.ndarray, records: np.ndarray, extra: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[tuple[int, int, bytes, bytes]]:
-    """Records dealt into one packed row for each bucket (and their windows' hashes)."""
+ANCHORS, SPANS, HOT = 0, 1, 2
+DEALT = "kind int, bucket int, body binary, more binary"
+Dealt = list[tuple[int, int, bytes, bytes]]
+
+
+def _rows(kind: int, bucket: np.ndarray, records: np.ndarray, contents: list[bytes] | None = None) -> Dealt:
+    """Records dealt into one packed row for each bucket (and the bytes of each)."""
     if not len(records):
         return []
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    out = []
-    if extra is not None:
-        offset = np.cumsum(sizes) - sizes
-    for i, j in zip(cuts, np.r_[cuts[1:], len(b)], strict=True):
-        some = order[i:j]
-        more = b""
-        if extra is not None:
-            n = sizes[some]
-            pick = np.repeat(offset[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            more = extra[pick].tobytes()
-        out.append((kind, int(b[i]), records[some].tobytes(), more))
-    return out
+    return [
+        (kind, int(b[i]), records[order[i:j]].tobytes(), b"".join([contents[k] for k in order[i:j].tolist()]) if contents else b"")
+        for i, j in zip(cuts, np.r_[cuts[1:], len(b)], strict=True)
+    ]
 
 
-def _spans_row(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Dealt:
+    """Spans found, joined; they go along to a bucket that leaves them as they are."""
     doc, start, end = joined(doc, start, end)
-    return [(1, 0, np.stack([doc, start, end]).astype("<i8").tobytes(), b"")] if len(doc) else []
-
-
-DEALT = "kind int, bucket int, body binary, more binary"
+    return [(SPANS, int(doc[0]) % buckets, np.stack([doc, start, end]).astype("<i8").tobytes(), b"")] if len(doc) else []
 
 
-def _batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+def _batch(rows: Dealt) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "body", "more"])
 
 
-def _filter(slices: list[tuple[int, bytes]]) -> np.ndarray:
-    """The whole filter from its buckets' ranges (first byte, bits)."""
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for at, part in slices:
-        part = np.frombuffer(part, np.uint8)
-        bits[at : at + len(part)] |= part
-    return bits
+def _unpacked(t: pa.Table, kind: int, dtype: np.dtype, extent: int | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """The records of a kind in packed rows, and the bytes of each: as many as its length and extent say."""
+    keep = [k == kind for k in t.column("kind").to_pylist()]
+    some = t.filter(pa.array(keep))
+    r = np.frombuffer(b"".join(some.column("body").to_pylist()), dtype)
+    if extent is None:
+        return r, []
+    buf = b"".join(some.column("more").to_pylist())
+    size = r["len"].astype(np.int64) + extent if "len" in r.dtype.names else np.full(len(r), extent, np.int64)
+    ends = np.cumsum(size)
+    return r, [buf[i:j] for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+
+
+def _spans_in(t: pa.Table) -> Dealt:
+    return [tuple(x.values()) for x in t.filter(pa.array([k == SPANS for k in t.column("kind").to_pylist()])).to_pylist()]
 
 
 def _bits(h: np.ndarray) -> tuple[int, bytes]:
@@ -174,146 +235,196 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[pos >> 3] >> (pos & 7)) & 1 == 1
 
 
-def _spot(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.astype(U)) + start.astype(U))
+def _counted(found: DataFrame, buckets: int, levels: tuple[int, ...]) -> list[np.ndarray]:
+    """For each level a filter of the hashes that stand more often in rows of packed ANCHOR records.
+
+    Buckets own ranges of a filter; the ranges are put together in FILTER_ROWS rows before they
+    come to the driver, whatever the number of buckets.
+    """
+    kind = "level int, row int, low long, bits binary"
+
+    def count(t: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(t.column("body").to_pylist()), ANCHOR)
+        a, inverse = np.unique(r["a"], return_inverse=True)
+        n = np.bincount(inverse, weights=r["n"])
+        row = t.column("bucket")[0].as_py() * FILTER_ROWS // buckets
+        parts = [(k, row, *_bits(a[n > level])) for k, level in enumerate(levels)]
+        return pa.table({"level": pa.array([p[0] for p in parts], pa.int32()), "row": pa.array([p[1] for p in parts], pa.int32()), "low": pa.array([p[2] for p in parts], pa.int64()), "bits": pa.array([p[3] for p in parts], pa.binary())})
+
+    def together(t: pa.Table) -> pa.Table:
+        parts = [(x["low"], np.frombuffer(x["bits"], np.uint8)) for x in t.to_pylist() if x["bits"]]
+        low = min((p[0] for p in parts), default=0)
+        out = np.zeros(max((a + len(b) for a, b in parts), default=low) - low, np.uint8)
+        for at, part in parts:
+            out[at - low : at - low + len(part)] |= part
+        return pa.table({"level": t.column("level").slice(0, 1), "row": t.column("row").slice(0, 1), "low": pa.array([low], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    filters = [np.zeros(1 << FILTER_BITS - 3, np.uint8) for _ in levels]
+    rows = found.groupBy("bucket").applyInArrow(count, kind).groupBy("level", "row").applyInArrow(together, kind)
+    for r in rows.collect():  # FILTER_ROWS a level
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        filters[r.level][r.low : r.low + len(part)] |= part
+    return filters
+
+
+class Held:
+    """The first place of each content that a task meets, until HELD_BYTES are held; what stands later is a repeat."""
+
+    def __init__(self):
+        self.first: dict[bytes, tuple] = {}
+        self.size = 0
+        self.again: list[tuple[int, int, int]] = []
+
+    def add(self, content: bytes, record: tuple, n: int) -> None:
+        """record begins with doc and start; n is the number of windows from there."""
+        had = self.first.get(content)
+        if had is None:
+            self.first[content] = record
+            self.size += len(content) + 200
+        elif record[:2] != had[:2]:
+            if record[:2] < had[:2]:
+                self.first[content], record = record, had
+            self.again.append((record[0], record[1], record[1] + n))
+
+    def spans(self, buckets: int, window: int) -> Dealt:
+        x = np.array(self.again, np.int64).reshape(-1, 3)
+        self.again = []
+        return _span_rows(x[:, 0], x[:, 1], x[:, 2] + window - 1, buckets)
 
 
 def _id_text(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, list[bytes]]:
     return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), text_bytes(batch.column(text))
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str = "text") -> DataFrame:
+def _among_firsts(r: np.ndarray, contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """doc and start of windows that equal an earlier one, in runs of different contents."""
+    anchor, of, count = np.unique(r["a"], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[of] > 1)
+    some = some[np.argsort(of[some], kind="stable")]
+    ends = np.cumsum(r["len"][some].astype(np.int64))
+    docs, starts, k = [], [], 0
+    while k < len(some):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SORTED_WINDOWS, "right")))
+        while stop < len(some) and of[some[stop]] == of[some[stop - 1]]:  # an anchor's runs stay together
+            stop += 1
+        part = some[k:stop]
+        k = stop
+        n = r["len"][part].astype(np.int64)
+        size = n + window - 1
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(size) - size, n) + offset
+        digit = np.repeat(of[part] * (window + 1) + r["shift"][part], n) - offset  # the anchor, and its place in the window
+        index, group = repeated_windows(b"".join([contents[i] for i in part.tolist()]), at, digit, window)
+        doc = np.repeat(r["doc"][part], n)[index]
+        start = (np.repeat(r["start"][part], n) + offset)[index]
+        again = later(group, doc, start)
+        docs.append(doc[again])
+        starts.append(start[again])
+    return np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*starts, np.zeros(0, np.int64)])
+
+
+def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str = "text", hash_bits: int = 64) -> DataFrame:
     """doc_id, spans (sorted, disjoint [s, e) in bytes) of documents with passages that also start earlier.
 
     A radix sort of all windows from the most significant digit on: each pass deals what is
-    left into buckets by the next digit and drops what stands alone there.
-
-    1. The first digit is the window's anchor (see Runs). Runs of windows share one, so a pass
-       moves some 3 records for 100 bytes. Anchors that stand once leave.
-    2. The second is the run's whole content. Of equal runs all but the first are repeats in
-       full. A first run goes on only if its anchor has other runs that differ in content.
-    3. The last is the whole window: equal groups are exactly the repeated windows; all but a
-       group's first are repeats.
+    left into buckets by the next digit and drops what stands alone there. A window's bytes are
+    compared to the last one; hashes only choose anchors and buckets.
+
+    1. The first digit is the window's anchor (see Runs). It takes the place of the leading
+       bytes because neighbouring windows share it: they then move together, in about four bytes
+       for each of theirs, where leading bytes would send each window's 100 bytes apart. Anchors
+       that stand once leave; a filter of fixed size tells which may stand more often.
+    2. Runs of windows are dealt by their anchor, with their bytes. In a bucket, runs of equal
+       bytes are repeats but for the first. The windows of the first ones are ordered by where
+       the anchor stands, then by eight bytes at a time (repeated_windows); of equal windows, all
+       but the first are repeats.
+    3. Anchors of more than HOT_RUNS runs are dealt by content in pass 2, and each content once
+       from a task. What differs goes on: its windows are counted by a hash, and those that may
+       stand twice are dealt by it with their bytes, again each content once from a task.
 
     What a task's piece of text already repeats is dropped or found there, before it is dealt, so
-    a passage that stands everywhere makes a record for each piece only. Anchors with a large
-    share of all runs are dealt by the later digit too. Passes read the texts again instead of
-    moving them; filters of fixed size between passes save records, and decide nothing.
+    a passage that stands everywhere makes a record for each piece only.
     """
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select("doc_id", text)
     total = base.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
-    hot_from = max(20_000, total // 30 // (4 * buckets))
-    send = spark.sparkContext.broadcast
     small_batches(spark)
 
-    def pass1(batches):
+    def gathered(hashes: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
             a, k = np.unique(np.concatenate(held), return_counts=True)
             records = np.empty(len(a), ANCHOR)
             records["a"], records["n"] = a, k
-            return _batch(_rows(0, bucket_of(a, buckets), records))
+            return _batch(_rows(ANCHORS, bucket_of(a, buckets), records))
+
+        for h in hashes:
+            held.append(h)
+            n += len(h)
+            if n >= GATHER:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    def anchors(batches):
+        return gathered(Runs(parts, window, gram, hash_bits).anchor for batch in batches for piece in pieces(batch, text) for parts in parts_of(text_bytes(piece.column(text)), window))
+
+    shared = spark.sparkContext.broadcast(_counted(base.mapInArrow(anchors, DEALT), buckets, (1, HOT_RUNS)))
+
+    def runs(batches):
+        twice, hot = shared.value
+        held = Held()
+
+        def flush():
+            contents = list(held.first)
+            r = np.array([(a, d, s, n, k) for d, s, a, n, k in held.first.values()], RUN)
+            held.first, held.size = {}, 0
+            return _batch(_rows(HOT, bucket_of(_content_hash(contents), buckets), r, contents))
 
         for batch in batches:
             for piece in pieces(batch, text):
-                held.append(Runs(text_bytes(piece.column(text)), window, gram).anchor)
-                n += len(held[-1])
-                if n >= GATHER:
-                    yield flush()
-                    held, n = [], 0
-        if n:
+                ids, texts = _id_text(piece, text)
+                for parts in parts_of(texts, window):
+                    found = Runs(parts, window, gram, hash_bits)
+                    r, contents = found.records(np.flatnonzero(_has(twice, found.anchor)), ids)
+                    again = later(numbered(contents), r["doc"], r["start"])
+                    out = _span_rows(r["doc"][again], r["start"][again], r["start"][again] + r["len"][again] + window - 1, buckets)
+                    often = _has(hot, r["a"])
+                    for k in np.flatnonzero(often & ~again).tolist():
+                        held.add(contents[k], (int(r["doc"][k]), int(r["start"][k]), int(r["a"][k]), int(r["len"][k]), int(r["shift"][k])), int(r["len"][k]))
+                    rest = np.flatnonzero(~often & ~again)
+                    yield _batch(out + held.spans(buckets, window) + _rows(ANCHORS, bucket_of(r["a"][rest], buckets), r[rest], [contents[k] for k in rest.tolist()]))
+                    if held.size > HELD_BYTES:
+                        yield flush()
+        if held.first:
             yield flush()
 
-    def first(t: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(t.column("body").to_pylist()), ANCHOR)
-        a, inverse = np.unique(r["a"], return_inverse=True)
-        count = np.bincount(inverse, weights=r["n"])
-        low, bits = _bits(a[count > 1])
-        return pa.table({"low": pa.array([low], pa.int64()), "bits": pa.array([bits], pa.binary()), "hot": pa.array([a[count > hot_from].view(np.int64)], pa.list_(pa.int64()))})
-
-    found = base.mapInArrow(pass1, DEALT).groupBy("bucket").applyInArrow(first, "low long, bits binary, hot array<long>").collect()  # 16 MB in all, and 4 hot anchors a bucket at most
-    keep = send((_filter([(r.low, r.bits) for r in found]), np.array(sorted(h for r in found for h in r.hot), np.int64).view(U)))
-    del found
-
-    def pass2(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, hot = keep.value
-        ids, texts = _id_text(batch, text)
-        runs = Runs(texts, window, gram)
-        k = np.flatnonzero(_has(bits, runs.anchor))
-        r = np.empty(len(k), RUN)
-        r["a"], r["c"], r["doc"], r["start"], r["len"] = runs.anchor[k], runs.ctx[k], ids[runs.text[k]], runs.start[k], runs.len[k]
-        again = later(np.lexsort((r["start"], r["doc"], r["c"], r["a"])), (r["a"], r["c"]), r["doc"], r["start"])
-        out = _spans_row(r["doc"][again], r["start"][again], r["start"][again] + r["len"][again] + window - 1)
-        r = r[~again]
-        deal = np.where(np.isin(r["a"], hot), mix(r["a"] + r["c"]), r["a"])
-        return _batch(out + _rows(0, bucket_of(deal, buckets), r))
-
-    def second(t: pa.Table) -> pa.Table:
-        _, hot = keep.value
-        r = np.frombuffer(b"".join(t.column("body").to_pylist()), RUN)
-        order = np.lexsort((r["start"], r["doc"], r["c"], r["a"]))
-        again = later(order, (r["a"], r["c"]), r["doc"], r["start"])
-        firsts = r[~again]
-        a, inverse = np.unique(firsts["a"], return_inverse=True)
-        low, high = np.full(len(a), np.iinfo(np.uint64).max, U), np.zeros(len(a), U)
-        np.minimum.at(low, inverse, firsts["c"])
-        np.maximum.at(high, inverse, firsts["c"])
-        contents = low != high
-        on = firsts[contents[inverse] | np.isin(firsts["a"], hot)]
-        rows = _spans_row(r["doc"][again], r["start"][again], r["start"][again] + r["len"][again] + window - 1)
-        spots = np.unique(_spot(on["doc"], on["start"]) >> U(64 - FILTER_BITS)).astype("<i8")
-        for part in np.split(spots, np.flatnonzero(np.diff(spots >> 15)) + 1) if len(spots) else []:
-            rows.append((2, int(part[0]) >> 15, part.tobytes(), b""))
+    def resolve(t: pa.Table) -> pa.Table:
+        rows = _spans_in(t)
+        for kind in (ANCHORS, HOT):
+            r, contents = _unpacked(t, kind, RUN, window - 1)
+            if not len(r):
+                continue
+            again = later(numbered(contents), r["doc"], r["start"])
+            rows += _span_rows(r["doc"][again], r["start"][again], r["start"][again] + r["len"][again] + window - 1, buckets)
+            first = np.flatnonzero(~again)
+            r, contents = r[first], [contents[k] for k in first.tolist()]
+            if kind == HOT:
+                share = PIECE_BYTES // (2 * window)  # records that a row holds
+                rows += [(HOT, t.column("bucket")[0].as_py(), r[i : i + share].tobytes(), b"".join(contents[i : i + share])) for i in range(0, len(r), share)]
+            else:
+                doc, start = _among_firsts(r, contents, window)
+                rows += _span_rows(doc, start, start + window, buckets)
         return pa.Table.from_batches([_batch(rows)])
 
-    dealt = map_pieces(base, text, pass2, DEALT)
-    dealt = written(dealt, "runs")
-    resolved = written(dealt.where("kind = 0").groupBy("bucket").applyInArrow(second, DEALT), "runs")
-
-    def spots(t: pa.Table) -> pa.Table:
-        pos = np.unique(np.frombuffer(b"".join(t.column("body").to_pylist()), "<i8"))
-        low, bits = _bits(pos.astype(U) << U(64 - FILTER_BITS))
-        return pa.table({"low": pa.array([low], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-    look = send(_filter([(r.low, r.bits) for r in resolved.where("kind = 2").groupBy("bucket").applyInArrow(spots, "low long, bits binary").collect()]))  # 16 MB at most
-
-    def pass3(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, hot = keep.value
-        ids, texts = _id_text(batch, text)
-        runs = Runs(texts, window, gram)
-        k = np.flatnonzero(_has(bits, runs.anchor))
-        k = k[_has(look.value, _spot(ids[runs.text[k]], runs.start[k]))]
-        w, run = runs.windows(k)
-        n = runs.len[k]
-        a, doc = runs.anchor[k][run], ids[runs.text[k]][run]
-        start = np.repeat(runs.start[k] - (np.cumsum(n) - n), n) + np.arange(len(run))
-        again = later(np.lexsort((start, doc, w, a)), (a, w), doc, start)
-        out = _spans_row(doc[again], start[again], start[again] + window)
-        a, doc, start, w, run = (x[~again] for x in (a, doc, start, w, run))
-        new = np.ones(len(a), bool)
-        if len(a):
-            new[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1) | np.isin(a[1:], hot)
-        at = np.flatnonzero(new)
-        r = np.zeros(len(at), RUN)
-        r["a"], r["doc"], r["start"], r["len"] = a[at], doc[at], start[at], np.diff(np.r_[at, len(a)])
-        deal = np.where(np.isin(r["a"], hot), mix(r["a"] + w[at]), r["a"])
-        return _batch(out + _rows(0, bucket_of(deal, buckets), r, w, r["len"].astype(np.int64)))
-
-    def third(t: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(t.column("body").to_pylist()), RUN)
-        w = np.frombuffer(b"".join(t.column("more").to_pylist()), "<u8")
-        n = r["len"].astype(np.int64)
-        a, doc = np.repeat(r["a"], n), np.repeat(r["doc"], n)
-        start = np.repeat(r["start"] - (np.cumsum(n) - n), n) + np.arange(len(w))
-        again = later(np.lexsort((start, doc, w, a)), (a, w), doc, start)
-        return pa.Table.from_batches([_batch(_spans_row(doc[again], start[again], start[again] + window))])
-
-    last = written(map_pieces(base, text, pass3, DEALT), "windows")
-    ends = last.where("kind = 0").groupBy("bucket").applyInArrow(third, DEALT)
-    spans = dealt.where("kind = 1").unionByName(resolved.where("kind = 1")).unionByName(last.where("kind = 1")).unionByName(ends).select("body")
+    resolved = written(base.mapInArrow(runs, DEALT).groupBy("bucket").applyInArrow(resolve, DEALT), "runs")
+    spans = resolved.where(F.col("kind") == SPANS).select("body")
+    hot_runs = resolved.where(F.col("kind") == HOT)
+    if hot_runs.limit(1).count():
+        spans = spans.unionByName(_hot_windows(hot_runs, gathered, window, buckets))
 
     def unpack(batches):
         for batch in batches:
@@ -327,6 +438,58 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
+def _content_hash(contents: list[bytes]) -> np.ndarray:
+    """A hash of each content, the same in every process; it deals, and decides nothing."""
+    return np.frombuffer(b"".join(hashlib.blake2b(c, digest_size=8).digest() for c in contents), "<u8")
+
+
+def _windows_of(t: pa.RecordBatch, window: int):
+    """Of each packed row of hot runs: hash, doc and start of every window, the bytes, and where each window stands in them."""
+    for body, more in zip(t.column("body").to_pylist(), t.column("more").to_pylist(), strict=True):
+        r = np.frombuffer(body, RUN)
+        n = r["len"].astype(np.int64)
+        size = n + window - 1
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(size) - size, n) + offset
+        buf = np.frombuffer(more, np.uint8)
+        sums, down = prefix(buf), powers(len(buf) + 1)[1]
+        yield mix((sums[at + window] - sums[at]) * down[at]), np.repeat(r["doc"], n), np.repeat(r["start"], n) + offset, more, at
+
+
+def _hot_windows(hot_runs: DataFrame, gathered, window: int, buckets: int) -> DataFrame:
+    """Spans of windows that stand earlier in another content of a hot anchor."""
+    hashes = hot_runs.mapInArrow(lambda batches: gathered(h for b in batches for h, *_ in _windows_of(b, window)), DEALT)
+    shared = hot_runs.sparkSession.sparkContext.broadcast(_counted(hashes, buckets, (1,))[0])
+
+    def windows(batches):
+        twice, held = shared.value, Held()
+
+        def flush():
+            contents = list(held.first)
+            r = np.array(list(held.first.values()), PLACE)
+            held.first, held.size = {}, 0
+            return _batch(held.spans(buckets, window) + _rows(HOT, bucket_of(_content_hash(contents), buckets), r, contents))
+
+        for batch in batches:
+            for h, doc, start, more, at in _windows_of(batch, window):
+                k = np.flatnonzero(_has(twice, h))
+                for d, s, i in zip(doc[k].tolist(), start[k].tolist(), at[k].tolist(), strict=True):
+                    held.add(more[i : i + window], (d, s), 1)
+                    if held.size > HELD_BYTES:
+                        yield flush()
+        if held.first:
+            yield flush()
+
+    def last(t: pa.Table) -> pa.Table:
+        r, contents = _unpacked(t, HOT, PLACE, window)
+        index, group = repeated_windows(b"".join(contents), np.arange(len(r)) * window, np.zeros(len(r), np.int64), window)
+        doc, start = r["doc"][index], r["start"][index]
+        again = later(group, doc, start)
+        return pa.Table.from_batches([_batch(_spans_in(t) + _span_rows(doc[again], start[again], start[again] + window, buckets))])
+
+    return hot_runs.mapInArrow(windows, DEALT).groupBy("bucket").applyInArrow(last, DEALT).select("body")
+
+
 def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame:
     """docs (all columns) and kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
@@ -343,13 +506,14 @@ def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame
     """
     out = ("kept", "n_bytes", "n_removed", "n_spans")
     base = docs.drop(*out)
-    spans = written(repeated_spans(base.select("doc_id", text), window, text=text), "spans")
+    held = fresh("spans", base.columns)
+    spans = written(repeated_spans(base.select("doc_id", text), window, text=text), "spans").withColumnRenamed("spans", held)
     maybe, rest = parted(base, "doc_id", spans, "doc_id")
     names = base.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, size, removed, count = [], [], [], []
-        for t, sp in zip(text_bytes(batch.column(text)), batch.column("spans").to_pylist(), strict=True):
+        for t, sp in zip(text_bytes(batch.column(text)), batch.column(held).to_pylist(), strict=True):
             parts, at, n = [], 0, 0
             for s in sp or ():
                 s, e = s["s"], min(s["e"], len(t))
@@ -371,8 +535,8 @@ def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", kept binary, n_bytes long, n_removed long, n_spans long"
     kind = "array<struct<s:bigint,e:bigint>>"
-    some = maybe.join(spans, "doc_id", "left").select(*names, F.col("spans").cast(kind).alias("spans"))
-    rest = rest.withColumn("spans", F.lit(None).cast(kind))
+    some = maybe.join(spans, "doc_id", "left").select(*(F.col(f"`{c}`") for c in names), F.col(held).cast(kind).alias(held))
+    rest = rest.withColumn(held, F.lit(None).cast(kind))
     return map_pieces(some, text, cut, schema).unionByName(map_pieces(rest, text, cut, schema))
 
 
