@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, fresh, map_pieces, parted, pieces, small_batches, text_bytes, written
+from .common import fresh, map_pieces, parted, pieces, small_batches, text_bytes, written
 from .hashing import U, mix, powers, prefix
 
 #: Bits of the filters between passes (16 MB; their size doesn't grow with the data).
@@ -19,6 +19,10 @@ FILTER_BITS = 27
 FILTER_ROWS = 256
 #: Input bytes for each bucket of a pass, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
+#: Input bytes for each task of a pass, and the most tasks (each sorts its buckets by spilling).
+TASK_BYTES, MOST_TASKS = 32 << 20, 50_000
+#: Bytes of text whose windows are looked at together.
+BLOCK_BYTES = 256 << 10
 #: Anchors that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: Runs of an anchor from which they are dealt by later digits too.
@@ -89,12 +93,12 @@ class Runs:
 
 
 def parts_of(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """The texts in lists of parts of about PIECE_BYTES in all; the parts of a long text overlap, so that each window is in one."""
+    """The texts in lists of parts of about BLOCK_BYTES in all; the parts of a long text overlap, so that each window is in one."""
     held, size = [], 0
     for k, t in enumerate(texts):
-        for at in range(0, len(t) - window + 1, PIECE_BYTES):
-            part = t[at : at + PIECE_BYTES + window - 1]
-            if held and size + len(part) > PIECE_BYTES:
+        for at in range(0, len(t) - window + 1, BLOCK_BYTES):
+            part = t[at : at + BLOCK_BYTES + window - 1]
+            if held and size + len(part) > BLOCK_BYTES:
                 yield held
                 held, size = [], 0
             held.append((k, at, part))
@@ -235,13 +239,20 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[pos >> 3] >> (pos & 7)) & 1 == 1
 
 
-def _counted(found: DataFrame, buckets: int, levels: tuple[int, ...]) -> list[np.ndarray]:
+def _dealt(found: DataFrame, total: int):
+    """Rows grouped by bucket, in as many tasks as the total of input bytes asks for: AQE would put many buckets in one."""
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
+    return found.repartition(min(buckets, max(200, total // TASK_BYTES), MOST_TASKS), "bucket").groupBy("bucket")
+
+
+def _counted(found: DataFrame, total: int, levels: tuple[int, ...]) -> list[np.ndarray]:
     """For each level a filter of the hashes that stand more often in rows of packed ANCHOR records.
 
     Buckets own ranges of a filter; the ranges are put together in FILTER_ROWS rows before they
     come to the driver, whatever the number of buckets.
     """
     kind = "level int, row int, low long, bits binary"
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
 
     def count(t: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(t.column("body").to_pylist()), ANCHOR)
@@ -260,7 +271,7 @@ def _counted(found: DataFrame, buckets: int, levels: tuple[int, ...]) -> list[np
         return pa.table({"level": t.column("level").slice(0, 1), "row": t.column("row").slice(0, 1), "low": pa.array([low], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     filters = [np.zeros(1 << FILTER_BITS - 3, np.uint8) for _ in levels]
-    rows = found.groupBy("bucket").applyInArrow(count, kind).groupBy("level", "row").applyInArrow(together, kind)
+    rows = _dealt(found, total).applyInArrow(count, kind).groupBy("level", "row").applyInArrow(together, kind)
     for r in rows.collect():  # FILTER_ROWS a level
         part = np.frombuffer(bytes(r.bits), np.uint8)
         filters[r.level][r.low : r.low + len(part)] |= part
@@ -372,7 +383,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
     def anchors(batches):
         return gathered(Runs(parts, window, gram, hash_bits).anchor for batch in batches for piece in pieces(batch, text) for parts in parts_of(text_bytes(piece.column(text)), window))
 
-    shared = spark.sparkContext.broadcast(_counted(base.mapInArrow(anchors, DEALT), buckets, (1, HOT_RUNS)))
+    shared = spark.sparkContext.broadcast(_counted(base.mapInArrow(anchors, DEALT), total, (1, HOT_RUNS)))
 
     def runs(batches):
         twice, hot = shared.value
@@ -413,18 +424,18 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
             first = np.flatnonzero(~again)
             r, contents = r[first], [contents[k] for k in first.tolist()]
             if kind == HOT:
-                share = PIECE_BYTES // (2 * window)  # records that a row holds
+                share = BLOCK_BYTES // (2 * window)  # records that a row holds
                 rows += [(HOT, t.column("bucket")[0].as_py(), r[i : i + share].tobytes(), b"".join(contents[i : i + share])) for i in range(0, len(r), share)]
             else:
                 doc, start = _among_firsts(r, contents, window)
                 rows += _span_rows(doc, start, start + window, buckets)
         return pa.Table.from_batches([_batch(rows)])
 
-    resolved = written(base.mapInArrow(runs, DEALT).groupBy("bucket").applyInArrow(resolve, DEALT), "runs")
+    resolved = written(_dealt(base.mapInArrow(runs, DEALT), total).applyInArrow(resolve, DEALT), "runs")
     spans = resolved.where(F.col("kind") == SPANS).select("body")
     hot_runs = resolved.where(F.col("kind") == HOT)
     if hot_runs.limit(1).count():
-        spans = spans.unionByName(_hot_windows(hot_runs, gathered, window, buckets))
+        spans = spans.unionByName(_hot_windows(hot_runs, gathered, window, total))
 
     def unpack(batches):
         for batch in batches:
@@ -456,10 +467,11 @@ def _windows_of(t: pa.RecordBatch, window: int):
         yield mix((sums[at + window] - sums[at]) * down[at]), np.repeat(r["doc"], n), np.repeat(r["start"], n) + offset, more, at
 
 
-def _hot_windows(hot_runs: DataFrame, gathered, window: int, buckets: int) -> DataFrame:
+def _hot_windows(hot_runs: DataFrame, gathered, window: int, total: int) -> DataFrame:
     """Spans of windows that stand earlier in another content of a hot anchor."""
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     hashes = hot_runs.mapInArrow(lambda batches: gathered(h for b in batches for h, *_ in _windows_of(b, window)), DEALT)
-    shared = hot_runs.sparkSession.sparkContext.broadcast(_counted(hashes, buckets, (1,))[0])
+    shared = hot_runs.sparkSession.sparkContext.broadcast(_counted(hashes, total, (1,))[0])
 
     def windows(batches):
         twice, held = shared.value, Held()
@@ -487,7 +499,7 @@ def _hot_windows(hot_runs: DataFrame, gathered, window: int, buckets: int) -> Da
         again = later(group, doc, start)
         return pa.Table.from_batches([_batch(_spans_in(t) + _span_rows(doc[again], start[again], start[again] + window, buckets))])
 
-    return hot_runs.mapInArrow(windows, DEALT).groupBy("bucket").applyInArrow(last, DEALT).select("body")
+    return _dealt(hot_runs.mapInArrow(windows, DEALT), total).applyInArrow(last, DEALT).select("body")
 
 
 def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame:
