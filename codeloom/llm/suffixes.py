@@ -79,7 +79,7 @@ class Runs:
         self.at = begin[cut]
         self.len = np.diff(np.r_[cut, len(begin)])
         at_anchor = of[cut]
-        self.anchor, self.shift = grams[at_anchor], at_anchor - self.at
+        self.anchor, self.shift = mix(grams[at_anchor] + U(1)), at_anchor - self.at  # least hashes are small: spread them again
         part = np.searchsorted(ends, self.at, "right")
         self.text = np.array([k for k, _, _ in parts], np.int64)[part]
         self.start = self.at - begins[part] + np.array([b for _, b, _ in parts], np.int64)[part]
