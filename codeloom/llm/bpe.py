@@ -6,17 +6,23 @@ import base64
 import hashlib
 import heapq
 from array import array
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_pieces
+from .common import map_pieces, pieces, small_batches, written
 
-#: Distinct words whose ids a worker remembers: as many recent ones again before they are forgotten.
-REMEMBERED = 150_000
+#: Words of the corpus that are replayed once and broadcast with their ids (64 characters each at most): the most frequent ones.
+COMMON = 200_000
+#: Distinct words that a task counts before it hands them on.
+TALLIED = 200_000
+#: Distinct rarer words whose ids a worker remembers: as many recent ones again before they are forgotten.
+REMEMBERED = 50_000
 #: Longer words are encoded each time, so that what a worker remembers stays small.
 LONGEST_REMEMBERED = 64
 #: Stands between words in the array of symbols; no rank is as high.
@@ -35,11 +41,11 @@ class Codec:
     """Encodes many distinct words at once.
 
     All words lie in one array of symbols, linked to their neighbours. An inverted index holds,
-    for each rank, the positions where a pair makes the token of that rank. A queue gives the
-    lowest rank that is indexed; its pairs are merged at all positions, from left to right, and
-    only the pairs with the two touched neighbours are indexed anew. Words don't affect one
-    another, and within a word the lowest rank goes first and the leftmost of equals: the order
-    that the rank files define.
+    for each pair of tokens, the positions where it stands. A queue gives the lowest rank that
+    an indexed pair makes; the pairs that make it (mostly one) are merged at all their positions,
+    from left to right, and only the pairs with the two touched neighbours are indexed anew.
+    Words don't affect one another, and within a word the lowest rank goes first and the leftmost
+    of equals: the order that the rank files define.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -50,6 +56,7 @@ class Codec:
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         #: Rank of the token that two adjacent tokens make, by first << 32 | second.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.common: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,46 +85,49 @@ class Codec:
                 sym.append(EDGE)
         n, get = len(sym), self.pairs.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        made = [get(a << 32 | b, -1) for a, b in zip(sym, sym[1:], strict=False)]  # by each position and its right neighbour
+        made = [a << 32 | b for a, b in zip(sym, sym[1:], strict=False)]  # the pair of each position and its right neighbour
         made.append(-1)
         index: dict[int, list[int]] = {}
-        for i, r in enumerate(made):
-            if r >= 0:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
-        queue = list(index)
+        of_rank: dict[int, list[int]] = {}
+        for i, pair in enumerate(made):
+            if pair in index:
+                index[pair].append(i)
+            elif (r := get(pair, -1)) >= 0:
+                index[pair] = [i]
+                of_rank.setdefault(r, []).append(pair)
+        queue = list(of_rank)
         heapq.heapify(queue)
         push, pop = heapq.heappush, heapq.heappop
         while queue:
             rank = pop(queue)
-            places = index.pop(rank)
-            places.sort()
+            pairs = of_rank.pop(rank)
+            if len(pairs) == 1:
+                places = index.pop(pairs[0])
+                places.sort()
+            else:
+                pairs = set(pairs)
+                places = sorted(i for p in pairs for i in index.pop(p))
             high = rank << 32
             for i in places:
-                if made[i] != rank:  # touched since it was indexed
+                if made[i] not in pairs:  # touched since it was indexed
                     continue
                 j = right[i]
                 k = right[i] = right[j]
                 left[k] = i
                 sym[i] = rank
                 made[j] = -1
-                r = made[i] = get(high | sym[k], -1)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-                        push(queue, r)
                 h = left[i]
-                r = made[h] = get(sym[h] << 32 | rank, -1)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(h)
-                    else:
-                        index[r] = [h]
-                        push(queue, r)
+                for at, pair in ((i, high | sym[k]), (h, sym[h] << 32 | rank)):
+                    made[at] = pair
+                    if pair in index:
+                        index[pair].append(at)
+                    elif (r := get(pair, -1)) >= 0:
+                        index[pair] = [at]
+                        if r in of_rank:
+                            of_rank[r].append(pair)
+                        else:
+                            of_rank[r] = [pair]
+                            push(queue, r)
         for k, i in begin:
             found = []
             while (s := sym[i]) != EDGE:
@@ -127,10 +137,10 @@ class Codec:
         return out
 
     def encode_words(self, lists: list[list[str]]) -> list[bytes]:
-        """Ids of each list of words, as little-endian unsigned 32-bit integers; words that the worker doesn't remember are replayed together."""
-        known, older = self.known, self.older
+        """Ids of each list of words, as little-endian unsigned 32-bit integers; words that are neither common nor remembered are replayed together."""
+        known, older, common = self.known, self.older, self.common
         new, long = [], []
-        for w in set().union(*lists).difference(known):
+        for w in set().union(*lists).difference(common, known):
             if (x := older.get(w)) is not None:
                 known[w] = x
             else:
@@ -139,7 +149,8 @@ class Codec:
             known[w] = array("I", x).tobytes()
             if len(w) > LONGEST_REMEMBERED:
                 long.append(w)
-        out = [b"".join(map(known.__getitem__, x)) for x in lists]
+        get = common.get
+        out = [b"".join([get(w) or known[w] for w in x]) for x in lists]
         for w in long:
             del known[w]
         if len(known) > REMEMBERED:
@@ -150,18 +161,82 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", digest: bool = False) -> DataFrame:
+def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """word and n of the pattern's matches of LONGEST_REMEMBERED characters at most, over the whole corpus; counted in each task first."""
+    small_batches(docs.sparkSession)
+
+    def tally(batches):
+        import regex
+
+        split = regex.compile(pattern)
+        held: Counter = Counter()
+
+        def flush():
+            rows = [(w, n) for w, n in held.items() if len(w) <= LONGEST_REMEMBERED]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for piece in pieces(batch, text):
+                for t in piece.column(text).to_pylist():
+                    held.update(split.findall(t or ""))
+                if len(held) > TALLIED:
+                    yield flush()
+        yield flush()
+
+    return docs.select(text).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
+    """word and ids (little-endian unsigned 32-bit integers) of distinct words: the merges are replayed over each partition at once."""
+
+    def run(batches):
+        codec = Codec.of(ranks)
+        for batch in batches:
+            some = batch.column("word").to_pylist()
+            ids = [array("I", x).tobytes() for x in codec.replay([w.encode() for w in some])]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids binary")
+
+
+def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> dict[str, bytes]:
+    """The ids of the corpus's most frequent words: those that stand 2 ** k times or more, for the least k of which there are at most `most`.
+
+    Counts are compared by their power of two, so the driver sees a row for each power and then
+    `most` short words. Words that stand once aren't worth the way.
+    """
+    counts = written(word_counts(docs, pattern, text).where("n > 1"), "words")
+    power = F.floor(F.log2("n")).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(power.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True):  # 63 rows at most
+        held += r.c
+        if held > most:
+            break
+        least = r.k
+    if least is None:
+        return {}
+    table = replayed(counts.where(power >= least), ranks).toArrow()  # `most` rows
+    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", digest: bool = False, common: int = COMMON) -> DataFrame:
     """The columns of docs and the token ids of each whole text (or their digests).
 
-    The pattern's matches are encoded separately, without special tokens. The driver reads the
-    rank file (a vocabulary, of fixed size) and broadcasts it.
+    The pattern's matches (words) are encoded separately, without special tokens. The driver
+    reads the rank file (a vocabulary, of fixed size) and broadcasts it. A first scan counts the
+    words of the corpus; the `common` most frequent ones are replayed once, over partitions of
+    distinct words, and broadcast with their ids. A second scan puts the ids together, and
+    replays the rest, most of which stand in one place, for a piece of text at a time.
 
-    Defined cases: null counts as an empty text and has no ids; a column of docs named as an
-    output is replaced; very long words cost n log n.
+    Defined cases: null counts as an empty text and has no ids; equal rows are encoded alike; no
+    rows give no rows; a column of docs named as an output is replaced, others don't matter;
+    very long words cost n log n, and very long texts are a piece each.
     """
     import regex
 
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    frequent = docs.sparkSession.sparkContext.broadcast(common_words(docs, pattern, shared, text, common))
     held: dict[str, object] = {}
     extra = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {ids: "array<int>"}
     base = docs.drop(*extra)
@@ -170,6 +245,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held.update(codec=Codec.of(shared), split=regex.compile(pattern))
+            held["codec"].common = frequent.value
         codec, split = held["codec"], held["split"]
         found = codec.encode_words([split.findall(t or "") for t in batch.column(text).to_pylist()])
         ids_of = [np.frombuffer(x, "<u4") for x in found]

@@ -171,12 +171,16 @@ def test_bpe_matches_the_library(spark):
     path = public.path("byte_bpe_multi_50k.tiktoken")
     lib = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
     rows, odd = odd_docs(spark)
+    assert set(encode(odd.withColumnRenamed("n", "word").withColumnRenamed("bands", "token_ids"), path, public.PATTERN).columns) == {"doc_id", "text", "word", "n_words", "kept", "token_ids"}
     extra = spark.createDataFrame([(20, "aaaaaaaaaaaaaaaaaaaaaaa"), (21, "<|endoftext|> don't  \n\n x"), (22, "日本語 🎉🎉 ñandú"), (23, "é" * 5000)], "doc_id long, text string")
     for df in (documents(spark).select("doc_id", "text"), odd.select("doc_id", "text"), extra):
         done = encode(df, path, public.PATTERN)
         for r in decode(done, path).collect():
             assert list(r.token_ids) == lib.encode_ordinary(r.text or "")
             assert bytes(r.decoded) == (r.text or "").encode()
+        digests = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode(df, path, public.PATTERN, digest=True, common=300).collect()}
+        lists = [(r.doc_id, lib.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in df.collect()]
+        assert digests == {(d, len(x), brute.sha(b"".join(i.to_bytes(4, "little") for i in x)), brute.sha(t)) for d, x, t in lists}
     assert encode(odd.limit(0), path, public.PATTERN).count() == 0
 
 
