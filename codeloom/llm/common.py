@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch handed to Python. Texts of 100 kB then make batches of 50 MB at most;
 #: what a step computes at once is further bounded by PIECE_BYTES.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch at which it is handed on.
+BATCH_BYTES = 16 << 20
 #: Bytes of text that a vectorised step works on at once (a longer text is a piece by itself).
 PIECE_BYTES = 512 << 10
 
@@ -27,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python fewer rows at a time than Spark's 10,000, as texts may be long."""
+    """Hand Python fewer rows and bytes at a time than Spark's 10,000 and 64 MB, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -76,7 +76,51 @@ def test_decontamination(spark):
     assert decontamination_report(odd, items.limit(0)).where("contaminated").count() == 0
     near = spark.createDataFrame([(1, "a b c d x f g h i j k")], "doc_id long, text string")
     r = index_matches(near, spark.createDataFrame([(9, "a b c d e f g h i j k")], "item_id long, text string")).first()
-    assert (r.n_hit, r.n_near) == (0, 1)
+    assert (r.n_hit, r["items"], r.near) == (0, [], ["9"])
+
+
+def plain_near(words, items, size=10, slack=2):
+    """Items without an exact window in words of which a window's terms, all but slack, stand among size + slack words."""
+    out = set()
+    for i, item in items:
+        wins = [item[k : k + size] for k in range(len(item) - size + 1)]
+        if any(words[a : a + size] == w for w in wins for a in range(len(words))):
+            continue
+        if any(len(set(w)) > slack and len(set(w) & set(words[a : a + size + slack])) >= len(set(w)) - slack for w in wins for a in range(max(1, len(words) - size - slack + 1))):
+            out.add(str(i))
+    return sorted(out)
+
+
+def test_proximity(spark):
+    from codeloom.llm.decontam import index_matches
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, rng.choices(vocabulary, k=rng.choice((8, 10, 14)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = rng.choices(vocabulary, k=rng.choice((0, 5, 30)))
+        x = list(rng.choice(items)[1])
+        if d % 3 == 0:
+            rng.shuffle(x)
+        for _ in range(d % 4):
+            x.insert(rng.randrange(len(x) + 1), "gap") if d % 2 else x.__setitem__(rng.randrange(len(x)), "other")
+        docs.append((d, w + x + rng.choices(vocabulary, k=5)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: r.near for r in index_matches(df, bench).collect()}
+    want = {d: plain_near(w, items) for d, w in docs}
+    assert got == want and sum(map(bool, want.values())) > 10
+
+
+def test_without_matches_keeps_the_columns(spark):
+    from codeloom.llm.decontam import without_matches
+
+    bench = spark.createDataFrame([(1, "some words of the benchmark here")], "item_id long, text string")
+    rows = [(1, "well some words of the benchmark here", "mine", 7), (2, "other", "mine", 7), (None, None, "mine", 7), (None, "x some words of the benchmark here y", "mine", 7), (3, "other", "own", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, items string, n_hit int")
+    assert sorted(map(str, without_matches(df, bench).collect())) == sorted(str(r) for r in df.collect() if not (r.text or "").count("benchmark"))
+    assert without_matches(df, bench.limit(0)).count() == 5 and without_matches(df.limit(0), bench).count() == 0
 
 
 def test_decontamination_in_slices(spark, monkeypatch):
