@@ -15,23 +15,25 @@ BLOCK = 4096
 TILE = 1024
 #: Bytes of query vectors that are collected and broadcast at once; more queries take several passes.
 SLICE_BYTES = 16 << 20
-#: Depths, as shares of a list, at which bounds are compared.
-DEPTHS = (0.25, 0.5, 0.75)
-#: Once so few of the (query, vector) pairs can qualify, their scores are resolved; else the lists are read to the end.
+#: Depths, as shares of a list, at which bounds are compared; at the end of all lists both are the score.
+DEPTHS = (0.25, 0.5, 0.75, 1.0)
+#: Share of the (query, vector) pairs that may still qualify when reading stops and their scores are resolved.
 FEW = 0.1
+#: Stands for no score.
+NONE = np.iinfo(np.int64).min
 
 
 class Best:
     """The k best of each query so far: score down, then id up."""
 
     def __init__(self, n: int, k: int):
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), NONE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.k = k
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         """Take in (query, id, score) triples, in any order."""
-        order = np.lexsort((ids, -score, query))
+        order = np.lexsort((ids, ~score, query))
         q, i, s = query[order], ids[order], score[order]
         first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
         begin = np.flatnonzero(first)
@@ -39,63 +41,68 @@ class Best:
         keep = rank < self.k
         q, i, s, rank = q[keep], i[keep], s[keep], rank[keep]
         rows = q[rank == 0]
-        new_s, new_i = np.full((len(rows), self.k), -np.inf), np.full((len(rows), self.k), np.iinfo(np.int64).max)
+        new_s, new_i = np.full((len(rows), self.k), NONE), np.full((len(rows), self.k), np.iinfo(np.int64).max)
         at = np.searchsorted(rows, q)
         new_s[at, rank], new_i[at, rank] = s, i
         all_s, all_i = np.hstack([self.score[rows], new_s]), np.hstack([self.id[rows], new_i])
-        pick = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
+        pick = np.lexsort((all_i, ~all_s), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
 
 
+def scores_of(q: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Integer inner products of the rows of q and x, row by row; `most` bounds their size."""
+    if most < 1 << 63:
+        return np.einsum("nd,nd->n", q, x)
+    exact = [sum(a * b for a, b in zip(v, w, strict=True)) for v, w in zip(q.tolist(), x.tolist(), strict=True)]
+    if any(abs(s) >= 1 << 63 for s in exact):
+        raise ArithmeticError("an inner product doesn't fit in 64 bits")
+    return np.array(exact, np.int64)
+
+
 def search_block(best: Best, at: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
     """Take a block of vectors into the best of the queries at .. at + len(q).
 
     Each component has a list of the block's vectors sorted by it. For a query, a list is read
     from the top where the query's component is positive and from the bottom where it is
-    negative. At each depth a vector's upper bound takes the read components as they are and the
-    others as the last value read; its lower bound takes the others as the list's last value. A
-    vector is out for a query once its upper bound is below the k-th best lower bound or score.
-    Reading stops when few can qualify; only their scores are then resolved.
+    negative. At each depth a vector's upper bound takes the components read so far as they are
+    and the others as the last value read; its lower bound takes the others as the list's last
+    value. A vector is out for a query once its upper bound is below the k-th best lower bound,
+    or the k-th best score of earlier blocks. No score is looked up on the way: reading stops
+    when few can qualify, at the lists' ends at last, and the scores of those are then resolved.
     """
     n, k = len(x), best.k
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * x.shape[1]
+    kind = np.float32 if 4 * most < 1 << 24 else np.float64
+    slack = 0.0 if 4 * most < 1 << 53 else most * 2.0**-46  # what rounding may add to a bound
+    whole_q, whole_x = q, x
+    q, x = q.astype(kind), x.astype(kind)
     lists = np.sort(x, axis=0)
     low, high = lists[0], lists[-1]
     pos, neg = np.maximum(q, 0), np.minimum(q, 0)
-    least = best.score[at : at + len(q), -1].copy()
+    kth = best.score[at : at + len(q), -1]
+    least = np.where(kth == NONE, -np.inf, kth.astype(np.float64))
     live = q_ids[:, None] != x_ids[None, :]
     for depth in DEPTHS:
         t = max(1, math.ceil(depth * n))
         top, bottom = lists[n - t], lists[t - 1]
         from_top, from_bottom = x >= top, x <= bottom  # read so far, with all equals of the last value
-        upper = pos @ np.where(from_top, x - top, 0).T
-        upper += neg @ np.where(from_bottom, x - bottom, 0).T
-        upper += (pos @ top + neg @ bottom)[:, None]
-        lower = pos @ np.where(from_top, x - low, 0).T
-        lower += neg @ np.where(from_bottom, x - high, 0).T
-        lower += (pos @ low + neg @ high)[:, None]
         if n > k:
+            lower = pos @ np.where(from_top, x - low, 0).T
+            lower += neg @ np.where(from_bottom, x - high, 0).T
+            lower += (pos @ low + neg @ high)[:, None]
             lower[~live] = -np.inf
             np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k], out=least)
-            # The likeliest are resolved first, so that their scores bound the others.
-            upper[~live] = -np.inf
-            lead = np.argpartition(upper, n - k, axis=1)[:, n - k :]
-            score = np.einsum("qd,qkd->qk", q, x[lead])
-            score[~np.take_along_axis(live, lead, 1)] = -np.inf
-            np.maximum(least, score.min(axis=1), out=least)
-        live &= upper >= least[:, None]
+        upper = pos @ np.where(from_top, x - top, 0).T
+        upper += neg @ np.where(from_bottom, x - bottom, 0).T
+        upper += (pos @ top + neg @ bottom)[:, None]
+        live &= upper >= (least - 2 * slack)[:, None]
         if np.count_nonzero(live) <= FEW * live.size:
             break
-    if np.count_nonzero(live) <= FEW * live.size:
-        a, b = np.nonzero(live)
-        step = max(1, (1 << 22) // max(1, x.shape[1]))
-        score = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + step]], x[b[i : i + step]]) for i in range(0, len(a), step)] or [np.zeros(0)])
-    else:  # to the lists' ends, where both bounds are the score
-        full = q @ x.T
-        live &= full >= least[:, None]
-        a, b = np.nonzero(live)
-        score = full[a, b]
-    if len(a):
-        best.add(a + at, x_ids[b], score.astype(np.float64))
+    a, b = np.nonzero(live)
+    step = max(1, (1 << 21) // max(1, x.shape[1]))
+    for i in range(0, len(a), step):
+        qi, xi = a[i : i + step], b[i : i + step]
+        best.add(qi + at, x_ids[xi], scores_of(whole_q[qi], whole_x[xi], most))
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -104,7 +111,7 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
         col = col.combine_chunks()
     lens = np.diff(col.offsets.to_numpy())
     flat = col.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(col), dim))
+    out = np.zeros((len(col), dim), np.int64)
     row = np.repeat(np.arange(len(col)), lens)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
     inside = place < dim
@@ -124,7 +131,8 @@ def top_k(vectors: DataFrame, k: int = 5, is_query=None, scale: int = 256, vec_i
     queries or candidates; all rows with the query's own id are its own; equal query rows count
     once; a repeated candidate row counts as often as it stands; of vectors of unequal length
     the shorter ends in zeros; ties go to the smaller id; fewer than k candidates give fewer
-    rows. Products are exact below 2 ** 53; larger ones raise an error. Other columns don't matter.
+    rows, no rows none; null ids take no part. Scores are exact; one beyond 64 bits raises an
+    error, and components of 2 ** 63 / scale or more count as that. Other columns don't matter.
 
     Returns query_id, rank, vec_id, score.
     """
@@ -150,8 +158,7 @@ def top_k(vectors: DataFrame, k: int = 5, is_query=None, scale: int = 256, vec_i
 def _search(base: DataFrame, queries: pa.Table, dim: int, k: int) -> DataFrame:
     q_ids = queries.column("id").to_numpy()
     q = _matrix(queries.column("v"), dim)
-    most = float(np.abs(q).max(initial=0))
-    shared = base.sparkSession.sparkContext.broadcast((q_ids, q.astype(np.float32) if most < 1 << 24 else q))
+    shared = base.sparkSession.sparkContext.broadcast((q_ids, q))
 
     def run(batches):
         ids, q = shared.value
@@ -160,13 +167,8 @@ def _search(base: DataFrame, queries: pa.Table, dim: int, k: int) -> DataFrame:
         def take(held):
             x_ids = np.concatenate([b.column("id").to_numpy() for b in held])
             x = np.vstack([_matrix(b.column("v"), dim) for b in held])
-            bound = most * float(np.abs(x).max(initial=0)) * dim * 4
-            if bound >= 2.0**53:
-                raise ArithmeticError("an inner product may be beyond the exact range")
-            kind = np.float32 if bound < 2**24 else np.float64
-            x = x.astype(kind)
             for at in range(0, len(ids), TILE):
-                search_block(best, at, q[at : at + TILE].astype(kind), ids[at : at + TILE], x, x_ids)
+                search_block(best, at, q[at : at + TILE], ids[at : at + TILE], x, x_ids)
 
         held, n = [], 0
         for b in batches:
@@ -179,9 +181,9 @@ def _search(base: DataFrame, queries: pa.Table, dim: int, k: int) -> DataFrame:
                 n += piece.num_rows
         if n:
             take(held)
-        a, r = np.nonzero(best.score > -np.inf)
+        a, r = np.nonzero(best.score != NONE)
         for i in range(0, len(a), 1 << 16):
             aa, rr = a[i : i + (1 << 16)], r[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(aa.astype(np.int32)), pa.array(ids[aa]), pa.array(best.id[aa, rr]), pa.array(best.score[aa, rr].astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(aa.astype(np.int32)), pa.array(ids[aa]), pa.array(best.id[aa, rr]), pa.array(best.score[aa, rr])], names=["q", "query_id", "vec_id", "score"])
 
     return base.select("id", "v").mapInArrow(run, "q int, query_id long, vec_id long, score long")

@@ -40,6 +40,43 @@ def test_topk(spark):
     assert top_k(few).count() == 1
 
 
+def test_topk_of_large_odd_and_repeated_vectors(spark):
+    from codeloom.llm.topk import top_k
+
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-30000, 30000) for _ in range(64)], 1) for i in range(120)] + [(50, None, 2), (None, [1.0] * 64, 3), (7, [float(2**24)] * 64, 4), (130, [1e9] * 3, 5)]
+    rows += [rows[3], rows[50]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(2)
+    got = sorted(map(tuple, top_k(df).select("query_id", "rank", "vec_id", "score").collect()))
+    pad = lambda v: None if v is None else list(v) + [0.0] * (64 - len(v))
+    queries = {i for i, v, _ in rows if i is not None and v is not None and i % 50 == 0}
+    want = []
+    import numpy as np
+
+    whole = [(i, [int(np.floor(256 * np.float64(c))) for c in pad(v)]) for i, v, _ in rows if i is not None and v is not None]
+    for q in sorted(queries):
+        mine = next(v for i, v in whole if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in whole if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert got == want
+
+
+def test_topk_lists_stop_early():
+    import numpy as np
+
+    from codeloom.llm.topk import Best, search_block
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-50, 50, (500, 2))
+    q = np.array([[40, 1], [-3, 30]])
+    best = Best(2, 5)
+    search_block(best, 0, q, np.array([-1, -2]), x, np.arange(500))
+    for i in range(2):
+        s = x @ q[i]
+        order = np.lexsort((np.arange(500), -s))[:5]
+        assert best.id[i].tolist() == order.tolist() and best.score[i].tolist() == s[order].tolist()
+
+
 @pytest.mark.parametrize("depth", ["sf", "odd"])
 def test_suffix(spark, depth):
     from codeloom.llm.suffixes import cleaned, dedup_report
