@@ -14,6 +14,8 @@ BANDS, ROWS = 25, 4
 #: Members of a pivot that are compared in one task, and about how many shingles their sets may sum to (8 bytes each).
 SLICE = 2000
 SLICE_SHINGLES = 1 << 20
+#: Parts in which a large pivot's members are dealt when they meet what is known of it.
+SALTS = 64
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -221,6 +223,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     A pair of the least similarity is missed with probability (1 - t ** 4) ** 25: 2e-6 at 0.8, 1e-8 at 0.85.
 
+    Shingles are told apart by 64-bit hashes, and sets of equal texts by 128 bits of them: two
+    different shingles of one document pair have equal hashes with a probability of about 1e-19
+    times their number squared.
+
     Defined cases: a null or empty text, or one of spaces, has no shingles and is linked with
     nothing; fewer words than `width` make one shingle; rows with one doc_id are one document
     as far as links go; a null doc_id is linked with nothing and kept; no rows give no rows.
@@ -240,7 +246,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     sets = written(_sets_of(docs, pairs.select("rep").distinct(), width, text).dropDuplicates(["rep"]), "sets")
 
     slices = pairs.groupBy("p").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("n") / SLICE_SHINGLES)).cast("int").alias("slices"))
-    placed = written(pairs.join(slices, "p").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), "placed")
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    spread = slices.where("slices > 1").select("p", "slices", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # large pivots only, so that one's members meet it in SALTS tasks
+    placed = pairs.withColumn("salt", salt).join(spread, ["p", "salt"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    placed = written(placed.select("p", "rep", "n", "slices", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int").alias("s")), "placed")
     with_pivot = placed.select("p", "s", "rep").unionByName(slices.where("slices > 1").select("p", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), F.col("p").alias("rep"))).distinct()
     links = written(_links(with_pivot.withColumn("label", F.col("rep")), sets, percent), "links")
     roots = connected(links)
