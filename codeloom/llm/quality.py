@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_pieces, text_bytes
+from .common import crc_mod, map_pieces, text_bytes, written
 
 #: Hashed words, and the statistics' buckets behind them.
 WORDS = 1 << 16
@@ -23,6 +23,8 @@ FEATURES = WORDS + len(STATS) * STEPS
 RANK = 4
 #: Labelled texts that the model is fitted on at most: those of lowest hash, in the labels' own proportion.
 SAMPLE = 10_000
+#: Features that these may have in all (12 bytes each on the driver).
+SAMPLE_PLACES = 1 << 23
 #: Passes over the sample, its mini-batches' rows, the step size and the penalty.
 EPOCHS, ROWS, STEP, PENALTY = 6, 64, 0.08, 1e-5
 #: Share by which the words and the statistics enter the squared norm of a text's features.
@@ -144,9 +146,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", held_out=None) -> Machine | None:
     """A machine fitted to labelled texts outside held_out (by default, crc32 of the id modulo 4 is 2).
 
-    The SAMPLE labelled documents of lowest hash are taken (all, if fewer): their ids first, from
-    the labels alone, then their texts by a join with that bounded list. Executors turn them into
-    features, the driver fits. With one label only, there is no machine.
+    The SAMPLE labelled documents of lowest hash are taken (all, if fewer), as far as their
+    features stay below SAMPLE_PLACES in all: their ids first, from the labels alone, then their
+    texts by a join with that bounded list. Executors turn them into features, the driver fits.
+    With one label only, there is no machine.
+
+    Defined cases: null texts count as empty; labels of no document, of a null doc_id or other
+    than 0 and 1 don't count; of several labels of a document the greater counts; rows of one
+    doc_id are each learned from; no rows or no labels give no machine.
     """
     held_out = crc_mod("doc_id", 4) == 2 if held_out is None else held_out
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -161,6 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", held_out=None)
         )
 
     rows = map_pieces(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id"), text, fn, "doc_id long, quality int, places array<int>, values array<float>")
+    rows = written(rows, "features")
+    sizes = [(r.doc_id, r.n) for r in rows.groupBy("doc_id").agg(F.sum(F.size("places")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]  # SAMPLE rows at most
+    held = np.cumsum([n for _, n in sizes]) <= SAMPLE_PLACES
+    if not held.all():
+        few = docs.sparkSession.createDataFrame([(d,) for (d, _), h in zip(sizes, held, strict=True) if h], "doc_id long")
+        rows = rows.join(F.broadcast(few), "doc_id", "left_semi")
     got = rows.orderBy("doc_id").toArrow()
     y = got.column("quality").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
