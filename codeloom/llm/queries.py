@@ -75,4 +75,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, the rows depend on what is fitted, on a vocabulary's merges or on wrappers of pages, which SQL doesn't express."""
+    from .oracles import SQL
+
+    return dict(SQL)
