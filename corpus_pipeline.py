@@ -1,4 +1,11 @@
-"""A corpus made ready for training: five stages, each of which works on what the one before kept."""
+"""A corpus made ready for training: five stages, each of which works on what the one before kept.
+
+In every stage: null and empty texts have no words, so they are scored, linked with nothing,
+uncontaminated, without secrets and without tokens; repeated rows are treated alike, but that of
+equal texts with different ids one document stays; whole texts count, however long; a null doc_id
+is kept by the stages that go by ids; an empty table gives an empty one; columns of any name
+besides those of documents come through the filtering stages as they are.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     machine = quality.train(docs, common.table(spark, sf_dir, "labels"))
     if machine is None:
         return docs
-    return quality.score_quality(docs, machine, out="__score").where("__score >= 0.7").select(*docs.columns)
+    score = common.fresh("score", docs.columns)
+    return quality.score_quality(docs, machine, out=score).where(F.col(score) >= 0.7).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
-    return decontam.index_matches(docs, common.table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    return decontam.without_matches(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
