@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import map_pieces, pieces, small_batches, written
 
 #: Words of the corpus that are replayed once and broadcast with their ids (64 characters each at most): the most frequent ones.
-COMMON = 200_000
+COMMON = 600_000
 #: Distinct words that a task counts before it hands them on.
-TALLIED = 200_000
+TALLIED = 400_000
 #: Distinct rarer words whose ids a worker remembers: as many recent ones again before they are forgotten.
 REMEMBERED = 50_000
 #: Longer words are encoded each time, so that what a worker remembers stays small.
@@ -37,6 +37,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Common(dict):
+    """Ids of common words; of another word, those that the codec remembers."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self.codec.known[word]
+
+
 class Codec:
     """Encodes many distinct words at once.
 
@@ -56,7 +63,8 @@ class Codec:
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         #: Rank of the token that two adjacent tokens make, by first << 32 | second.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.common: dict[str, bytes] = {}
+        self.source: tuple[list[str], list[bytes]] | None = None
+        self.knows(([], []))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,6 +77,12 @@ class Codec:
             _codecs[key] = cls(shared.value)
         return _codecs[key]
 
+    def knows(self, source: tuple[list[str], list[bytes]]) -> None:
+        """Take the common words and their ids, unless they are those held already."""
+        if self.source is not source:
+            self.source, self.common = source, Common(zip(*source, strict=True))
+            self.common.codec = self
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is itself a token stays whole, whether or not merges lead to it."""
         out: list[list[int]] = [[]] * len(words)
@@ -149,8 +163,7 @@ class Codec:
             known[w] = array("I", x).tobytes()
             if len(w) > LONGEST_REMEMBERED:
                 long.append(w)
-        get = common.get
-        out = [b"".join([get(w) or known[w] for w in x]) for x in lists]
+        out = [b"".join(map(common.__getitem__, x)) for x in lists]
         for w in long:
             del known[w]
         if len(known) > REMEMBERED:
@@ -200,24 +213,24 @@ def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids binary")
 
 
-def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> dict[str, bytes]:
-    """The ids of the corpus's most frequent words: those that stand 2 ** k times or more, for the least k of which there are at most `most`.
+def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> tuple[list[str], list[bytes]]:
+    """The corpus's most frequent words, `most` at most, and their ids: all that stand k times or more, for the least k that keeps the limit.
 
-    Counts are compared by their power of two, so the driver sees a row for each power and then
-    `most` short words. Words that stand once aren't worth the way.
+    Counts from 1024 on are compared by their power of two, so the driver sees some 1,100 rows
+    and then `most` short words. Words that stand once aren't worth the way.
     """
     counts = written(word_counts(docs, pattern, text).where("n > 1"), "words")
-    power = F.floor(F.log2("n")).cast("int")
+    power = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n")) + 1014)  # of 1024: 1024
     held, least = 0, None
-    for r in sorted(counts.groupBy(power.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True):  # 63 rows at most
+    for r in sorted(counts.groupBy(power.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True):  # 1,078 rows at most
         held += r.c
         if held > most:
             break
         least = r.k
     if least is None:
-        return {}
+        return [], []
     table = replayed(counts.where(power >= least), ranks).toArrow()  # `most` rows
-    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+    return table.column("word").to_pylist(), table.column("ids").to_pylist()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", digest: bool = False, common: int = COMMON) -> DataFrame:
@@ -245,7 +258,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held.update(codec=Codec.of(shared), split=regex.compile(pattern))
-            held["codec"].common = frequent.value
+            held["codec"].knows(frequent.value)
         codec, split = held["codec"], held["split"]
         found = codec.encode_words([split.findall(t or "") for t in batch.column(text).to_pylist()])
         ids_of = [np.frombuffer(x, "<u4") for x in found]
