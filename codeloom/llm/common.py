@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch at which it is handed on.
 BATCH_BYTES = 16 << 20
+#: Bytes of a row group of an intermediate table.
+ROW_GROUP_BYTES = 16 << 20
 #: Bytes of text that a vectorised step works on at once (a longer text is a piece by itself).
 PIECE_BYTES = 512 << 10
 
@@ -47,10 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. Lost executors don't lose it."""
+    """Cut the lineage: write df to the shared folder and read it back. Lost executors don't lose it.
+
+    Row groups are small, as a task holds one whole while it writes or reads rows of some size.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
