@@ -7,7 +7,6 @@ import hashlib
 import heapq
 from array import array
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +56,12 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = [b""] * (max(ranks.values()) + 1)
+        token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
-            self.token[r] = t
+            token[r] = t
+        self.flat = np.frombuffer(b"".join(token), np.uint8)
+        self.sizes = np.array([len(t) for t in token], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         #: Rank of the token that two adjacent tokens make, by first << 32 | second.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
@@ -130,18 +132,27 @@ class Codec:
                 left[k] = i
                 sym[i] = rank
                 made[j] = -1
+                pair = made[i] = high | sym[k]
+                if pair in index:
+                    index[pair].append(i)
+                elif (r := get(pair, -1)) >= 0:
+                    index[pair] = [i]
+                    if r in of_rank:
+                        of_rank[r].append(pair)
+                    else:
+                        of_rank[r] = [pair]
+                        push(queue, r)
                 h = left[i]
-                for at, pair in ((i, high | sym[k]), (h, sym[h] << 32 | rank)):
-                    made[at] = pair
-                    if pair in index:
-                        index[pair].append(at)
-                    elif (r := get(pair, -1)) >= 0:
-                        index[pair] = [at]
-                        if r in of_rank:
-                            of_rank[r].append(pair)
-                        else:
-                            of_rank[r] = [pair]
-                            push(queue, r)
+                pair = made[h] = sym[h] << 32 | rank
+                if pair in index:
+                    index[pair].append(h)
+                elif (r := get(pair, -1)) >= 0:
+                    index[pair] = [h]
+                    if r in of_rank:
+                        of_rank[r].append(pair)
+                    else:
+                        of_rank[r] = [pair]
+                        push(queue, r)
         for k, i in begin:
             found = []
             while (s := sym[i]) != EDGE:
@@ -154,7 +165,9 @@ class Codec:
         """Ids of each list of words, as little-endian unsigned 32-bit integers; words that are neither common nor remembered are replayed together."""
         known, older, common = self.known, self.older, self.common
         new, long = [], []
-        for w in set().union(*lists).difference(common, known):
+        for w in set().union(*lists):
+            if w in common or w in known:
+                continue
             if (x := older.get(w)) is not None:
                 known[w] = x
             else:
@@ -170,8 +183,16 @@ class Codec:
             self.known, self.older = {}, known
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids, gathered from the tokens' bytes laid end to end."""
+        ids = np.concatenate([*lists, np.zeros(0, np.uint32)])
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begins[ids] - (ends - size), size)
+        at += np.arange(len(at), dtype=at.dtype)
+        whole = self.flat[at].tobytes()
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, lists)])].tolist()
+        return [whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -266,7 +287,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
             cols = [
                 pa.array([len(x) for x in ids_of], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
-                pa.array([hashlib.sha256(codec.decode(x.tolist())).hexdigest() for x in ids_of], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids_of)], pa.string()),
             ]
         else:
             cols = [pa.array([x.astype(np.int32) for x in ids_of], pa.list_(pa.int32()))]
@@ -283,9 +304,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
     names = base.columns
 
     def run(batches):
-        token = {r: t for t, r in shared.value.items()}
+        codec = Codec.of(shared)
         for batch in batches:
-            found = [b"".join(map(token.__getitem__, x or ())) for x in batch.column(ids).to_pylist()]
+            found = codec.decode([np.array(x or (), np.int64) for x in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, out])
 
     return base.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"`{out}` binary"]))
