@@ -24,6 +24,10 @@ TALLIED = 400_000
 REMEMBERED = 50_000
 #: Longer words are encoded each time, so that what a worker remembers stays small.
 LONGEST_REMEMBERED = 64
+#: Longer words (in bytes) take a queue; sweeps over them would be many.
+SWEPT_BYTES = 64
+#: Stands for a pair that makes no token.
+NO_RANK = np.iinfo(np.int64).max
 #: Stands between words in the array of symbols; no rank is as high.
 EDGE = 1 << 31
 
@@ -46,12 +50,13 @@ class Common(dict):
 class Codec:
     """Encodes many distinct words at once.
 
-    All words lie in one array of symbols, linked to their neighbours. An inverted index holds,
-    for each pair of tokens, the positions where it stands. A queue gives the lowest rank that
-    an indexed pair makes; the pairs that make it (mostly one) are merged at all their positions,
-    from left to right, and only the pairs with the two touched neighbours are indexed anew.
-    Words don't affect one another, and within a word the lowest rank goes first and the leftmost
-    of equals: the order that the rank files define.
+    All words lie in one array of symbols. An inverted index tells, for each pair of tokens, where
+    it stands and which rank it makes; pairs of the lowest rank are merged at all their
+    positions, from left to right, and only the pairs with the two touched neighbours are indexed
+    anew. Words don't affect one another, and within a word the lowest rank goes first and the
+    leftmost of equals: the order that the rank files define. So the merges of many short words
+    are applied in sweeps, each of which takes every word's lowest rank (see swept); in long
+    words, a queue gives the lowest rank of all (see queued).
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -65,6 +70,9 @@ class Codec:
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         #: Rank of the token that two adjacent tokens make, by first << 32 | second.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.byte_array = np.array(self.byte_ids, np.int64)
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.source: tuple[list[str], list[bytes]] | None = None
         self.knows(([], []))
         self.known: dict[str, bytes] = {}
@@ -85,20 +93,77 @@ class Codec:
             self.source, self.common = source, Common(zip(*source, strict=True))
             self.common.codec = self
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. A word that is itself a token stays whole, whether or not merges lead to it."""
-        out: list[list[int]] = [[]] * len(words)
-        sym: list[int] = [EDGE]
-        begin: list[tuple[int, int]] = []
-        ids = self.byte_ids
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers. A word that is itself a token stays whole, whether or not merges lead to it."""
+        out = [b""] * len(words)
+        short, long = [], []
         for k, w in enumerate(words):
             r = self.ranks.get(w)
             if r is not None:
-                out[k] = [r]
+                out[k] = r.to_bytes(4, "little")
             elif w:
-                begin.append((k, len(sym)))
-                sym += [ids[b] for b in w]
-                sym.append(EDGE)
+                (short if len(w) <= SWEPT_BYTES else long).append(k)
+        for some, merged in ((short, self.swept), (long, self.queued)):
+            for k, x in zip(some, merged([words[k] for k in some]), strict=True):
+                out[k] = x
+        return out
+
+    def swept(self, words: list[bytes]) -> list[bytes]:
+        """Ids of short words. The index is an array: the rank that each position makes with its right neighbour."""
+        if not words:
+            return []
+        sym = self.byte_array[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        made = self.made(sym[:-1], sym[1:])
+        made[word[:-1] != word[1:]] = NO_RANK
+        made = np.append(made, NO_RANK)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            least = np.repeat(np.minimum.reduceat(made, first), np.diff(np.r_[first, len(word)]))
+            live = least < NO_RANK
+            if not live.all():
+                done.append((word[~live], sym[~live]))
+                sym, word, made, least = sym[live], word[live], made[live], least[live]
+                if not len(sym):
+                    break
+            merge = made == least
+            chained = np.flatnonzero(merge[1:] & merge[:-1]) + 1
+            if len(chained):  # overlapping pairs: every other one from the left
+                at = np.flatnonzero(merge)
+                head = np.r_[True, np.diff(at) != 1]
+                merge[at[(np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 1]] = False
+            sym[merge] = least[merge]
+            keep = np.r_[True, ~merge[:-1]]
+            at = (np.cumsum(keep) - 1)[merge]
+            sym, word, made = sym[keep], word[keep], made[keep]
+            touched = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            right = np.minimum(touched + 1, len(sym) - 1)
+            new = self.made(sym[touched], sym[right])
+            new[(right == touched) | (word[right] != word[touched])] = NO_RANK
+            made[touched] = new
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        ids = ids[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(of, minlength=len(words))) * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks that pairs of tokens make, or NO_RANK."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+
+    def queued(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any length, whose symbols are linked to their neighbours."""
+        out = [b""] * len(words)
+        sym: list[int] = [EDGE]
+        begin: list[tuple[int, int]] = []
+        ids = self.byte_ids
+        for k, w in enumerate(words):
+            begin.append((k, len(sym)))
+            sym += [ids[b] for b in w]
+            sym.append(EDGE)
         n, get = len(sym), self.pairs.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         made = [a << 32 | b for a, b in zip(sym, sym[1:], strict=False)]  # the pair of each position and its right neighbour
@@ -158,7 +223,7 @@ class Codec:
             while (s := sym[i]) != EDGE:
                 found.append(s)
                 i = right[i]
-            out[k] = found
+            out[k] = array("I", found).tobytes()
         return out
 
     def encode_words(self, lists: list[list[str]]) -> list[bytes]:
@@ -173,7 +238,7 @@ class Codec:
             else:
                 new.append(w)
         for w, x in zip(new, self.replay([w.encode() for w in new]), strict=True):
-            known[w] = array("I", x).tobytes()
+            known[w] = x
             if len(w) > LONGEST_REMEMBERED:
                 long.append(w)
         out = [b"".join(map(common.__getitem__, x)) for x in lists]
@@ -228,7 +293,7 @@ def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
         codec = Codec.of(ranks)
         for batch in batches:
             some = batch.column("word").to_pylist()
-            ids = [array("I", x).tobytes() for x in codec.replay([w.encode() for w in some])]
+            ids = codec.replay([w.encode() for w in some])
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
 
     return words.select("word").mapInArrow(run, "word string, ids binary")

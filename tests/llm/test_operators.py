@@ -265,6 +265,27 @@ def test_bpe_matches_the_library(spark):
     assert encode(odd.limit(0), path, public.PATTERN).count() == 0
 
 
+def test_merges_of_short_and_long_words():
+    import public_tokenizers as public
+    import tiktoken
+
+    from codeloom.llm.bpe import Codec, read_ranks
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = read_ranks(path)
+    lib = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    tokens = [t.decode() for t in list(ranks)[300:9000] if t.isascii()]
+    words = ["".join(rng.choices(tokens, k=rng.randint(1, 5))) for _ in range(3000)] + ["".join(rng.choices("aeilnot", k=rng.randint(1, 64))) for _ in range(1500)]
+    words += ["a" * n for n in range(1, 70)] + ["ab" * n for n in range(1, 40)] + ["é" * n for n in (1, 5, 31, 32, 33, 400)] + ["".join(rng.choices("etaoin ", k=3000)), "x"]
+    codec = Codec(ranks)
+    raw = [w.encode() for w in words]
+    want = [b"".join(i.to_bytes(4, "little") for i in lib.encode_ordinary(w)) for w in words]
+    assert codec.replay(raw) == want
+    more = [w for w in raw if w not in ranks]
+    assert codec.queued(more) == [x for w, x in zip(raw, want, strict=True) if w not in ranks] and codec.replay([]) == []
+
+
 def test_shards(spark):
     from codeloom.llm.shards import shard_by_bytes
 
