@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, pieces, small_batches, written
+from .common import map_pieces, pieces, small_batches, tidy, written
 
 #: Words of the corpus that are replayed once and broadcast with their ids (64 characters each at most): the most frequent ones.
 COMMON = 600_000
@@ -283,7 +283,7 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select(text).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(tally), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
@@ -296,7 +296,7 @@ def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
             ids = codec.replay([w.encode() for w in some])
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+    return words.select("word").mapInArrow(tidy(run), "word string, ids binary")
 
 
 def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> tuple[list[str], list[bytes]]:
@@ -374,4 +374,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
             found = codec.decode([np.array(x or (), np.int64) for x in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, out])
 
-    return base.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"`{out}` binary"]))
+    return base.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"`{out}` binary"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -25,6 +26,35 @@ ROW_GROUP_BYTES = 16 << 20
 PIECE_BYTES = 512 << 10
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as a worker process waits for its next task with all that it has."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def tidy(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, and trim at the end of its task."""
+
+    def run(batches):
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
+def tidy_group(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """fn, and trim after each group."""
+
+    def run(t):
+        out = fn(t)
+        trim()
+        return out
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; any path that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,7 +118,7 @@ def map_pieces(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
             for piece in pieces(batch, text, limit):
                 yield fn(piece)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:
@@ -146,6 +176,6 @@ def parted(df: DataFrame, col: str, ids: DataFrame, ids_col: str) -> tuple[DataF
                 has = has_place(bits, place.fill_null(0).to_numpy()) & ~place.is_null().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(has == want)).drop_columns([mark])
 
-        return marked.mapInArrow(run, df.schema)
+        return marked.mapInArrow(tidy(run), df.schema)
 
     return pick(True), pick(False)

@@ -11,10 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_pieces, parted, text_bytes, written
+from .common import fresh, map_pieces, parted, text_bytes, tidy, written
 
 #: Bytes of text in a segment of the index (a longer text is one by itself).
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 256 << 10
 #: Places left free between the documents of a segment: no window and no stretch crosses them.
 GAP = 256
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark takes several passes over the index.
@@ -249,7 +249,7 @@ def term_counts(index: DataFrame, terms: list[bytes]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["term", "n"])
 
     out = np.zeros(len(terms), np.int64)
-    table = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the slice
+    table = index.select("terms", "counts").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the slice
     out[table.column("term").to_numpy()] = table.column("n").to_numpy()
     return out
 
@@ -340,7 +340,7 @@ def _pass(index: DataFrame, items, window: int, slack: int, n_kept: int) -> Data
                 yield one(held["s"], {c: batch.column(c)[i] for c in batch.schema.names})
 
     schema = "segment long, nth long, n_words long, n_hit long, items array<string>, near array<string>, spans array<struct<s:long,e:long>>"
-    return index.mapInArrow(run, schema + "".join(f", {k} {index.schema[k].dataType.elementType.simpleString()}" for k in kept))
+    return index.mapInArrow(tidy(run), schema + "".join(f", {k} {index.schema[k].dataType.elementType.simpleString()}" for k in kept))
 
 
 def index_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int = 2, text: str = "text") -> DataFrame:

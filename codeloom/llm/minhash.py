@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_place, id_filter, id_place, map_pieces, parted, pieces, small_batches, text_bytes, written
+from .common import has_place, id_filter, id_place, map_pieces, parted, pieces, small_batches, text_bytes, tidy, tidy_group, written
 from .hashing import U, mix, word_hashes
 
 BANDS, ROWS = 25, 4
@@ -115,7 +115,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str) -> DataFram
                 sets = [_signed(s) for s in shingle_sets(text_bytes(piece.column(text)), width)]
                 yield pa.RecordBatch.from_arrays([piece.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return base.mapInArrow(run, "rep long, shingles array<long>").join(ids, "rep", "left_semi")
+    return base.mapInArrow(tidy(run), "rep long, shingles array<long>").join(ids, "rep", "left_semi")
 
 
 def links_within(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -183,7 +183,7 @@ def _links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         b = np.array([min(rep[x], rep[y]) for x, y in pairs], np.int64)
         return pa.table({"a": a, "b": b})
 
-    return placed.groupBy("p", "s").applyInArrow(block, "a long, b long")
+    return placed.groupBy("p", "s").applyInArrow(tidy_group(block), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, written
+from .common import map_pieces, tidy, written
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -238,7 +238,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *out])
 
     schema = ", ".join([*(f"`{c}` {scanned.schema[c].dataType.simpleString()}" for c in names), "n_assign long, n_access long, n_hex long, base array<string>, spans array<string>"])
-    return scanned.mapInArrow(run, schema)
+    return scanned.mapInArrow(tidy(run), schema)
 
 
 def _shown(s: dict) -> str:

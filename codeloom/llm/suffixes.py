@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_pieces, parted, pieces, small_batches, text_bytes, written
+from .common import fresh, map_pieces, parted, pieces, small_batches, text_bytes, tidy, tidy_group, written
 from .hashing import U, mix, powers, prefix
 
 #: Bits of the filters between passes (16 MB; their size doesn't grow with the data).
@@ -271,7 +271,7 @@ def _counted(found: DataFrame, total: int, levels: tuple[int, ...]) -> list[np.n
         return pa.table({"level": t.column("level").slice(0, 1), "row": t.column("row").slice(0, 1), "low": pa.array([low], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     filters = [np.zeros(1 << FILTER_BITS - 3, np.uint8) for _ in levels]
-    rows = _dealt(found, total).applyInArrow(count, kind).groupBy("level", "row").applyInArrow(together, kind)
+    rows = _dealt(found, total).applyInArrow(tidy_group(count), kind).groupBy("level", "row").applyInArrow(tidy_group(together), kind)
     for r in rows.collect():  # FILTER_ROWS a level
         part = np.frombuffer(bytes(r.bits), np.uint8)
         filters[r.level][r.low : r.low + len(part)] |= part
@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
     def anchors(batches):
         return gathered(Runs(parts, window, gram, hash_bits).anchor for batch in batches for piece in pieces(batch, text) for parts in parts_of(text_bytes(piece.column(text)), window))
 
-    shared = spark.sparkContext.broadcast(_counted(base.mapInArrow(anchors, DEALT), total, (1, HOT_RUNS)))
+    shared = spark.sparkContext.broadcast(_counted(base.mapInArrow(tidy(anchors), DEALT), total, (1, HOT_RUNS)))
 
     def runs(batches):
         twice, hot = shared.value
@@ -431,7 +431,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
                 rows += _span_rows(doc, start, start + window, buckets)
         return pa.Table.from_batches([_batch(rows)])
 
-    resolved = written(_dealt(base.mapInArrow(runs, DEALT), total).applyInArrow(resolve, DEALT), "runs")
+    resolved = written(_dealt(base.mapInArrow(tidy(runs), DEALT), total).applyInArrow(tidy_group(resolve), DEALT), "runs")
     spans = resolved.where(F.col("kind") == SPANS).select("body")
     hot_runs = resolved.where(F.col("kind") == HOT)
     if hot_runs.limit(1).count():
@@ -445,7 +445,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, gram: int = 32, text: str
                     j = i + (1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(doc[i:j]), pa.array(s[i:j]), pa.array(e[i:j])], names=["doc_id", "s", "e"])
 
-    rows = spans.mapInArrow(unpack, "doc_id long, s long, e long")
+    rows = spans.mapInArrow(tidy(unpack), "doc_id long, s long, e long")
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
@@ -499,7 +499,7 @@ def _hot_windows(hot_runs: DataFrame, gathered, window: int, total: int) -> Data
         again = later(group, doc, start)
         return pa.Table.from_batches([_batch(_spans_in(t) + _span_rows(doc[again], start[again], start[again] + window, buckets))])
 
-    return _dealt(hot_runs.mapInArrow(windows, DEALT), total).applyInArrow(last, DEALT).select("body")
+    return _dealt(hot_runs.mapInArrow(tidy(windows), DEALT), total).applyInArrow(tidy_group(last), DEALT).select("body")
 
 
 def cleaned(docs: DataFrame, window: int = 100, text: str = "text") -> DataFrame:
