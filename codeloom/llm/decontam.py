@@ -52,6 +52,7 @@ def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
         vocabulary: dict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         ids = np.concatenate([np.fromiter(map(vocabulary.__getitem__, x), np.int64, len(x)) for x in lists] or [np.zeros(0, np.int64)])
+        vocabulary.default_factory = None  # else it holds itself, until a collection
         place = np.arange(len(ids)) + np.repeat(offset - np.cumsum(n_words) + n_words, n_words)
         posting = np.sort(ids << 32 | place)
         counts = np.bincount(ids, minlength=len(vocabulary))
