@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python. Texts of 100 kB then make batches of 50 MB at most;
+#: Rows in an Arrow batch handed to Python. Texts of 100 kB then make batches of 13 MB at most;
 #: what a step computes at once is further bounded by PIECE_BYTES.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: Bytes of an Arrow batch at which it is handed on.
 BATCH_BYTES = 16 << 20
 #: Bytes of a row group of an intermediate table.
