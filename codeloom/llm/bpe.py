@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_pieces, pieces, small_batches, tidy, written
 
 #: Words of the corpus that are replayed once and broadcast with their ids (64 characters each at most): the most frequent ones.
-COMMON = 600_000
+COMMON = 200_000
 #: Distinct words that a task counts before it hands them on.
 TALLIED = 400_000
 #: Distinct rarer words whose ids a worker remembers: as many recent ones again before they are forgotten.
@@ -73,8 +73,8 @@ class Codec:
         self.byte_array = np.array(self.byte_ids, np.int64)
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.source: tuple[list[str], list[bytes]] | None = None
-        self.knows(([], []))
+        self.source: tuple[pa.Array, pa.Array] | None = None
+        self.knows((pa.array([], pa.string()), pa.array([], pa.binary())))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -87,10 +87,10 @@ class Codec:
             _codecs[key] = cls(shared.value)
         return _codecs[key]
 
-    def knows(self, source: tuple[list[str], list[bytes]]) -> None:
+    def knows(self, source: tuple[pa.Array, pa.Array]) -> None:
         """Take the common words and their ids, unless they are those held already."""
         if self.source is not source:
-            self.source, self.common = source, Common(zip(*source, strict=True))
+            self.source, self.common = source, Common(zip(source[0].to_pylist(), source[1].to_pylist(), strict=True))
             self.common.codec = self
 
     def replay(self, words: list[bytes]) -> list[bytes]:
@@ -299,7 +299,7 @@ def replayed(words: DataFrame, ranks: Broadcast) -> DataFrame:
     return words.select("word").mapInArrow(tidy(run), "word string, ids binary")
 
 
-def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> tuple[list[str], list[bytes]]:
+def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "text", most: int = COMMON) -> tuple[pa.Array, pa.Array]:
     """The corpus's most frequent words, `most` at most, and their ids: all that stand k times or more, for the least k that keeps the limit.
 
     Counts from 1024 on are compared by their power of two, so the driver sees some 1,100 rows
@@ -314,9 +314,9 @@ def common_words(docs: DataFrame, pattern: str, ranks: Broadcast, text: str = "t
             break
         least = r.k
     if least is None:
-        return [], []
-    table = replayed(counts.where(power >= least), ranks).toArrow()  # `most` rows
-    return table.column("word").to_pylist(), table.column("ids").to_pylist()
+        return pa.array([], pa.string()), pa.array([], pa.binary())
+    table = replayed(counts.where(power >= least), ranks).toArrow().combine_chunks()  # `most` rows, which stay packed on the driver
+    return tuple(pa.concat_arrays(table.column(c).chunks) for c in ("word", "ids"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", digest: bool = False, common: int = COMMON) -> DataFrame:
