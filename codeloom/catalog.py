@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph, first_named
 from codeloom.operators import health, search, traverse, views
-from codeloom.plans.star import ALL_EVENT_EDGES, COMMITS, EVENT_EDGES, bound, oracle, star_graph
+from codeloom.plans.star import COMMITS, EVENT_EDGES, bound, oracle, star_graph
 from codeloom.sources import gitlog, pysource
 from codeloom.streaming import changes
 
@@ -232,24 +232,24 @@ def t6_cohesion(spark, sf_dir):
     return traverse.cohesion(traverse.components(edges), edges)
 
 
-@query()
-def t3_cycles_all_events(spark, sf_dir):
-    return traverse.strongly_connected(bound(spark, sf_dir, ALL_EVENT_EDGES))
+#: The same events as calls, imports and containment: the last don't make cycles.
+TYPED = "typed AS (SELECT source_id, target_id, CASE WHEN source_id < target_id THEN 'CALLS' WHEN source_id > target_id THEN 'IMPORTS' ELSE 'CONTAINS' END AS edge_type FROM event_edges)"
+KEPT = "kept AS (SELECT * FROM typed WHERE edge_type <> 'CONTAINS')"
+KEPT_REACH = "far(a, b) AS (SELECT source_id, target_id FROM kept UNION SELECT r.a, e.target_id FROM far r JOIN kept e ON e.source_id = r.b)"
+CIRCLES = "circles AS (SELECT x.a AS id, least(x.a, min(x.b)) AS scc FROM far x JOIN far y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"
 
 
-@query()
-def t4_components_all_events(spark, sf_dir):
-    return traverse.components(bound(spark, sf_dir, ALL_EVENT_EDGES))
-
-
-@query()
-def t6_cohesion_all_events(spark, sf_dir):
-    edges = bound(spark, sf_dir, ALL_EVENT_EDGES)
-    return traverse.cohesion(traverse.components(edges), edges)
-
-
-for same in ("t3_cycles", "t4_components", "t6_cohesion"):
-    SQL[f"{same}_all_events"] = SQL[same].replace(EVENT_EDGES.format(events="events"), ALL_EVENT_EDGES.format(events="events"))
+@query(
+    "SELECT scc, length, node_ids, edge_types FROM (SELECT scc, count(*) AS length, string_agg(id, ',' ORDER BY id) AS node_ids FROM circles GROUP BY scc) n JOIN (SELECT s.scc, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types "
+    "FROM kept JOIN circles s ON s.id = source_id JOIN circles t ON t.id = target_id AND t.scc = s.scc GROUP BY s.scc) t USING (scc)",
+    TYPED, KEPT, KEPT_REACH, CIRCLES,
+)
+def t3_cycle_report(spark, sf_dir):
+    a, b = F.col("source_id"), F.col("target_id")
+    edges = bound(spark, sf_dir, EVENT_EDGES).withColumn("edge_type", F.when(a < b, "CALLS").when(a > b, "IMPORTS").otherwise("CONTAINS"))
+    names = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("name", F.col("id"))
+    found = traverse.cycles(PropertyGraph(names, edges))
+    return found.select("scc", "length", F.array_join("node_ids", ",").alias("node_ids"), F.array_join("edge_types", ",").alias("edge_types"))
 
 
 @on_graph(
@@ -306,16 +306,17 @@ def h2_complexity(g):
 
 GROUPED = "grouped AS (SELECT id, label, start_line % 25 AS cc, array_to_string(list_slice(split(file_path, '/'), 2, least(3, len(split(file_path, '/')) - 1)), '/') AS grp FROM nodes WHERE label IN ('Function', 'Method', 'Class'))"
 HEALTH = (
-    "health AS (SELECT b.*, coalesce(calls, 0) AS calls, coalesce(cross_calls, 0) AS cross_calls FROM (SELECT grp, count(*) AS node_count, CAST(coalesce(sum(CASE WHEN label <> 'Class' THEN cc END), 0) AS BIGINT) AS cc_sum, "
+    "health AS (SELECT b.*, coalesce(calls, 0) AS calls, coalesce(cross_calls, 0) AS cross_calls, coalesce(internal, 0) AS internal FROM (SELECT grp, count(*) AS node_count, CAST(coalesce(sum(CASE WHEN label <> 'Class' THEN cc END), 0) AS BIGINT) AS cc_sum, "
     "count(CASE WHEN label <> 'Class' THEN 1 END) AS cc_count, coalesce(max(CASE WHEN label <> 'Class' THEN cc END), 0) AS cc_max, count(CASE WHEN label <> 'Class' AND cc > 10 THEN 1 END) AS god_functions, "
     "count(CASE WHEN label = 'Class' AND m.c > 20 THEN 1 END) AS god_classes FROM grouped g LEFT JOIN (SELECT source_id, count(*) AS c FROM edges WHERE edge_type = 'HAS_METHOD' GROUP BY 1) m ON m.source_id = g.id GROUP BY grp) b "
-    "LEFT JOIN (SELECT s.grp, count(*) AS calls, count(CASE WHEN s.grp <> t.grp THEN 1 END) AS cross_calls FROM edges e JOIN grouped s ON s.id = e.source_id JOIN grouped t ON t.id = e.target_id WHERE edge_type IN ('CALLS', 'IMPORTS') GROUP BY 1) l USING (grp))"
+    "LEFT JOIN (SELECT s.grp, count(*) AS calls, count(CASE WHEN t.grp IS DISTINCT FROM s.grp THEN 1 END) AS cross_calls, count(CASE WHEN t.grp = s.grp AND edge_type = 'CALLS' THEN 1 END) AS internal "
+    "FROM edges e JOIN grouped s ON s.id = e.source_id LEFT JOIN grouped t ON t.id = e.target_id WHERE edge_type IN ('CALLS', 'IMPORTS') GROUP BY 1) l USING (grp))"
 )
 
 
 @on_graph(
-    "SELECT grp, node_count, cc_sum, cc_count, cc_max, god_functions, god_classes, calls, cross_calls, CASE WHEN cc_count = 0 THEN 0E0 ELSE cc_sum / cc_count END AS avg_cc, CASE WHEN calls = 0 THEN 0E0 ELSE cross_calls / calls END AS coupling, "
-    "(calls - cross_calls) / greatest(node_count * (node_count - 1), 1) AS cohesion, CASE WHEN cc_max > 20 OR god_functions > 3 THEN 'CRITICAL' WHEN cc_max > 10 OR cross_calls > 0.8 * calls THEN 'HIGH' WHEN cc_sum > 5 * cc_count THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM health",
+    "SELECT grp, node_count, cc_sum, cc_count, cc_max, god_functions, god_classes, calls, cross_calls, internal, CASE WHEN cc_count = 0 THEN 0E0 ELSE cc_sum / cc_count END AS avg_cc, CASE WHEN calls = 0 THEN 0E0 ELSE cross_calls / calls END AS coupling, "
+    "internal / greatest(node_count * (node_count - 1), 1) AS cohesion, CASE WHEN cc_max > 20 OR god_functions > 3 THEN 'CRITICAL' WHEN cc_max > 10 OR cross_calls > 0.8 * calls THEN 'HIGH' WHEN cc_sum > 5 * cc_count OR cross_calls > 0.6 * calls THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM health",
     GROUPED, HEALTH,
 )
 def h3_module_health(g):
@@ -354,10 +355,10 @@ def h7_hotspots(spark, sf_dir):
 @query(
     'SELECT file_a, file_b, c AS "count", c / least(x.n, y.n) AS confidence FROM (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM rowset a JOIN rowset b ON a.commit_idx = b.commit_idx AND a.file < b.file GROUP BY 1, 2) p '
     "JOIN alone x ON x.file = file_a JOIN alone y ON y.file = file_b WHERE c >= 3 AND c / least(x.n, y.n) >= 0.3 ORDER BY c DESC, file_a, file_b LIMIT 100",
-    "rowset AS (SELECT DISTINCT commit_idx, file FROM commits)", "alone AS (SELECT file, count(*) AS n FROM rowset GROUP BY file)",
+    "rowset AS (SELECT DISTINCT commit_idx, file FROM commits WHERE date >= (SELECT max(date) FROM commits) - INTERVAL 90 DAY)", "alone AS (SELECT file, count(*) AS n FROM rowset GROUP BY file)",
 )
 def h8_co_changes(spark, sf_dir):
-    return health.co_changes(commits(spark, sf_dir)[0])
+    return health.co_changes(*commits(spark, sf_dir))
 
 
 @query("SELECT count(*) AS files, CAST(sum(change_count) AS BIGINT) AS changes, (SELECT file FROM spots ORDER BY change_count DESC, file LIMIT 1) AS most_volatile, (SELECT count(DISTINCT author) FROM authors WHERE k <= 3) AS active_contributors FROM spots", *SPOTS)
@@ -377,9 +378,28 @@ def dependents_sql(kinds: str, label: str) -> str:
     )
 
 
-@on_graph(dependents_sql("'CALLS'", "t.label IN ('Function', 'Method', 'Class')"))
+@on_graph(
+    "SELECT f.file_path, node_count, coalesce(incoming, 0) AS incoming, coalesce(dependent_files, 0) AS dependent_files, coalesce(tested, false) AS has_tests, CASE WHEN incoming > 20 THEN 'CRITICAL' WHEN incoming > 10 THEN 'HIGH' WHEN incoming > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk "
+    "FROM (SELECT file_path, count(CASE WHEN label IN ('Function', 'Method', 'Class') THEN 1 END) AS node_count FROM nodes GROUP BY file_path) f LEFT JOIN into_file USING (file_path) LEFT JOIN tested_file USING (file_path)",
+    "into_file AS (SELECT t.file_path, count(*) AS incoming, count(DISTINCT s.file_path) AS dependent_files FROM edges e JOIN nodes t ON t.id = e.target_id JOIN nodes s ON s.id = e.source_id WHERE edge_type = 'CALLS' AND t.label IN ('Function', 'Method', 'Class') AND s.file_path <> t.file_path GROUP BY 1)",
+    f"tested_file AS (SELECT t.file_path, bool_or({TEST.format('s.file_path')}) AS tested FROM edges e JOIN nodes t ON t.id = e.target_id JOIN nodes s ON s.id = e.source_id WHERE edge_type IN ('CALLS', 'IMPORTS') GROUP BY 1)",
+)
 def h12_safe_to_modify(g):
-    return health.dependents(g)
+    return health.safe_to_modify(g)
+
+
+@on_graph("SELECT name, file_path, cc, line_count, risk FROM (SELECT name, file_path, start_line % 25 AS cc, end_line - start_line + 1 AS line_count, " + RISK_SQL.format("start_line % 25", "(end_line - start_line + 1)") + " AS risk FROM nodes WHERE label IN ('Function', 'Method') AND name = 'order_7' ORDER BY start_line % 25 DESC, ordinal LIMIT 1)")
+def h6_complexity_of(g):
+    return health.complexity_of(with_cc(g).nodes, "order_7").select("name", "file_path", "cc", "line_count", "risk")
+
+
+@on_graph(
+    f"SELECT count(*) AS upstream_affected, 0 AS downstream_affected, count(*) AS total_affected, CASE WHEN count(*) >= 20 AND count(CASE WHEN depth = 1 THEN 1 END) >= 8 THEN 'CRITICAL' WHEN count(*) >= 6 AND count(CASE WHEN depth = 1 THEN 1 END) >= 4 THEN 'HIGH' "
+    f"WHEN count(*) >= 3 AND count(CASE WHEN depth = 1 THEN 1 END) >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk, coalesce(string_agg(DISTINCT split_part(n.file_path, '/', -1), ',' ORDER BY split_part(n.file_path, '/', -1)), '') AS affected_files FROM ({REACHED}) r JOIN nodes n ON n.id = r.id",
+    *LEVELS,
+)
+def h14_impact_preview(g):
+    return health.impact_preview(g, "fn:p1")
 
 
 @on_graph(dependents_sql("'CALLS', 'IMPORTS'", "true"))
@@ -402,9 +422,28 @@ def sk2_export_dot(g):
     return views.export_dot(g)
 
 
-@on_graph()
+@on_graph("SELECT 'node' AS kind, id, name AS text FROM nodes WHERE name <> '' UNION ALL SELECT 'edge', id, concat(source_id, ' ', edge_type, ' ', target_id) FROM edges")
 def sk1_export_json(g):
-    return views.export_json_nodes(g)
+    """The rows as JSON, read again."""
+    text = F.when(F.col("kind") == "node", F.get_json_object("json", "$.name")).otherwise(F.concat_ws(" ", F.get_json_object("json", "$.source"), F.get_json_object("json", "$.type"), F.get_json_object("json", "$.target")))
+    return views.export_json(g).select("kind", "id", text.alias("text"))
+
+
+@on_graph(
+    "SELECT id, size, CASE WHEN fan >= 10 THEN 'hub' WHEN fan >= 3 THEN 'linked' ELSE 'leaf' END AS kind FROM (SELECT n.id, coalesce(c, 0) AS fan, 2 + log2(1 + coalesce(c, 0)) AS size FROM nodes n LEFT JOIN (SELECT x AS id, count(*) AS c FROM (SELECT source_id AS x FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY x) d ON d.id = n.id)"
+)
+def v6_importance(g):
+    return views.importance(g)
+
+
+@on_graph("SELECT n.id, n.label FROM nodes n WHERE label IN ('Class', 'Method')")
+def v4_filtered_nodes(g):
+    return views.filtered(g, ("Class", "Method"), ("HAS_METHOD",)).nodes.select("id", "label")
+
+
+@on_graph("SELECT source_id, target_id, edge_type FROM edges WHERE edge_type = 'HAS_METHOD'")
+def v4_filtered_edges(g):
+    return views.filtered(g, ("Class", "Method"), ("HAS_METHOD",)).edges.select("source_id", "target_id", "edge_type")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

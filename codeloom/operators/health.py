@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from codeloom.graph import PropertyGraph
-from codeloom.operators.traverse import is_test_file
+from codeloom.operators.traverse import cycles, impact, is_test_file
 
 
 def ladder(default: str, *steps: tuple[Column, str]) -> Column:
@@ -50,17 +52,55 @@ def module_health(g: PropertyGraph, cc: str = "cc", root: str = "") -> DataFrame
         F.count_if(code > 10).alias("god_functions"), F.count_if((F.col("label") == "Class") & (F.col("methods") > 20)).alias("god_classes"),
     )
     place = nodes.select("id", "grp")
-    calls = g.edges.where(F.col("edge_type").isin("CALLS", "IMPORTS")).select("source_id", "target_id")
-    ends = calls.join(place.select(F.col("id").alias("source_id"), "grp"), "source_id").join(place.select(F.col("id").alias("target_id"), F.col("grp").alias("to")), "target_id")
-    links = ends.groupBy("grp").agg(F.count("*").alias("calls"), F.count_if(F.col("to") != F.col("grp")).alias("cross_calls"))
-    out = base.join(links, "grp", "left").fillna(0, ["calls", "cross_calls", "cc_sum", "cc_max"])
+    calls = g.edges.where(F.col("edge_type").isin("CALLS", "IMPORTS")).select("source_id", "target_id", "edge_type")
+    ends = calls.join(place.select(F.col("id").alias("source_id"), "grp"), "source_id").join(place.select(F.col("id").alias("target_id"), F.col("grp").alias("to")), "target_id", "left")
+    here = F.coalesce(F.col("to") == F.col("grp"), F.lit(False))
+    links = ends.groupBy("grp").agg(F.count("*").alias("calls"), F.count_if(~here).alias("cross_calls"), F.count_if(here & (F.col("edge_type") == "CALLS")).alias("internal"))
+    out = base.join(links, "grp", "left").fillna(0, ["calls", "cross_calls", "internal", "cc_sum", "cc_max"])
     mean = F.coalesce(F.try_divide("cc_sum", "cc_count"), F.lit(0.0))
     coupling = F.coalesce(F.try_divide("cross_calls", "calls"), F.lit(0.0))
     n = F.col("node_count")
-    within = F.col("calls") - F.col("cross_calls")
-    out = out.withColumn("avg_cc", mean).withColumn("coupling", coupling).withColumn("cohesion", within / F.greatest(n * (n - 1), F.lit(1)))
+    out = out.withColumn("avg_cc", mean).withColumn("coupling", coupling).withColumn("cohesion", F.col("internal") / F.greatest(n * (n - 1), F.lit(1)))
     god = F.col("god_functions")
-    return out.withColumn("risk", ladder("LOW", ((F.col("cc_max") > 20) | (god > 3), "CRITICAL"), ((F.col("cc_max") > 10) | (F.col("coupling") > 0.8), "HIGH"), (F.col("avg_cc") > 5, "MEDIUM")))
+    return out.withColumn("risk", ladder("LOW", ((F.col("cc_max") > 20) | (god > 3), "CRITICAL"), ((F.col("cc_max") > 10) | (F.col("coupling") > 0.8), "HIGH"), ((F.col("avg_cc") > 5) | (F.col("coupling") > 0.6), "MEDIUM")))
+
+
+@F.pandas_udf(DoubleType())
+def rounded(values: pd.Series, digits: pd.Series) -> pd.Series:
+    """As Python rounds: the exact value of the double, halves to even. Spark rounds its shortest decimal form."""
+    return pd.Series([None if pd.isna(v) else round(v, int(d)) for v, d in zip(values, digits, strict=True)], dtype="float64")
+
+
+def module_report(g: PropertyGraph, cc: str = "cc", root: str = "") -> DataFrame:
+    """Module health with its means and shares rounded for display, the most complex groups first."""
+    places = {"avg_cc": 1, "coupling": 2, "cohesion": 3}
+    return module_health(g, cc, root).withColumns({c: rounded(F.col(c), F.lit(d)) for c, d in places.items()}).orderBy(F.desc("avg_cc"), "grp")
+
+
+def complexity_of(nodes: DataFrame, name: str, cc: str = "cc") -> DataFrame:
+    """The most complex function or method of a name: one row, or none."""
+    found = nodes.where((F.col("name") == name) & F.col("label").isin("Function", "Method")).orderBy(F.desc(cc), "ordinal").limit(1)
+    return complexity(found, cc)
+
+
+def impact_preview(g: PropertyGraph, node_id: str) -> DataFrame:
+    """One row: what three levels up and two levels down of a node a change affects, its risk by those above, and the names of their files."""
+    seed = g.nodes.where(F.col("id") == node_id).select(F.col("id").alias("seed"), "id")
+    up = impact(g, seed)
+    down = impact(g, seed, direction="downstream", max_depth=2)
+    names = F.array_join(F.array_sort(F.collect_set(F.element_at(F.split("file_path", "/"), -1))), ",")
+    counts = up.agg(F.count("*").alias("upstream_affected"), F.count_if(F.col("depth") == 1).alias("direct"), names.alias("affected_files"))
+    both = counts.crossJoin(down.agg(F.count("*").alias("downstream_affected")))  # one row each
+    n, d = F.col("upstream_affected"), F.col("direct")
+    level = ladder("LOW", ((n >= 20) & (d >= 8), "CRITICAL"), ((n >= 6) & (d >= 4), "HIGH"), ((n >= 3) & (d >= 1), "MEDIUM"))
+    return both.select("upstream_affected", "downstream_affected", (n + F.col("downstream_affected")).alias("total_affected"), level.alias("risk"), "affected_files")
+
+
+def dependency_check(g: PropertyGraph, shown: int = 5) -> DataFrame:
+    """One row: the number of cycles, and the first of them as lists of names."""
+    found = cycles(g)
+    first = found.orderBy(F.desc("length"), "scc").limit(shown).agg(F.collect_list("node_names").alias("cycles"))
+    return found.agg(F.count("*").alias("n_cycles")).crossJoin(first)  # one row each
 
 
 def counters(g: PropertyGraph) -> DataFrame:
@@ -82,12 +122,17 @@ def hotspots(commits: DataFrame, as_of: Column, days: int = 90, recent: int = 30
     return files.crossJoin(F.broadcast(most)).withColumn("score", F.least(F.lit(1.0), F.col("change_count") / F.col("most"))).drop("most")
 
 
-def co_changes(commits: DataFrame, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
-    """Pairs of files that change together: file_a < file_b, their commits in common and the share of the rarer file's.
+def recent(commits: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """The commits of the last days up to as_of."""
+    return commits.where(F.col("date") >= as_of - F.make_interval(days=F.lit(days)))
+
+
+def co_changes(commits: DataFrame, as_of: Column, days: int = 90, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
+    """Pairs of files that change together in the last days: file_a < file_b, their commits in common and the share of the rarer file's (see rounded for display).
 
     Commits are grouped first, so that a commit's pairs come from its own list of files.
     """
-    rows = commits.select("commit_idx", "file").distinct()
+    rows = recent(commits, as_of, days).select("commit_idx", "file").distinct()
     alone = rows.groupBy("file").agg(F.count("*").alias("n"))
     pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.commit_idx = y.commit_idx AND x.file < y.file")).groupBy(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).agg(F.count("*").alias("count"))
     both = pairs.where(F.col("count") >= min_count).join(alone.select(F.col("file").alias("file_a"), F.col("n").alias("na")), "file_a").join(alone.select(F.col("file").alias("file_b"), F.col("n").alias("nb")), "file_b")
@@ -95,9 +140,9 @@ def co_changes(commits: DataFrame, min_count: int = 3, min_confidence: float = 0
     return out.orderBy(F.desc("count"), "file_a", "file_b").limit(limit).select("file_a", "file_b", "count", "confidence")
 
 
-def co_changes_of(commits: DataFrame, file: str, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
+def co_changes_of(commits: DataFrame, as_of: Column, file: str, days: int = 90, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
     """The pairs of one file, on either side. Only commits that touch it are paired."""
-    rows = commits.select("commit_idx", "file").distinct()
+    rows = recent(commits, as_of, days).select("commit_idx", "file").distinct()
     with_it = rows.where(F.col("file") == file).select("commit_idx")
     alone = rows.groupBy("file").agg(F.count("*").alias("n"))
     pairs = rows.join(with_it, "commit_idx", "left_semi").where(F.col("file") != file).groupBy("file").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
@@ -115,6 +160,19 @@ def git_summary(commits: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     return spots.agg(F.count("*").alias("files"), F.sum("change_count").alias("changes"), first.alias("most_volatile")).crossJoin(people)
 
 
+def safe_to_modify(g: PropertyGraph) -> DataFrame:
+    """For each file its symbols, the calls into them from other files and the files these come from, whether a test calls or imports any node of it, and the risk of a change."""
+    nodes = g.nodes.select("id", "label", "file_path")
+    files = nodes.groupBy("file_path").agg(F.count_if(F.col("label").isin("Function", "Method", "Class")).alias("node_count"))
+    edges = g.edges.where(F.col("edge_type").isin("CALLS", "IMPORTS")).select("source_id", "target_id", "edge_type")
+    ends = edges.join(nodes.toDF("target_id", "label", "file_path"), "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id")
+    counted = (F.col("edge_type") == "CALLS") & F.col("label").isin("Function", "Method", "Class") & (F.col("from_file") != F.col("file_path"))
+    into = ends.groupBy("file_path").agg(F.count_if(counted).alias("incoming"), F.countDistinct(F.when(counted, F.col("from_file"))).alias("dependent_files"), F.max(is_test_file("from_file")).alias("has_tests"))
+    out = files.join(into, "file_path", "left").fillna(0, ["incoming", "dependent_files"]).fillna(False, ["has_tests"])
+    n = F.col("incoming")
+    return out.withColumn("risk", ladder("LOW", (n > 20, "CRITICAL"), (n > 10, "HIGH"), (n > 3, "MEDIUM")))
+
+
 def dependents(g: PropertyGraph, any_node: bool = False) -> DataFrame:
     """For each file, the edges into it from other files and the files they come from, whether a test is among them, and the risk of a change.
 

@@ -174,6 +174,25 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return big.where("size > 1 OR loop").select("id", F.col("colour").alias("scc"), "size")
 
 
+#: Edges that make a cycle of dependencies.
+CYCLE_TYPES = ("CALLS", "IMPORTS", "EXTENDS")
+
+
+def cycles(g: PropertyGraph) -> DataFrame:
+    """The cycles of calls, imports and extensions: scc (its least id), length, node_ids and node_names in order of ids, and edge_types within, sorted.
+
+    Edges may lack an end node, whose id then stands for its name; of several edges between two nodes the last one's type counts.
+    """
+    edges = g.edges.where(F.col("edge_type").isin(*CYCLE_TYPES))
+    members = cut(strongly_connected(edges.select("source_id", "target_id")).select("id", "scc"))
+    rank = next((c for c in ("ordinal", "id") if c in g.edges.columns), "edge_type")
+    last = edges.groupBy("source_id", "target_id").agg(F.max_by("edge_type", rank).alias("edge_type"))
+    inside = last.join(members.toDF("source_id", "scc"), "source_id").join(members.toDF("target_id", "other"), "target_id").where("scc = other")
+    types = inside.groupBy("scc").agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
+    named = members.join(g.nodes.select("id", "name"), "id", "left").groupBy("scc").agg(F.count("*").alias("length"), F.array_sort(F.collect_list(F.struct("id", F.coalesce("name", "id").alias("name")))).alias("m"))
+    return named.join(types, "scc").select("scc", "length", F.col("m.id").alias("node_ids"), F.col("m.name").alias("node_names"), "edge_types")
+
+
 def name_score(name: str | Column = "name") -> Column:
     """Bonus of names that usually start a flow, letter case aside."""
     c = F.lower(name)

@@ -21,6 +21,29 @@ def export_json_nodes(g: PropertyGraph) -> DataFrame:
     return g.nodes.select("id", F.to_json(F.struct(*keep, *lists)).alias("json"))
 
 
+def export_json(g: PropertyGraph) -> DataFrame:
+    """kind ("node" or "edge"), id and json; of a node, null and empty properties are left out."""
+    nodes = export_json_nodes(g).select(F.lit("node").alias("kind"), "id", "json")
+    ends = F.struct("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("edge_type").alias("type"), "confidence")
+    return nodes.unionByName(g.edges.select(F.lit("edge").alias("kind"), "id", F.to_json(ends).alias("json")))
+
+
+def filtered(g: PropertyGraph, labels: tuple[str, ...], edge_types: tuple[str, ...]) -> PropertyGraph:
+    """The nodes of the labels, and the edges of the types with both ends among them."""
+    nodes = g.nodes.where(F.col("label").isin(*labels))
+    edges = g.edges.where(F.col("edge_type").isin(*edge_types))
+    for end in ("source_id", "target_id"):
+        edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return PropertyGraph(nodes, edges)
+
+
+def importance(g: PropertyGraph) -> DataFrame:
+    """id, size (it grows with the logarithm of the node's edges) and kind ("hub" from ten edges, "linked" from three, else "leaf")."""
+    ends = g.edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return g.nodes.select("id").join(ends, "id", "left").select("id", (2 + F.log2(n + 1)).alias("size"), F.when(n >= 10, "hub").when(n >= 3, "linked").otherwise("leaf").alias("kind"))
+
+
 def export_dot(g: PropertyGraph) -> DataFrame:
     """Lines of a DOT file, nodes before edges: part, line."""
     label = F.replace("name", F.lit('"'), F.lit('\\"'))

@@ -17,7 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not (context.master == "local" or context.master.startswith("local[")):  # executors of a local cluster have folders of their own
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             folder = tempfile.mkdtemp(prefix="codeloom-graph-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -63,15 +63,6 @@ SELECT substr(md5(concat(source_id, '-', edge_type, '->', target_id)), 1, 16), s
 
 #: Users as nodes of one day; an edge leads to the next event of the same kind on that day.
 EVENT_EDGES = """
-SELECT DISTINCT concat(day, '/', user_id) AS source_id, concat(day, '/', next_user) AS target_id FROM (
-  SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, user_id,
-         lead(user_id) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS next_user
-    FROM {events} WHERE value > 100
-) steps WHERE next_user IS NOT NULL
-"""
-
-#: The same over all events, whatever their value.
-ALL_EVENT_EDGES = """
 SELECT DISTINCT concat(day, '/', user_id) AS source_id, concat(day, '/', next_user) AS target_id FROM (
   SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, user_id,
          lead(user_id) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS next_user

@@ -79,23 +79,13 @@ def j14_call_edges(g):
     return resolve.call_edges(calls, g.nodes, named, imported).drop("reason")
 
 
-@on_graph("SELECT id, name, file_path FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes a WHERE a.ordinal % 7 = 0 AND a.label = 'Method' AND a.name = n.name AND a.file_path = n.file_path)")
-def j3_lookup_exact(g):
-    return resolve.lookup_exact(g.nodes, g.nodes.where("label = 'Method' AND ordinal % 7 = 0")).select("id", "name", "file_path")
-
-
-@on_graph("SELECT id, name, file_path FROM nodes WHERE name IN (SELECT name FROM nodes WHERE label = 'Method' AND ordinal % 7 = 0)")
-def j4_lookup_global(g):
-    return resolve.lookup_global(g.nodes, g.nodes.where("label = 'Method' AND ordinal % 7 = 0")).select("id", "name", "file_path")
-
-
 @on_graph("SELECT id, name, file_path FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes a WHERE a.name = n.name AND a.file_path = n.file_path)")
-def j3_lookup_exact_all(g):
+def j3_lookup_exact(g):
     return resolve.lookup_exact(g.nodes, g.nodes).select("id", "name", "file_path")
 
 
 @on_graph("SELECT id, name, file_path FROM nodes WHERE name IN (SELECT name FROM nodes)")
-def j4_lookup_global_all(g):
+def j4_lookup_global(g):
     return resolve.lookup_global(g.nodes, g.nodes).select("id", "name", "file_path")
 
 
@@ -104,15 +94,8 @@ def j5_lookup_callable(g):
     return resolve.lookup_callable(g.nodes, "er_12").select("id", "name")
 
 
-@on_graph("SELECT e.source_id AS owner_id, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('HAS_METHOD', 'HAS_PROPERTY') AND n.ordinal % 7 = 0")
-def j6_lookup_member(g):
-    owned = g.edges.where("edge_type = 'HAS_METHOD'").select(F.col("source_id").alias("owner_id"), F.col("target_id").alias("id"))
-    asked = owned.join(g.nodes.where("ordinal % 7 = 0").select("id", "name"), "id")
-    return resolve.lookup_member(g.nodes.where("ordinal % 7 = 0"), g.edges, asked).select("owner_id", "id", "name")
-
-
 @on_graph("SELECT e.source_id AS owner_id, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')")
-def j6_lookup_member_all(g):
+def j6_lookup_member(g):
     owned = g.edges.where("edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')").select(F.col("source_id").alias("owner_id"), F.col("target_id").alias("id"))
     asked = owned.join(g.nodes.select("id", "name"), "id")
     return resolve.lookup_member(g.nodes, g.edges, asked).select("owner_id", "id", "name")
@@ -164,14 +147,14 @@ def t7_execution_flows(g):
 
 
 @query(
-    'SELECT file_a, file_b, c AS "count" FROM (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM rowset a JOIN rowset b ON a.commit_idx = b.commit_idx AND a.file < b.file GROUP BY 1, 2) p '
+    'SELECT file_a, file_b, c AS "count", c / least(x.n, y.n) AS confidence FROM (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM rowset a JOIN rowset b ON a.commit_idx = b.commit_idx AND a.file < b.file GROUP BY 1, 2) p '
     "JOIN alone x ON x.file = file_a JOIN alone y ON y.file = file_b WHERE c >= 3 AND c / least(x.n, y.n) >= 0.3 AND (SELECT min(file) FROM rowset) IN (file_a, file_b) ORDER BY c DESC, file_a, file_b LIMIT 100",
-    "rowset AS (SELECT DISTINCT commit_idx, file FROM commits)", "alone AS (SELECT file, count(*) AS n FROM rowset GROUP BY file)",
+    "rowset AS (SELECT DISTINCT commit_idx, file FROM commits WHERE date >= (SELECT max(date) FROM commits) - INTERVAL 90 DAY)", "alone AS (SELECT file, count(*) AS n FROM rowset GROUP BY file)",
 )
 def h11_co_changes_of(spark, sf_dir):
-    rows = commits(spark, sf_dir)[0]
-    least = rows.agg(F.min("file").alias("f")).head().f
-    return health.co_changes_of(rows, least or "").select("file_a", "file_b", "count")
+    rows, as_of = commits(spark, sf_dir)
+    least = health.recent(rows, as_of, 90).agg(F.min("file").alias("f")).head().f
+    return health.co_changes_of(rows, as_of, least or "")
 
 
 @query("SELECT o_custkey, count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*) AS share FROM orders GROUP BY o_custkey")
