@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ def frontier_hits(edges: DataFrame, frontier: DataFrame, own: str, other: str) -
     return hits.groupBy("seed", F.col(other).alias("id")).agg(best).select("seed", "id", F.col("x.t").alias("edge_type"), (-F.col("x.c")).alias("confidence"))
 
 
-def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_depth: int = 3, min_confidence: float = 0.0, relation_types: tuple[str, ...] | None = None, cut_rounds: bool = False) -> DataFrame:
+def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_depth: int = 3, min_confidence: float = 0.0, relation_types: tuple[str, ...] | None = None, cut_rounds: bool = True) -> DataFrame:
     """Nodes within max_depth edges of each seed(seed, id): seed, id, name, label, file_path, depth, edge_type, confidence.
 
     All seeds go together. Only the ids move between rounds; a class brings its methods along as
-    seeds. A node that is missing counts as seen and leads nowhere. cut_rounds writes each round
-    down, for deep searches whose plan would grow.
+    seeds. A node that is missing counts as seen and leads nowhere. cut_rounds writes each round's
+    ids down, so that a round doesn't do the ones before it again.
     """
     own, other = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
     edges = g.edges.where(F.col("confidence") >= min_confidence)
@@ -66,12 +68,12 @@ def neighbourhood(g: PropertyGraph, seeds: DataFrame, max_depth: int) -> DataFra
     seen = frontier = seeds.select("seed", "id", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
         next_ids = both.join(frontier.select("seed", F.col("id").alias("source_id")), "source_id").select("seed", F.col("target_id").alias("id")).distinct()
-        frontier = next_ids.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(next_ids.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def path_between(g: PropertyGraph, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def path_between(g: PropertyGraph, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     """The nodes of a shortest path from the first node of one name to that of another: step, id, name. No rows if there is none.
 
     Each round keeps an id and its least parent; rounds stop once the target is met or nothing is
@@ -86,7 +88,7 @@ def path_between(g: PropertyGraph, source: str, target: str, max_depth: int = 64
         spark = g.nodes.sparkSession
         rounds = [spark.createDataFrame([(start.id, "")], "id string, parent string")]
         seen = rounds[0].select("id")
-        while rounds[-1].where(F.col("id") == end.id).isEmpty() and len(rounds) <= max_depth:
+        while rounds[-1].where(F.col("id") == end.id).isEmpty() and (max_depth is None or len(rounds) <= max_depth):
             reached = both.join(rounds[-1].select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
             new = cut(reached.join(seen, "id", "left_anti"))
             if new.isEmpty():
@@ -212,13 +214,13 @@ def entry_scores(g: PropertyGraph) -> DataFrame:
     return both.withColumn("score", F.when(F.col("callees") == 0, 0.0).otherwise(F.col("callees") - 1.5 * F.col("callers") + name_score()))
 
 
-def suggest_tests(g: PropertyGraph, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def suggest_tests(g: PropertyGraph, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Functions of test files that reach each seed(seed, id) by calls: seed, file_path, name and least depth. Test files end a way."""
     calls = g.edges.where("edge_type = 'CALLS'").select("source_id", "target_id").distinct()
     nodes = g.nodes.select("id", "name", "file_path", is_test_file().alias("test"))
     seen = frontier = seeds.select("seed", "id")
     found = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = calls.join(frontier.withColumnRenamed("id", "target_id"), "target_id").select("seed", F.col("source_id").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
         there = cut(step.join(nodes, "id").withColumn("depth", F.lit(depth)))
         if there.isEmpty():

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from codeloom import measures
 from codeloom.catalog import commits, on_graph, query
-from codeloom.operators import flows, health, resolve
+from codeloom.operators import build, flows, health, resolve
 from codeloom.plans.star import NODES, bound
+from codeloom.sources import pysource
 
 #: Imports of many kinds, made from the nations, as SQL that Spark and DuckDB both read.
 IMPORTS = """
@@ -157,6 +158,42 @@ def h11_co_changes_of(spark, sf_dir):
     return health.co_changes_of(rows, as_of, least or "")
 
 
+def source_graph(spark, sf_dir):
+    """The graph of sources made from the tables: a file and class for each nation, a function for each customer that makes its class and calls a method."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    body = F.concat(F.lit("def f"), "c_custkey", F.lit("():\n    x = N"), "c_nationkey", F.lit("()\n    x.go(1)\n"))
+    parts = read("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(F.array_sort(F.collect_list(body)), "").alias("source"))
+    head = F.format_string("from base import Top\n\n\nclass N%d(Top):\n    def go(self, k):\n        self.stay()\n\n\n", "n_nationkey")
+    files = read("nation").select("n_nationkey").join(parts, "n_nationkey", "left").select(F.format_string("/w/nation_%d.py", "n_nationkey").alias("file_path"), F.concat(head, F.coalesce("source", F.lit(""))).alias("source"))
+    base = spark.createDataFrame([("/w/base.py", "class Top:\n    def stay(self):\n        pass\n")], "file_path string, source string")
+    return build.build_graph(pysource.parse(files.unionByName(base)), "/w")
+
+
+SOURCE_FILES = "files AS (SELECT concat('/w/nation_', n_nationkey, '.py') AS path, n_nationkey AS k FROM nation UNION ALL SELECT '/w/base.py', NULL)"
+
+
+@query(
+    "SELECT 'File' AS label, split_part(path, '/', -1) AS name, path AS file_path FROM files UNION ALL SELECT 'Class', CASE WHEN k IS NULL THEN 'Top' ELSE concat('N', k) END, path FROM files UNION ALL SELECT 'Method', CASE WHEN k IS NULL THEN 'stay' ELSE 'go' END, path FROM files "
+    "UNION ALL SELECT unnest(['Function', 'Variable']), unnest([concat('f', c_custkey), 'x']), path FROM customer JOIN files ON k = c_nationkey",
+    SOURCE_FILES,
+)
+def j18_source_nodes(spark, sf_dir):
+    return source_graph(spark, sf_dir).nodes.select("label", "name", "file_path")
+
+
+@query(
+    "SELECT split_part(path, '/', -1) AS source, 'IMPORTS' AS edge_type, 'base.py' AS target, 1.0E0 AS confidence FROM files WHERE k IS NOT NULL UNION ALL SELECT split_part(path, '/', -1), 'CONTAINS', CASE WHEN k IS NULL THEN 'Top' ELSE concat('N', k) END, 1.0E0 FROM files "
+    "UNION ALL SELECT CASE WHEN k IS NULL THEN 'Top' ELSE concat('N', k) END, 'HAS_METHOD', CASE WHEN k IS NULL THEN 'stay' ELSE 'go' END, 0.95E0 FROM files UNION ALL SELECT concat('N', k), 'EXTENDS', 'Top', 0.85E0 FROM files WHERE k IS NOT NULL UNION ALL SELECT 'go', 'CALLS', 'stay', 0.95E0 FROM files WHERE k IS NOT NULL "
+    "UNION ALL SELECT unnest([split_part(path, '/', -1), f, f]), unnest(['CONTAINS', 'CALLS', 'CALLS']), unnest([f, concat('N', k), 'go']), unnest([1.0E0, 0.95E0, 0.95E0]) FROM (SELECT path, k, concat('f', c_custkey) AS f FROM customer JOIN files ON k = c_nationkey)",
+    SOURCE_FILES,
+)
+def j14_source_edges(spark, sf_dir):
+    """Typed receivers, heritage, imports and ownership of the sources' graph."""
+    g = source_graph(spark, sf_dir)
+    ends = g.edges.join(g.nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id").join(g.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target")), "target_id")
+    return ends.select("source", "edge_type", "target", "confidence")
+
+
 @query("SELECT o_custkey, count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*) AS share FROM orders GROUP BY o_custkey")
 def d5_progress(spark, sf_dir):
     return measures.progress(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", F.col("o_orderstatus") == "F")

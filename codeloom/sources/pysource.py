@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-FUNCTION = "struct<name:string,line:int,end_line:int,is_method:boolean,owner:string,parameters:array<string>,decorators:array<string>,returns:string,cc:int>"
-CLASS = "struct<name:string,line:int,end_line:int,bases:array<string>,decorators:array<string>>"
-IMPORT = "struct<module:string,names:array<string>,is_from:boolean,level:int,line:int>"
+FUNCTION = "struct<name:string,line:int,end_line:int,is_method:boolean,is_async:boolean,owner:string,parameters:array<string>,parameter_types:array<string>,docstring:string,decorators:array<string>,returns:string,cc:int>"
+CLASS = "struct<name:string,line:int,end_line:int,bases:array<string>,decorators:array<string>,docstring:string>"
+IMPORT = "struct<module:string,names:array<string>,aliases:array<string>,is_from:boolean,level:int,line:int>"
 CALL = "struct<callee:string,receiver:string,is_attribute:boolean,caller:string,caller_class:string,arg_count:int,line:int>"
 ASSIGNMENT = "struct<name:string,declared_type:string,value_type:string,line:int>"
 FACTS = f"file_path string, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<{IMPORT}>, calls array<{CALL}>, assignments array<{ASSIGNMENT}>"
@@ -48,6 +48,12 @@ def callee_of(node: ast.AST) -> tuple[str | None, str | None]:
     return None, None
 
 
+def types_of(parameters: list[ast.arg]) -> list[str]:
+    """The parameters' annotations, empty where one has none; none at all if no parameter has one."""
+    found = [ast.unparse(a.annotation) if a.annotation else "" for a in parameters]
+    return found if any(found) else []
+
+
 def facts_of(source: str | None) -> dict[str, list[dict]]:
     """The facts of one source; all empty where it doesn't parse or is null."""
     out: dict[str, list[dict]] = {k: [] for k in EMPTY}
@@ -58,18 +64,19 @@ def facts_of(source: str | None) -> dict[str, list[dict]]:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                 out["functions"].append(
                     {
-                        "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "is_method": cls is not None, "owner": cls, "parameters": [a.arg for a in node.args.args],
+                        "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "is_method": cls is not None, "is_async": isinstance(node, ast.AsyncFunctionDef), "owner": cls, "parameters": [a.arg for a in node.args.args],
+                        "parameter_types": types_of(node.args.args), "docstring": ast.get_docstring(node),
                         "decorators": [ast.unparse(d) for d in node.decorator_list], "returns": node.returns and ast.unparse(node.returns), "cc": cyclomatic(node),
                     }
                 )
                 fn = node.name
             elif isinstance(node, ast.ClassDef):
-                out["classes"].append({"name": node.name, "line": node.lineno, "end_line": node.end_lineno, "bases": [ast.unparse(b) for b in node.bases], "decorators": [ast.unparse(d) for d in node.decorator_list]})
+                out["classes"].append({"name": node.name, "line": node.lineno, "end_line": node.end_lineno, "bases": [ast.unparse(b) for b in node.bases], "decorators": [ast.unparse(d) for d in node.decorator_list], "docstring": ast.get_docstring(node)})
                 cls = node.name
             elif isinstance(node, ast.Import):
-                out["imports"] += [{"module": a.name, "names": [a.name], "is_from": False, "level": 0, "line": node.lineno} for a in node.names]
+                out["imports"] += [{"module": a.name, "names": [], "aliases": [a.asname] if a.asname else [], "is_from": False, "level": 0, "line": node.lineno} for a in node.names]
             elif isinstance(node, ast.ImportFrom):
-                out["imports"].append({"module": node.module or "", "names": [a.name for a in node.names], "is_from": True, "level": node.level, "line": node.lineno})
+                out["imports"].append({"module": node.module or "", "names": [a.name for a in node.names], "aliases": [a.asname or "" for a in node.names], "is_from": True, "level": node.level, "line": node.lineno})
             elif isinstance(node, ast.Call):
                 name, receiver = callee_of(node.func)
                 if name:
