@@ -500,7 +500,7 @@ def sc2_parse_files(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from codeloom import overlay_catalog, panel_catalog, resolution_catalog  # noqa: F401  (register more)
+    from codeloom import overlay_catalog, panel_catalog, resolution_catalog, task_catalog  # noqa: F401  (register more)
 
     return dict(FOUND)
 
