@@ -66,3 +66,31 @@ def graph_view(g: PropertyGraph, labels: tuple[str, ...], edge_types: tuple[str,
 def sse_frame(event: str, data) -> object:
     """A server-sent event: its type, and a column's value as JSON."""
     return F.concat(F.lit(f"event: {event}\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
+def page_graph(g: PropertyGraph, max_nodes: int = 500, include_files: bool = False, edge_types: tuple[str, ...] | None = None) -> PropertyGraph:
+    """What a page shows: the first nodes in the graph's order, files only if asked for, and the edges of the types among them."""
+    nodes = (g.nodes if include_files else g.nodes.where("label <> 'File'")).orderBy("ordinal", "id").limit(max_nodes)
+    ids = F.broadcast(nodes.select("id"))  # at most max_nodes rows
+    edges = g.edges if edge_types is None else g.edges.where(F.col("edge_type").isin(*edge_types))
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return PropertyGraph(nodes, edges)
+
+
+def summary_lines(g: PropertyGraph) -> DataFrame:
+    """metric and count: files, functions (methods too), classes, imports, call edges, nodes and edges."""
+    metrics = {"Files": F.col("label") == "File", "Functions": F.col("label").isin("Function", "Method"), "Classes": F.col("label") == "Class", "Total nodes": F.lit(True)}
+    links = {"Imports": F.col("edge_type") == "IMPORTS", "Call edges": F.col("edge_type") == "CALLS", "Total edges": F.lit(True)}
+    stacked = []
+    for rows, wanted in ((g.nodes, metrics), (g.edges, links)):
+        one = rows.agg(*(F.count_if(c).alias(k) for k, c in wanted.items()))
+        stacked.append(one.unpivot([], list(wanted), "metric", "count"))
+    return stacked[0].unionByName(stacked[1])
+
+
+def impact_lines(found: DataFrame, shown: int = 30) -> DataFrame:
+    """depth, edge_type, name, file and more of the first rows of an impact; more is the number of those not shown."""
+    total = found.agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
+    rows = found.orderBy("depth", "name", "id").limit(shown).select("depth", "edge_type", "name", F.element_at(F.split("file_path", "/"), -1).alias("file"))
+    return rows.join(F.broadcast(total))  # one row

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import subprocess
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,3 +15,19 @@ def commits_of(logs: DataFrame, key: str, text: str, suffix: str = ".py") -> Dat
     at = F.last(header, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = lines.withColumn("h", at).where(F.col("line").endswith(suffix) & ~F.col("line").startswith("COMMIT ") & F.col("h").isNotNull())
     return rows.select(key, F.get("h", F.lit(1)).alias("hash"), F.get("h", F.lit(2)).alias("author"), F.get("h", F.lit(3)).alias("date"), F.trim("line").alias("file"))
+
+
+def run_git(root: str, args: list[str], timeout: int = 10) -> str:
+    """What git prints in a folder; empty on any failure."""
+    try:
+        done = subprocess.run(["git", *args], cwd=root, capture_output=True, text=True, errors="replace", timeout=timeout)
+    except (OSError, subprocess.SubprocessError):
+        return ""
+    return done.stdout if done.returncode == 0 else ""
+
+
+def read_log(spark: SparkSession, root: str, days: int = 90) -> DataFrame:
+    """commit_idx, author, date and file (a path under root) of the last days of a repository that the driver sees; no rows without one."""
+    text = run_git(root, ["log", f"--since={days} days ago", "--name-only", "--pretty=format:COMMIT %H %ae %aI"])
+    rows = commits_of(spark.createDataFrame([(0, text)], "log int, text string"), "log", "text")
+    return rows.select(F.col("hash").alias("commit_idx"), "author", F.to_timestamp("date").alias("date"), F.concat(F.lit(root.rstrip("/") + "/"), "file").alias("file"))
