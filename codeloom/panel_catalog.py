@@ -19,8 +19,8 @@ STORY = (
 )
 
 
-def changed(g) -> DataFrame:
-    path = g.nodes.where("id = 'fn:c5'").select("file_path")
+def changed(g, member: str = "fn:c5") -> DataFrame:
+    path = g.node(member).select("file_path")
     return g.nodes.join(F.broadcast(path), "file_path").select("id")
 
 
@@ -71,13 +71,13 @@ def u1_merged_tests(g):
 
 @on_graph(
     "SELECT name, id, true AS exact FROM targets JOIN gone USING (name) UNION ALL SELECT name, story.id, false FROM gone, story WHERE direction = 'in' AND name NOT IN (SELECT name FROM targets)",
-    *STORY,
-    "gone AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey IN (5, 6, 7) UNION SELECT 'nothing_so_named')",
+    *(part.replace("fn:c5", "fn:p1") for part in STORY),
+    "gone AS (SELECT name FROM nodes WHERE id = 'fn:p1' UNION SELECT 'nothing_so_named')",
     "targets AS (SELECT DISTINCT n.name, e.source_id AS id FROM story s JOIN edges e ON e.source_id = s.id JOIN nodes n ON n.id = e.target_id WHERE s.direction = 'in')",
 )
 def u4_removed_callers(g):
-    names = g.nodes.where(F.col("id").isin("fn:c5", "fn:c6", "fn:c7")).select("name")
-    return panels.removed_callers(g, changed(g), names.unionByName(names.sparkSession.createDataFrame([("nothing_so_named",)], "name string")))
+    names = g.node("fn:p1").select("name")
+    return panels.removed_callers(g, changed(g, "fn:p1"), names.unionByName(names.sparkSession.createDataFrame([("nothing_so_named",)], "name string")))
 
 
 @on_graph("SELECT id, CAST(2 AS INT) AS tier FROM nodes WHERE name IN (SELECT name FROM nodes WHERE id IN ('fn:s1', 'fn:s2')) AND file_path LIKE '%test_s.py'")
