@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import pickle
 import shutil
 import tempfile
 import uuid
@@ -179,3 +180,37 @@ def parted(df: DataFrame, col: str, ids: DataFrame, ids_col: str) -> tuple[DataF
         return marked.mapInArrow(tidy(run), df.schema)
 
     return pick(True), pick(False)
+
+
+def packed(fn: Callable[[Iterator[pa.RecordBatch]], object]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow with the schema "part binary": one row a task, what fn makes of its batches (none, if that is None)."""
+
+    def run(batches):
+        part = fn(iter(batches))
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)], pa.binary())], names=["part"])
+
+    return run
+
+
+def tree_merged(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], object], add: Callable[[object, object], object]):
+    """fn over each task's batches, merged by add in a tree over the executors: the driver gets a few parts only. None without parts."""
+
+    def both(a, b):
+        return b if a is None else a if b is None else add(a, b)
+
+    return df.mapInArrow(tidy(packed(fn)), "part binary").rdd.treeAggregate(None, lambda a, r: both(a, pickle.loads(r.part)), both)
+
+
+def row_slices(rows: Iterable, size: Callable[[object], int], limit: int) -> Iterator[list]:
+    """Rows in lists of at most `limit` bytes (or one larger row), one list at a time."""
+    held, n = [], 0
+    for r in rows:
+        b = size(r)
+        if held and n + b > limit:
+            yield held
+            held, n = [], 0
+        held.append(r)
+        n += b
+    if held:
+        yield held
