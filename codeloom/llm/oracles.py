@@ -117,4 +117,25 @@ WITH sized AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded
 """
 
-SQL = {"op1_topk": TOPK, "op5_shards": SHARDS, "op3_suffix_dedup": SUFFIXES, "op8_decontamination": DECONTAMINATION, "op9_minhash": NEAR_DUPLICATES}
+#: Weights by doubles, all else by whole numbers; a window over the documents gives their number and that of all terms.
+RANKED = rf"""
+WITH dw AS (
+  SELECT doc_id, {_words("coalesce(text, '')", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM documents
+), lens AS (
+  SELECT row_number() OVER () AS k, doc_id, w, len(w) AS n, count(*) OVER () AS docs, CAST(sum(len(w)) OVER () AS BIGINT) AS terms FROM dw WHERE len(w) > 0
+), held AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM lens) GROUP BY k, term
+), asked AS (
+  SELECT DISTINCT item_id, unnest({_words("coalesce(text, '')", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")}) AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS v FROM held JOIN lens USING (k) GROUP BY term
+), scored AS (
+  SELECT item_id, k, CAST(sum(v * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN lens USING (k) GROUP BY item_id, k
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored JOIN lens USING (k) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+SQL = {"op13_ranked_search": RANKED, "op1_topk": TOPK, "op5_shards": SHARDS, "op3_suffix_dedup": SUFFIXES, "op8_decontamination": DECONTAMINATION, "op9_minhash": NEAR_DUPLICATES}

@@ -70,12 +70,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languages import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_hidden_markov, op3_suffix_dedup, op4_html, op5_shards, op6_quality, op7_secrets, op8_decontamination, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk, op2_hidden_markov, op3_suffix_dedup, op4_html, op5_shards, op6_quality, op7_secrets, op8_decontamination, op9_minhash, op10_bpe, op11_whitening, op12_languages, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, the rows depend on what is fitted, on a vocabulary's merges or on wrappers of pages, which SQL doesn't express."""
+    """Of the others, the rows depend on what is fitted, on a vocabulary's merges, on wrappers of pages or on eigenvectors, which SQL doesn't express."""
     from .oracles import SQL
 
     return dict(SQL)

@@ -7,7 +7,7 @@ import pytest
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op3_suffix_dedup", "op5_shards", "op8_decontamination", "op9_minhash"])
+@pytest.mark.parametrize("name", ["op1_topk", "op3_suffix_dedup", "op5_shards", "op8_decontamination", "op9_minhash", "op13_ranked_search"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
