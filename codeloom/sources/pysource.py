@@ -110,6 +110,13 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("file_path", "source").mapInArrow(run, FACTS)
 
 
+def source_files(root: str, suffix: str = ".py") -> Iterator[tuple[str, list[str]]]:
+    """(folder, its files' names) under root, in order; folders that hold no source of their own are left out."""
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(d for d in folders if d not in SKIPPED and not d.endswith(".egg-info"))
+        yield folder, sorted(n for n in names if n.endswith(suffix))
+
+
 class PythonFiles(DataSource):
     """Format "pyfiles": file_path and source of the Python files under the option path, names that start with an underscore included."""
 
@@ -129,10 +136,7 @@ class Walk(DataSourceReader):
         self.root, self.size = root, size
 
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for folder, folders, names in os.walk(self.root):
-            folders[:] = sorted(d for d in folders if d not in SKIPPED and not d.endswith(".egg-info"))
-            found += [os.path.join(folder, n) for n in sorted(names) if n.endswith(".py")]
+        found = [os.path.join(folder, n) for folder, names in source_files(self.root) for n in names]
         return [InputPartition(found[i : i + self.size]) for i in range(0, len(found), self.size)]
 
     def read(self, partition: InputPartition):

@@ -77,3 +77,60 @@ def test_a_file_built_anew(spark):
     gone = change.withColumn("event_type", F.lit("deleted"))
     left = files.refreshed(g, files.sources_after(before, gone), gone.select("file_path"), "/w")
     assert {r.name for r in left.nodes.collect()} == {"a.py", "main"}
+
+
+def test_a_write_split_over_two_batches_is_one_event(spark, tmp_path):
+    from pyspark.sql import functions as F  # noqa: F811
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def put(n, *rows):
+        part = tmp_path / "part"
+        part.write_text("".join(f"{ts},{path},{kind}\n" for ts, path, kind in rows))
+        part.rename(folder / f"{n}.csv")
+
+    events = spark.readStream.schema("ts timestamp, file_path string, event_type string").option("maxFilesPerTrigger", 1).csv(str(folder))
+    seen = []
+    query = files.settled(events).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, n: seen.append({(r.file_path, r.event_type, r.n) for r in b.collect()})).start()
+    try:
+        at = "2026-01-01T00:00:0{}Z".format
+        put(1, (at("0.000"), "a.py", "modified"), (at("0.010"), "b.py", "deleted"), (at("0.020"), "b.py", "created"))
+        query.processAllAvailable()
+        put(2, (at("0.200"), "a.py", "modified"), (at("0.210"), "c.py", "created"))
+        query.processAllAvailable()
+        assert not any(seen)
+        put(3, (at("5.000"), "", "quiet"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert set().union(*seen) == {("a.py", "modified", 2), ("b.py", "deleted", 2), ("c.py", "created", 1)}
+
+
+def test_the_log_of_changes_is_read_again_and_made_short(tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(files, "COMPACT", 3)
+    root, log = tmp_path / "src", str(tmp_path / "log")
+    root.mkdir()
+    (root / "x.egg-info").mkdir()
+    (root / "a.py").write_text("x")
+    reader = files.LoggedReader(str(root), ".py", log, 10**9)
+    start = reader.initialOffset()
+    assert start == {"n": 0} and reader.latestOffset() == start
+    (root / "x.egg-info" / "no.py").write_text("z")
+    for i in range(7):
+        (root / f"b{i}.py").write_text("y" * i)
+        assert reader.latestOffset() == {"n": i + 1}
+    (root / "a.py").unlink()
+    end = reader.latestOffset()
+    rows = lambda r, a, b: [x[:2] for p in r.partitions(a, b) for x in r.read(p)]
+    want = [(str(root / f"b{i}.py"), "created") for i in range(7)] + [(str(root / "a.py"), "deleted")]
+    assert rows(reader, start, end) == want
+    times = [x[2] for p in reader.partitions(start, end) for x in reader.read(p)]
+    assert times == sorted(set(times))
+    again = files.LoggedReader(str(root), ".py", log, 10**9)
+    assert again.initialOffset() == end and rows(again, {"n": 5}, end) == want[5:] and again.latestOffset() == end
+    again.commit(end)
+    assert sorted(os.listdir(log)) == ["000000000006.all", "000000000007.log", "000000000008.log"]
+    assert files.LoggedReader(str(root), ".py", log, 0).latestOffset() == {"n": 9}
