@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph, first_named
-from codeloom.operators import health, search, traverse, views
+from codeloom.operators import flows, health, search, traverse, views
 from codeloom.plans.star import COMMITS, EVENT_EDGES, bound, oracle, star_graph
 from codeloom.sources import gitlog, pysource
 from codeloom.streaming import changes
@@ -232,6 +232,43 @@ def t6_cohesion(spark, sf_dir):
     return traverse.cohesion(traverse.components(edges), edges)
 
 
+#: Rounds of votes (see propagated_labels) over the same edges until the last, as a round after the end changes nothing; groups of one are left out.
+VOTES = (
+    "ways AS MATERIALIZED (SELECT source_id AS id, target_id AS other FROM event_edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM event_edges WHERE source_id <> target_id)",
+    "lp(k, id, label) AS (SELECT 0, id, id FROM (SELECT DISTINCT id FROM ways) UNION ALL SELECT k + 1, id, CASE WHEN substr(md5(concat(id, '/', k + 1)), 1, 1) < '8' THEN best.label ELSE own END FROM (SELECT k, id, own, max({'n': n, 'kept': label = own, 'label': label}) AS best "
+    "FROM (SELECT x.k, w.id, o.label AS own, x.label, count(*) AS n FROM lp x JOIN ways w ON w.other = x.id JOIN lp o ON o.id = w.id GROUP BY ALL) GROUP BY ALL) WHERE k < 40)",
+    "labelled AS MATERIALIZED (SELECT id, label AS component FROM lp WHERE k = 40)",
+)
+
+
+def label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and component of the events' users by label propagation."""
+    return traverse.propagated_labels(bound(spark, sf_dir, EVENT_EDGES)).withColumnRenamed("label", "component")
+
+
+@query("SELECT id, component FROM labelled", *VOTES)
+def t4_label_groups(spark, sf_dir):
+    return label_groups(spark, sf_dir)
+
+
+@query(
+    "SELECT component, size, coalesce(links, 0) AS links, CASE WHEN size <= 1 THEN 1.0E0 ELSE coalesce(links, 0) / (size * (size - 1)) END AS cohesion FROM (SELECT component, count(*) AS size FROM labelled GROUP BY component) s "
+    "LEFT JOIN (SELECT x.component, count(*) AS links FROM ways JOIN labelled x ON x.id = ways.id JOIN labelled y ON y.id = other AND y.component = x.component GROUP BY x.component) l USING (component)",
+    *VOTES,
+)
+def t6_label_cohesion(spark, sf_dir):
+    return traverse.cohesion(label_groups(spark, sf_dir), bound(spark, sf_dir, EVENT_EDGES))
+
+
+@query(
+    "SELECT component, CASE WHEN len(shared) > 0 THEN shared[len(shared)] ELSE first END AS label FROM (SELECT component, first, list_filter(a[1:coalesce(nullif(list_position(list_transform(list_zip(a, b), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0) - 1, len(a))], lambda x: x <> '') AS shared "
+    "FROM (SELECT component, min(split(id, '/')) AS a, max(split(id, '/')) AS b, min(id) AS first FROM labelled GROUP BY component))",
+    *VOTES,
+)
+def t5_community_labels(spark, sf_dir):
+    return flows.group_labels(label_groups(spark, sf_dir).withColumn("file_path", F.col("id")).withColumn("ordinal", F.lit(0)))
+
+
 #: The same events as calls, imports and containment: the last don't make cycles.
 TYPED = "typed AS (SELECT source_id, target_id, CASE WHEN source_id < target_id THEN 'CALLS' WHEN source_id > target_id THEN 'IMPORTS' ELSE 'CONTAINS' END AS edge_type FROM event_edges)"
 KEPT = "kept AS (SELECT * FROM typed WHERE edge_type <> 'CONTAINS')"

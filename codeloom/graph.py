@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 class PropertyGraph:
     """nodes(id, label, name, file_path, ..., ordinal) and edges(id, source_id, target_id, edge_type, confidence, ...).
 
-    Edges may lack an end node. A change gives a new graph; nothing is changed in place.
+    Edges may lack an end node. A change gives a new graph; nothing is changed in place. by_target
+    are the same edges kept by their target, where a graph is stored so (see plans.stored).
     """
 
     nodes: DataFrame
     edges: DataFrame
+    by_target: DataFrame | None = None
+
+    def edges_by(self, end: str) -> DataFrame:
+        """The edges, kept by source_id or target_id if there is such a copy."""
+        return self.by_target if end == "target_id" and self.by_target is not None else self.edges
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node_id)
@@ -28,7 +34,7 @@ class PropertyGraph:
         return self.edges.where(F.col("source_id") == node_id)
 
     def edges_to(self, node_id: str) -> DataFrame:
-        return self.edges.where(F.col("target_id") == node_id)
+        return self.edges_by("target_id").where(F.col("target_id") == node_id)
 
     def by_label(self, label: str) -> DataFrame:
         return self.nodes.where(F.col("label") == label)

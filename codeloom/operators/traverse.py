@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph
-from codeloom.plans.fixpoint import components, cut
+from codeloom.plans.fixpoint import components, cut, propagated_labels
 
 TEST_FILE = r"(^|/)(test_[^/]*|[^/]*_test\.py)$"
 #: Names and prefixes of functions that something outside the code calls, and the edges that count as a use.
@@ -31,26 +31,29 @@ def frontier_hits(edges: DataFrame, frontier: DataFrame, own: str, other: str) -
 def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_depth: int = 3, min_confidence: float = 0.0, relation_types: tuple[str, ...] | None = None, cut_rounds: bool = True) -> DataFrame:
     """Nodes within max_depth edges of each seed(seed, id): seed, id, name, label, file_path, depth, edge_type, confidence.
 
-    All seeds go together. Only the ids move between rounds; a class brings its methods along as
-    seeds. A node that is missing counts as seen and leads nowhere. cut_rounds writes each round's
-    ids down, so that a round doesn't do the ones before it again.
+    All seeds go together. Only the ids move between rounds, and each round meets the edges kept by
+    the end that it comes from; names are looked up once, at the end. A class brings its methods
+    along as seeds. A node that is missing counts as seen and leads nowhere. cut_rounds writes each
+    round's ids down, so that a round doesn't do the ones before it again.
     """
     own, other = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    edges = g.edges.where(F.col("confidence") >= min_confidence)
+    edges = g.edges_by(own).where(F.col("confidence") >= min_confidence)
     if relation_types:
         edges = edges.where(F.col("edge_type").isin(*relation_types))
     classes = seeds.join(g.by_label("Class").select("id"), "id")
     methods = g.edges.where("edge_type = 'HAS_METHOD'").join(classes.select("seed", F.col("id").alias("source_id")), "source_id")
     frontier = seeds.select("seed", "id").unionByName(methods.select("seed", F.col("target_id").alias("id"))).distinct()
+    frontier = cut(frontier) if cut_rounds else frontier
     seen, out = frontier, None
     for depth in range(1, max_depth + 1):
         hits = frontier_hits(edges, frontier, own, other).join(seen, ["seed", "id"], "left_anti")
-        hits = cut(hits) if cut_rounds else hits
-        there = hits.join(g.nodes.select("id", "name", "label", "file_path"), "id").withColumn("depth", F.lit(depth))
+        there = hits.join(g.nodes.select("id", F.lit(True).alias("known")), "id", "left").withColumn("depth", F.lit(depth))
+        there = cut(there) if cut_rounds else there
+        seen = seen.unionByName(there.select("seed", "id"))
+        there = there.where("known").drop("known")
         out = there if out is None else out.unionByName(there)
-        seen = seen.unionByName(hits.select("seed", "id"))
         frontier = there.select("seed", "id")
-    return out
+    return out.join(g.nodes.select("id", "name", "label", "file_path"), "id").select("id", "seed", "edge_type", "confidence", "name", "label", "file_path", "depth")
 
 
 def risk(found: DataFrame) -> DataFrame:
@@ -62,58 +65,94 @@ def risk(found: DataFrame) -> DataFrame:
     return counts.withColumn("risk", level)
 
 
+def stepped(g: PropertyGraph, frontier: DataFrame) -> DataFrame:
+    """frontier(id, ...) by one edge, direction aside: its columns with id as "at", and the id, edge and edge_type that it leads to. Each direction meets the edges kept by that end."""
+    start = frontier.withColumnRenamed("id", "at")
+    ways = []
+    for own, other in (("source_id", "target_id"), ("target_id", "source_id")):
+        edges = g.edges_by(own).select(F.col(own).alias("at"), F.col(other).alias("id"), F.col("id").alias("edge"), "edge_type")
+        ways.append(edges.join(start, "at"))
+    return ways[0].unionByName(ways[1])
+
+
 def neighbourhood(g: PropertyGraph, seeds: DataFrame, max_depth: int) -> DataFrame:
     """seed, id and least depth of the nodes within max_depth edges, direction aside."""
-    both = g.edges.select("source_id", "target_id").unionByName(g.edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
-    seen = frontier = seeds.select("seed", "id", F.lit(0).alias("depth"))
+    seen = frontier = cut(seeds.select("seed", "id", F.lit(0).alias("depth")))
     for depth in range(1, max_depth + 1):
-        next_ids = both.join(frontier.select("seed", F.col("id").alias("source_id")), "source_id").select("seed", F.col("target_id").alias("id")).distinct()
+        next_ids = stepped(g, frontier.select("seed", "id")).select("seed", "id").distinct()
         frontier = cut(next_ids.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
 
+class _Side:
+    """One end's search: rounds of (id, parent, edge, edge_type), and all ids met."""
+
+    def __init__(self, g: PropertyGraph, start: str):
+        first = g.nodes.sparkSession.createDataFrame([(start, None, None, None)], "id string, parent string, edge string, edge_type string")
+        self.g, self.rounds, self.seen, self.size = g, [first], first.select("id"), 1
+
+    def grow(self) -> None:
+        way = stepped(self.g, self.rounds[-1].select("id")).join(self.seen, "id", "left_anti")
+        new = cut(way.groupBy("id").agg(F.min(F.struct(F.col("at").alias("parent"), "edge", "edge_type")).alias("x")).select("id", "x.*"))
+        self.rounds.append(new)
+        self.seen, self.size = self.seen.unionByName(new.select("id")), new.count()
+
+    def back(self, at: str) -> list:
+        """(id, edge, edge_type) from `at` to the start: a row a round."""
+        out = []
+        for level in reversed(self.rounds):
+            row = level.where(F.col("id") == at).head()
+            if row:  # else met in an earlier round
+                out.append((row.id, row.edge, row.edge_type))
+                at = row.parent
+        return out
+
+
 def path_between(g: PropertyGraph, source: str, target: str, max_depth: int | None = None) -> DataFrame:
-    """The nodes of a shortest path from the first node of one name to that of another: step, id, name. No rows if there is none.
+    """A shortest path from the first node of one name to that of another, direction aside: step, id, name, and edge and edge_type of the step to it (null for the first). No rows if there is none.
 
-    Each round keeps an id and its least parent; rounds stop once the target is met or nothing is
-    new. The way back reads a row a round.
+    Both ends search by turns, the one with the smaller last round first, until a round meets what
+    the other has seen; that takes the square root of what one end would reach, where the number
+    of nodes grows by a factor each round. Each round keeps an id with its least parent and edge; of
+    the nodes that both have met the one of least id is taken. The way back reads a row a round.
     """
     from codeloom.graph import first_named
 
     start, end = (first_named(g.nodes, n).select("id").head() for n in (source, target))
-    ids: list[str] = []
+    steps: list[tuple] = []
     if start and end:
-        both = g.edges.select("source_id", "target_id").unionByName(g.edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-        spark = g.nodes.sparkSession
-        rounds = [spark.createDataFrame([(start.id, "")], "id string, parent string")]
-        seen = rounds[0].select("id")
-        while rounds[-1].where(F.col("id") == end.id).isEmpty() and (max_depth is None or len(rounds) <= max_depth):
-            reached = both.join(rounds[-1].select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
-            new = cut(reached.join(seen, "id", "left_anti"))
-            if new.isEmpty():
-                break
-            rounds.append(new)
-            seen = seen.unionByName(new.select("id"))
-        at = end.id
-        for level in reversed(rounds):
-            row = level.where(F.col("id") == at).head()
-            if row is None:
-                ids = []
-                break
-            ids.insert(0, at)
-            at = row.parent
-    steps = g.nodes.sparkSession.createDataFrame(list(enumerate(ids)), "step int, id string")
-    return g.nodes.join(F.broadcast(steps), "id").select("step", "id", "name")
-
-
-def communities(g: PropertyGraph, min_confidence: float = 0.5) -> DataFrame:
-    """id and component of symbols linked by edges of enough confidence; those alone have no row."""
+        a, b = _Side(g, start.id), _Side(g, end.id)
+        met = start.id if start.id == end.id else None
+        while met is None and a.size and b.size and (max_depth is None or len(a.rounds) + len(b.rounds) - 2 < max_depth):
+            side, other = (a, b) if a.size <= b.size else (b, a)
+            side.grow()
+            met = side.rounds[-1].join(other.seen, "id", "left_semi").agg(F.min("id").alias("id")).head().id
+        if met is not None:
+            ahead, behind = a.back(met)[::-1], b.back(met)
+            steps = ahead + [(behind[i + 1][0], behind[i][1], behind[i][2]) for i in range(len(behind) - 1)]
+    found = g.nodes.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, id string, edge string, edge_type string")
+    named = g.nodes.join(F.broadcast(found.select("id")), "id", "left_semi").select("id", "name")
+    return found.join(named, "id", "left").select("step", "id", F.coalesce("name", "id").alias("name"), "edge", "edge_type")
+
+
+def symbol_links(g: PropertyGraph, min_confidence: float = 0.5) -> DataFrame:
+    """source_id and target_id of edges of enough confidence between symbols, each pair once, none to itself."""
     symbols = g.nodes.where(F.col("label").isin("Function", "Method", "Class")).select("id")
     edges = g.edges.where(F.col("confidence") >= min_confidence).select("source_id", "target_id").distinct()
     for end in ("source_id", "target_id"):
         edges = edges.join(symbols.withColumnRenamed("id", end), end, "left_semi")
-    return components(edges.where("source_id <> target_id"))
+    return edges.where("source_id <> target_id")
+
+
+def communities(g: PropertyGraph, min_confidence: float = 0.5, by: str = "components") -> DataFrame:
+    """id and component of symbols linked by edges of enough confidence: connected ones, or by="labels" those that label propagation gives one label. Those alone have no row."""
+    links = symbol_links(g, min_confidence)
+    if by == "components":
+        return components(links)
+    labels = propagated_labels(links)
+    large = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    return labels.join(large, "label").select("id", F.col("label").alias("component"))
 
 
 def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,9 +255,9 @@ def entry_scores(g: PropertyGraph) -> DataFrame:
 
 def suggest_tests(g: PropertyGraph, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Functions of test files that reach each seed(seed, id) by calls: seed, file_path, name and least depth. Test files end a way."""
-    calls = g.edges.where("edge_type = 'CALLS'").select("source_id", "target_id").distinct()
+    calls = g.edges_by("target_id").where("edge_type = 'CALLS'").select("source_id", "target_id")
     nodes = g.nodes.select("id", "name", "file_path", is_test_file().alias("test"))
-    seen = frontier = seeds.select("seed", "id")
+    seen = frontier = cut(seeds.select("seed", "id"))
     found = None
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = calls.join(frontier.withColumnRenamed("id", "target_id"), "target_id").select("seed", F.col("source_id").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")

@@ -1,18 +1,18 @@
-"""Rounds of joins until nothing changes, with the lineage cut in the shared checkpoint folder."""
+"""Rounds of joins until nothing changes, each written to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, which executors share; local runs without one use a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which executors share; local runs without one use a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +22,46 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="codeloom-graph-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that what follows doesn't do it again, and knows its size. The folder goes when the application ends.
+
+    A checkpointed plan would keep the size that its joins were guessed to give, which over rounds
+    of joins grows beyond all measure.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's program ends, as far as its session still runs."""
+    if not _ending:
+        atexit.register(_delete)
+    _ending.append((spark, path))
+
+
+def _delete() -> None:
+    for spark, text in _ending:
+        context = spark.sparkContext
+        try:
+            if context._jsc is not None and not context._jsc.sc().isStopped():
+                path = context._jvm.org.apache.hadoop.fs.Path(text)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  (the JVM is gone)
+            return
+
+
+_ending: list[tuple[SparkSession, str]] = []
+
+
+def checksum(df: DataFrame) -> tuple:
+    """Equal for equal sets of rows, and for others only by chance: their number and the sum of their hashes."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).head())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,6 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     everyone = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    now = checksum(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -41,7 +81,40 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         new = cut(small.where("a <> b").distinct())
-        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
+        links, before, now = new, now, checksum(new)
+        if now == before:
             break
-        links = new
     return everyone.join(links, everyone.id == links.a, "left").select("id", F.coalesce("b", "id").alias("component"))
+
+
+def moves(round_number: int) -> Column:
+    """Whether the node `id` may change its label in a round: half of all nodes may, others each time."""
+    return F.substring(F.md5(F.concat("id", F.lit(f"/{round_number}"))), 1, 1) < "8"
+
+
+def propagated_labels(edges: DataFrame, rounds: int = 40, weight: str | None = None) -> DataFrame:
+    """id and label of each end of edges(source_id, target_id), direction aside, by label propagation.
+
+    Each node starts as its own label. In a round, every neighbour votes for its label, once or with
+    the weight of its edges; a node keeps its own label if no other has more votes, and else takes
+    the one of most votes, of equals the greatest. As neighbours that change together can swap
+    labels for ever, only half of the nodes, by a hash of id and round, change in a round. It ends
+    when no node would change, or after the given rounds. Loops and null ends are left out.
+
+    Only (id, label) moves between rounds; the edges are written once.
+    """
+    a, b = F.col("source_id"), F.col("target_id")
+    votes = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    pairs = edges.where("source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), votes.alias("w"))
+    pairs = pairs.groupBy("a", "b").agg((F.max if weight is None else F.sum)("w").alias("w"))
+    both = cut(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "w"))).alias("x")).select("x.*"))
+    labels = cut(both.select("id").distinct().withColumn("label", F.col("id")))
+    for k in range(1, rounds + 1):
+        cast = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("n"))
+        own = labels.select("id", F.col("label").alias("own"))
+        best = cast.join(own, "id").groupBy("id", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("x"))
+        new = cut(best.select("id", F.when(moves(k), F.col("x.label")).otherwise(F.col("own")).alias("label"), (F.col("x.label") != F.col("own")).alias("would")))
+        labels = new.select("id", "label")
+        if new.where("would").isEmpty():
+            break
+    return labels

@@ -11,6 +11,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.graph import PropertyGraph
+from codeloom.plans.stored import fingerprint, read_graph, write_graph
 
 #: Files and classes stand for nations, functions for customers, parts and suppliers, methods for orders.
 NODES = """
@@ -86,8 +87,17 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
 
 
+_stored: dict[tuple[str, str], tuple[str, str, str]] = {}
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    return PropertyGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, EDGES))
+    """The star graph of a data folder, written once for each application and state of the folder's files."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in {*tables_of(NODES), *tables_of(EDGES)}]
+    known, size = fingerprint(spark, paths)
+    key = (spark.sparkContext.applicationId, known)
+    if key not in _stored:
+        _stored[key] = write_graph(PropertyGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, EDGES)), size)
+    return read_graph(spark, _stored[key])
 
 
 def oracle(sql: str, *ctes: str) -> str:
