@@ -17,8 +17,6 @@ TILE = 1024
 SLICE_BYTES = 16 << 20
 #: Depths, as shares of a list, at which bounds are compared; at the end of all lists both are the score.
 DEPTHS = (0.25, 0.5, 0.75, 1.0)
-#: Share of the (query, vector) pairs that may still qualify when reading stops and their scores are resolved.
-FEW = 0.1
 #: Stands for no score.
 NONE = np.iinfo(np.int64).min
 
@@ -59,7 +57,12 @@ def scores_of(q: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     return np.array(exact, np.int64)
 
 
-def search_block(best: Best, at: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """Each component's list of a block's vectors: its values, rising."""
+    return np.sort(x, axis=0)
+
+
+def search_block(best: Best, at: int, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, lists: np.ndarray | None = None) -> int:
     """Take a block of vectors into the best of the queries at .. at + len(q).
 
     Each component has a list of the block's vectors sorted by it. For a query, a list is read
@@ -67,42 +70,48 @@ def search_block(best: Best, at: int, q: np.ndarray, q_ids: np.ndarray, x: np.nd
     negative. At each depth a vector's upper bound takes the components read so far as they are
     and the others as the last value read; its lower bound takes the others as the list's last
     value. A vector is out for a query once its upper bound is below the k-th best lower bound,
-    or the k-th best score of earlier blocks. No score is looked up on the way: reading stops
-    when few can qualify, at the lists' ends at last, and the scores of those are then resolved.
+    or the k-th best score of earlier blocks. Reading stops for a query once no more than k
+    vectors are left, as no other can qualify then, and at the lists' ends at last; no score is
+    looked up on the way, and those of what is left are then resolved. lists are sorted_lists(x).
+    Returns how many (query, depth) pairs were read.
     """
     n, k = len(x), best.k
     most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * x.shape[1]
     kind = np.float32 if 4 * most < 1 << 24 else np.float64
     slack = 0.0 if 4 * most < 1 << 53 else most * 2.0**-46  # what rounding may add to a bound
     whole_q, whole_x = q, x
+    lists = (sorted_lists(x) if lists is None else lists).astype(kind)
     q, x = q.astype(kind), x.astype(kind)
-    lists = np.sort(x, axis=0)
     low, high = lists[0], lists[-1]
     pos, neg = np.maximum(q, 0), np.minimum(q, 0)
     kth = best.score[at : at + len(q), -1]
     least = np.where(kth == NONE, -np.inf, kth.astype(np.float64))
     live = q_ids[:, None] != x_ids[None, :]
+    rows, read = np.arange(len(q)), 0  # queries that still read
     for depth in DEPTHS:
+        rows = rows[np.count_nonzero(live[rows], axis=1) > k]
+        if not len(rows):
+            break
+        read += len(rows)
         t = max(1, math.ceil(depth * n))
         top, bottom = lists[n - t], lists[t - 1]
         from_top, from_bottom = x >= top, x <= bottom  # read so far, with all equals of the last value
-        if n > k:
-            lower = pos @ np.where(from_top, x - low, 0).T
-            lower += neg @ np.where(from_bottom, x - high, 0).T
-            lower += (pos @ low + neg @ high)[:, None]
-            lower[~live] = -np.inf
-            np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k], out=least)
-        upper = pos @ np.where(from_top, x - top, 0).T
-        upper += neg @ np.where(from_bottom, x - bottom, 0).T
-        upper += (pos @ top + neg @ bottom)[:, None]
-        live &= upper >= (least - 2 * slack)[:, None]
-        if np.count_nonzero(live) <= FEW * live.size:
-            break
+        up, down = pos[rows], neg[rows]
+        lower = up @ np.where(from_top, x - low, 0).T
+        lower += down @ np.where(from_bottom, x - high, 0).T
+        lower += (up @ low + down @ high)[:, None]
+        lower[~live[rows]] = -np.inf
+        least[rows] = np.maximum(least[rows], np.partition(lower, n - k, axis=1)[:, n - k])
+        upper = up @ np.where(from_top, x - top, 0).T
+        upper += down @ np.where(from_bottom, x - bottom, 0).T
+        upper += (up @ top + down @ bottom)[:, None]
+        live[rows] &= upper >= (least[rows] - 2 * slack)[:, None]
     a, b = np.nonzero(live)
     step = max(1, (1 << 21) // max(1, x.shape[1]))
     for i in range(0, len(a), step):
         qi, xi = a[i : i + step], b[i : i + step]
         best.add(qi + at, x_ids[xi], scores_of(whole_q[qi], whole_x[xi], most))
+    return read
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -167,8 +176,9 @@ def _search(base: DataFrame, queries: pa.Table, dim: int, k: int) -> DataFrame:
         def take(held):
             x_ids = np.concatenate([b.column("id").to_numpy() for b in held])
             x = np.vstack([_matrix(b.column("v"), dim) for b in held])
+            lists = sorted_lists(x)
             for at in range(0, len(ids), TILE):
-                search_block(best, at, q[at : at + TILE], ids[at : at + TILE], x, x_ids)
+                search_block(best, at, q[at : at + TILE], ids[at : at + TILE], x, x_ids, lists)
 
         held, n = [], 0
         for b in batches:

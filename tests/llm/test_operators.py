@@ -77,6 +77,17 @@ def test_topk_lists_stop_early():
         assert best.id[i].tolist() == order.tolist() and best.score[i].tolist() == s[order].tolist()
 
 
+def test_topk_reads_no_list_once_no_outsider_can_qualify():
+    import numpy as np
+
+    from codeloom.llm.topk import DEPTHS, Best, search_block
+
+    x = np.vstack([np.full((5, 3), 100), np.random.default_rng(6).integers(0, 9, (400, 3))])
+    best = Best(2, 5)
+    assert search_block(best, 0, np.array([[3, 2, 1], [1, 1, 1]]), np.array([-1, -2]), x, np.arange(405)) == 2 < 2 * len(DEPTHS)
+    assert best.id.tolist() == [[0, 1, 2, 3, 4]] * 2 and best.score[0].tolist() == [600] * 5
+
+
 @pytest.mark.parametrize("depth", ["sf", "odd"])
 def test_suffix(spark, depth):
     from codeloom.llm.suffixes import cleaned, dedup_report
