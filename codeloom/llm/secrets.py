@@ -28,8 +28,11 @@ SHORTEST = 8
 
 #: A run of credential characters; '=' ends it (a name before its value) but as padding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_.=-]))?" % SHORTEST)
+#: What a text's words look like: letters of one case, or with a capital first, or such joined by hyphens, points and the like; numbers and dates.
+_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14})?(?:[+/_.-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14})?)*")
+_WORDS = re.compile(_WORD.pattern.encode())
 _HEXMAP = bytes(0x78 if b in b"0123456789abcdef" else 0x20 for b in range(256))
-_RUNS = bytes(0x39 if 0x30 <= b <= 0x39 else 0x61 if chr(b).isalpha() and b < 0x80 or b in b"+/_.-" else 0x20 for b in range(256))
+_RUNS = bytes(b if 0x30 <= b <= 0x39 or chr(b).isalpha() and b < 0x80 or b in b"+/_.-" else 0x20 for b in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -46,24 +49,24 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of at least SHORTEST credential characters with a letter and a digit, without dots at their ends, outside the base spans."""
+    """Runs of at least SHORTEST credential characters that aren't words, without dots at their ends, as far as they lie outside the base spans."""
     runs = text.encode("utf-8", "surrogatepass").translate(_RUNS).split()
-    if not any(len(r) >= SHORTEST and b"9" in r and b"a" in r for r in runs):
+    if not any(len(r) >= SHORTEST and not _WORDS.fullmatch(r) for r in runs):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        v = m[0].strip(".")
-        s = m.start() + len(m[0]) - len(m[0].lstrip("."))
-        e = s + len(v)
-        if len(v) >= SHORTEST and _mixed(v) and not any(a < e and s < b for a, _, b, _ in taken):
-            out.append((s, e, v))
+        at = m.start()
+        for a, _, b, _ in [*taken, (m.end(), 0, m.end(), "")]:
+            if b <= at or a > m.end():
+                continue
+            v = text[at:a].strip(".") if a > at else ""
+            if len(v) >= SHORTEST and not _WORD.fullmatch(v):
+                s = text.index(v, at)
+                out.append((s, s + len(v), v))
+            at = max(at, b)
     return out
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
-
 def symbol(c: str) -> str:
     """The class of a character: digit, hexadecimal letter, other letter by case, or itself."""
     return "9" if c.isdigit() else "f" if c in "abcdef" else "a" if c.islower() else "A" if c.isupper() else c
@@ -179,9 +182,8 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of docs but the text, with base spans and candidates, written to the shared folder: the text is read once."""
-    base = docs.drop("__base", "__candidates")
-    names = [c for c in base.columns if c != text]
+    """The columns of docs but the text as c0, c1 and so on, and __base and __candidates, its spans, written to the shared folder: the text is read once."""
+    base, names = docs, [c for c in docs.columns if c != text]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,9 +192,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             spans = base_spans(t or "")
             one.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in spans])
             two.append([{"start": s, "kind": 3, "end": e, "value": v} for s, e, v in candidates(t or "", spans)])
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(one, kind), pa.array(two, kind)], names=[*names, "__base", "__candidates"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(one, kind), pa.array(two, kind)], names=[*plain, "__base", "__candidates"])
 
-    schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in names), f"__base {SPAN}, __candidates {SPAN}"])
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join([*(f"{p} {base.schema[c].dataType.simpleString()}" for p, c in zip(plain, names, strict=True)), f"__base {SPAN}, __candidates {SPAN}"])
     return written(map_pieces(base, text, fn, schema), "secrets")
 
 
@@ -210,17 +213,21 @@ def learn(scanned: DataFrame) -> dict[int, Automaton]:
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs but the text, and n_assign, n_access, n_hex, base, spans ('kind:start:end' arrays, code points).
 
-    A scan finds the base spans and the candidates (runs of credential characters with a letter
-    and a digit outside base spans; a name before '=' is a run of its own). The base spans' values label a bounded sample from which a
+    A scan finds the base spans and the candidates (runs of credential characters that aren't words
+    or numbers as texts have them, and what of a run lies outside base spans; a name before '=' is a
+    run of its own). The base spans' values label a bounded sample from which a
     prefix tree is grown and merged into an automaton per kind. A candidate becomes a span of
     kind 'format' if an automaton gives it at least the mean log probability that 99 % of its
     labelled credentials have, and is as long as the shortest of them.
 
-    Defined cases: null or empty texts have no spans; without a credential of a kind
-    nothing is learned from it; output names replace columns of docs.
+    Defined cases: null or empty texts have no spans; very long ones are scanned whole; equal texts
+    have equal spans; an empty table gives none; without a credential of a kind nothing is learned
+    from it; output names replace columns of docs, and all others stay, whatever their names.
     """
     out = ("n_assign", "n_access", "n_hex", "base", "spans")
-    scanned = scan(docs.drop(*out), text)
+    base = docs.drop(*out)
+    given = [c for c in base.columns if c != text]
+    scanned = scan(base, text)
     shared = docs.sparkSession.sparkContext.broadcast(learn(scanned))
     names = [c for c in scanned.columns if c not in ("__base", "__candidates")]
 
@@ -238,7 +245,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *out])
 
     schema = ", ".join([*(f"`{c}` {scanned.schema[c].dataType.simpleString()}" for c in names), "n_assign long, n_access long, n_hex long, base array<string>, spans array<string>"])
-    return scanned.mapInArrow(tidy(run), schema)
+    return scanned.mapInArrow(tidy(run), schema).select(*(F.col(c).alias(g) for c, g in zip(names, given, strict=True)), *out)
 
 
 def _shown(s: dict) -> str:
@@ -248,7 +255,9 @@ def _shown(s: dict) -> str:
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """docs with every secret's span replaced by a mask (of an assignment, only its value); texts without any stay as they are.
 
-    Scanned twice: once to learn the automata, once to replace.
+    Scanned twice: once to learn the automata, once to replace. Null, empty and repeated texts stay
+    what they are or are masked alike, very long ones whole; all columns keep their names; an empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(scan(docs.select(text), text)))
     names = docs.columns
