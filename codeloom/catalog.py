@@ -366,6 +366,15 @@ def h4_health_report(g):
     return rows.agg(F.count("*").alias("functions"), F.sum("cc").alias("cc_sum"), F.count_if(F.col("risk") == "HIGH").alias("high"), F.count_if(F.col("risk") == "CRITICAL").alias("critical"))
 
 
+@on_graph(
+    "SELECT 'total' AS kind, name, value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS functions, sum(cc) / count(*) AS avg_complexity, CAST(count(CASE WHEN risk = 'HIGH' THEN 1 END) AS DOUBLE) AS high, CAST(count(CASE WHEN risk = 'CRITICAL' THEN 1 END) AS DOUBLE) AS critical FROM scored_cc) ON functions, avg_complexity, high, critical) "
+    "UNION ALL SELECT 'function', id, CAST(cc AS DOUBLE) FROM scored_cc UNION ALL SELECT 'module', grp, CASE WHEN cc_count = 0 THEN 0E0 ELSE cc_sum / cc_count END FROM health",
+    f"scored_cc AS (SELECT id, start_line % 25 AS cc, {RISK_SQL.format('start_line % 25', '(end_line - start_line + 1)')} AS risk FROM nodes WHERE label IN ('Function', 'Method'))", GROUPED, HEALTH,
+)
+def h4_report(g):
+    return health.health_report(with_cc(g))
+
+
 @on_graph('SELECT \'node\' AS kind, label AS type, count(*) AS "count" FROM nodes GROUP BY label UNION ALL SELECT \'edge\', edge_type, count(*) FROM edges GROUP BY edge_type')
 def h5_counters(g):
     return health.counters(g)
@@ -389,6 +398,17 @@ def h7_hotspots(spark, sf_dir):
     return health.hotspots(*commits(spark, sf_dir))
 
 
+@query(
+    "SELECT file, change_count, least(1.0E0, change_count / (SELECT max(change_count) FROM spots) * coalesce(w, 1.0E0)) AS score FROM spots LEFT JOIN (SELECT concat('src/', replace(p_type, ' ', '_'), '.py') AS f, avg(p_size) AS w FROM part WHERE p_type <> 'SMALL' GROUP BY 1) ON f = file",
+    *SPOTS,
+)
+def h7_weighted_hotspots(spark, sf_dir):
+    """A file's weight is the mean size of its parts; one kind has none."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_type <> 'SMALL'")
+    weights = sizes.groupBy(F.concat(F.lit("src/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("file")).agg((F.avg("p_size") / 1).alias("weight"))
+    return health.hotspots(*commits(spark, sf_dir), weights=weights).select("file", "change_count", "score")
+
+
 @query(
     'SELECT file_a, file_b, c AS "count", c / least(x.n, y.n) AS confidence FROM (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM rowset a JOIN rowset b ON a.commit_idx = b.commit_idx AND a.file < b.file GROUP BY 1, 2) p '
     "JOIN alone x ON x.file = file_a JOIN alone y ON y.file = file_b WHERE c >= 3 AND c / least(x.n, y.n) >= 0.3 ORDER BY c DESC, file_a, file_b LIMIT 100",
@@ -449,6 +469,37 @@ def v1_graph_view(g):
     return views.graph_view(g, ("Class", "File", "Function"), ("CALLS", "CONTAINS"), 200).nodes.groupBy("label").agg(F.count("*").alias("nodes"))
 
 
+SHOWN = (
+    "shown AS (SELECT * FROM nodes WHERE label IN ('File', 'Function', 'Class', 'Method') ORDER BY CASE label WHEN 'Class' THEN 3 WHEN 'Function' THEN 4 WHEN 'File' THEN 5 ELSE 7 END, ordinal, id LIMIT 600)",
+    "among AS (SELECT e.source_id, e.target_id FROM edges e WHERE source_id IN (SELECT id FROM shown) AND target_id IN (SELECT id FROM shown))",
+)
+
+
+@on_graph(
+    "SELECT s.id, s.name, s.label, array_to_string(list_slice(split(file_path, '/'), 3, len(split(file_path, '/')) - 1), '/') AS grp, start_line AS line, end_line, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM shown s LEFT JOIN (SELECT target_id AS id, count(*) AS n FROM among GROUP BY 1) i ON i.id = s.id LEFT JOIN (SELECT source_id AS id, count(*) AS n FROM among GROUP BY 1) o ON o.id = s.id",
+    *SHOWN,
+)
+def v1_view_nodes(g):
+    nodes, _ = views.view_nodes(g, "logic", root="/w")
+    return nodes.select("id", "name", "label", F.col("group").alias("grp"), "line", "end_line", "fan_in", "fan_out")
+
+
+@on_graph(
+    "SELECT source_id AS source, target_id AS target, edge_type AS type, confidence FROM edges WHERE edge_type IN ('CALLS', 'IMPORTS', 'EXTENDS', 'HAS_METHOD', 'CONTAINS', 'DECORATES') AND source_id IN (SELECT id FROM shown) AND target_id IN (SELECT id FROM shown)",
+    *SHOWN,
+)
+def v1_view_links(g):
+    return views.view_nodes(g, "logic", root="/w")[1]
+
+
+@on_graph(
+    "SELECT 'label' AS kind, label AS type, count(*) AS \"count\" FROM nodes GROUP BY label UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY edge_type "
+    "UNION ALL SELECT 'group', array_to_string(list_slice(split(file_path, '/'), 3, len(split(file_path, '/')) - 1), '/'), count(*) FROM nodes GROUP BY 2"
+)
+def h16_sidebar_counts(g):
+    return health.sidebar_counts(g, "/w")
+
+
 @on_graph("SELECT file_path, string_agg(name, ',' ORDER BY start_line, ordinal) AS symbols, count(*) AS n FROM nodes WHERE label <> 'File' GROUP BY file_path")
 def v3_file_tree(g):
     return views.file_tree(g)

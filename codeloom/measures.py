@@ -42,19 +42,58 @@ def trailing_rate(events: DataFrame, key: str, ts: str = "ts", seconds: int = 60
     return counted.withColumn("rate", F.col("in_window") / seconds)
 
 
-def search_tasks(tasks: DataFrame, keyword: str | None = None, texts: tuple[str, ...] = (), **equal) -> DataFrame:
-    """Tasks that hold the keyword in one of the texts, letter case aside, and equal every given value."""
+#: What tasks are sorted by, with the priority for any other name; one without a date comes as due on the last day.
+SORTS = {"priority": "priority", "created": "created", "due_date": "due", "status": "status"}
+LAST_DAY = "9999-12-31"
+
+
+def search_tasks(
+    tasks: DataFrame, keyword: str | None = None, texts: tuple[str, ...] = ("title", "description"), least_priority: int | None = None, tag: str | None = None, overdue_at: Column | None = None, done: str = "done", sort_by: str | None = None, ascending: bool = False, **equal
+) -> DataFrame:
+    """Tasks that hold the keyword in one of the texts, letter case aside, and meet all that is asked for.
+
+    least_priority bounds priority from below; tag is one of tags; with overdue_at, due lies before
+    it and status isn't done; the others name columns and their values. sort_by sorts, the greatest
+    first unless ascending, and equal ones by ordinal if there is one.
+    """
     found = tasks
     if keyword:
         holds = F.lit(False)
         for t in texts:
             holds = holds | F.coalesce(F.contains(F.lower(t), F.lit(keyword.lower())), F.lit(False))
         found = found.where(holds)
+    if least_priority is not None:
+        found = found.where(F.col("priority") >= least_priority)
+    if tag is not None:
+        found = found.where(F.array_contains("tags", tag))
+    if overdue_at is not None:
+        found = found.where((F.col("due") < overdue_at) & ~F.coalesce(F.col("status") == done, F.lit(False)))
     for column, value in equal.items():
         found = found.where(F.col(column) == value)
+    if sort_by is not None:
+        by = SORTS.get(sort_by, "priority")
+        key = F.coalesce("due", F.to_timestamp(F.lit(LAST_DAY))) if by == "due" else F.col(by)
+        found = found.orderBy(key.asc() if ascending else key.desc(), *(["ordinal"] if "ordinal" in tasks.columns else []))
     return found
 
 
 def merged(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
     """Counts of two states summed by key."""
     return left.select(key, count).unionByName(right.select(key, count)).groupBy(key).agg(F.sum(count).alias(count))
+
+
+def merged_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
+    """kind, name, place and value of two states of metrics put together.
+
+    Counters of a name are summed, of gauges the right one stays, and the right histogram's values
+    follow the left one's: their places are counted on from the left one's number. place is 0
+    for counters and gauges.
+    """
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    summed = both.where("kind = 'counter'").groupBy("kind", "name").agg(F.lit(0).cast("long").alias("place"), F.sum("value").alias("value"))
+    last = both.where("kind = 'gauge'").groupBy("kind", "name").agg(F.lit(0).cast("long").alias("place"), F.max_by("value", "side").alias("value"))
+    before = left.where("kind = 'histogram'").groupBy("name").agg(F.count("*").alias("n"))
+    listed = both.where("kind = 'histogram'").join(before, "name", "left")
+    place = F.col("place") + F.when(F.col("side") == 1, F.coalesce("n", F.lit(0))).otherwise(0)
+    columns = ["kind", "name", "place", "value"]
+    return summed.select(columns).unionByName(last.select(columns)).unionByName(listed.select("kind", "name", place.cast("long").alias("place"), "value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.graph import PropertyGraph
+from codeloom.graph import PropertyGraph, first_named
 from codeloom.operators.traverse import entry_scores
 from codeloom.plans.fixpoint import cut
 
@@ -63,8 +63,8 @@ def execution_flows(g: PropertyGraph, max_depth: int = 10, max_branching: int =
 
 
 def flows_from(g: PropertyGraph, entry_name: str, **limits) -> DataFrame:
-    """Of the flows with one step or more, after their cap, those whose entry has a name."""
-    named = g.nodes.where(F.col("name") == entry_name).select(F.col("id").alias("entry"))
+    """Of the flows with one step or more, after their cap, those whose entry is the first node of a name."""
+    named = first_named(g.nodes, entry_name).select(F.col("id").alias("entry"))
     return execution_flows(g, **{"min_steps": 1, **limits}).join(named, "entry", "left_semi")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from codeloom.graph import PropertyGraph
 from codeloom.operators.traverse import cycles, impact, is_test_file
+from codeloom.plans.fixpoint import cut
 
 
 def ladder(default: str, *steps: tuple[Column, str]) -> Column:
@@ -26,6 +27,11 @@ def group_of(path: str = "file_path", root: str = "") -> Column:
     return F.when(F.coalesce(F.col(path), F.lit("")) == "", "other").when(F.size(folders) == 1, "root").otherwise(F.array_join(F.slice(F.slice(folders, F.lit(1), F.size(folders) - 1), 1, 2), "/"))
 
 
+def view_group(root: str) -> Column:
+    """group_of below a root; without one all nodes are of the group "other"."""
+    return group_of(root=root) if root else F.lit("other")
+
+
 def fan(g: PropertyGraph) -> DataFrame:
     """id, name, fan_in and fan_out of functions and methods, in call sites."""
     calls = g.edges.where("edge_type = 'CALLS'")
@@ -103,15 +109,36 @@ def dependency_check(g: PropertyGraph, shown: int = 5) -> DataFrame:
     return found.agg(F.count("*").alias("n_cycles")).crossJoin(first)  # one row each
 
 
+def health_report(g: PropertyGraph, cc: str = "cc", root: str = "") -> DataFrame:
+    """kind, name and value: the totals ("total"), each function's complexity by id ("function") and each group's mean complexity ("module").
+
+    value is as it is computed (see rounded for display); the display sorts functions and modules by it.
+    """
+    scores = complexity(g.nodes, cc)
+    totals = scores.agg(F.count("*").cast("double").alias("functions"), F.coalesce(F.avg("cc"), F.lit(0.0)).alias("avg_complexity"), F.count_if(F.col("risk") == "HIGH").cast("double").alias("high"), F.count_if(F.col("risk") == "CRITICAL").cast("double").alias("critical"))
+    rows = totals.unpivot([], ["functions", "avg_complexity", "high", "critical"], "name", "value").select(F.lit("total").alias("kind"), "name", "value")
+    functions = scores.select(F.lit("function").alias("kind"), F.col("id").alias("name"), F.col("cc").cast("double").alias("value"))
+    modules = module_health(g, cc, root).select(F.lit("module").alias("kind"), F.col("grp").alias("name"), F.col("avg_cc").cast("double").alias("value"))
+    return rows.unionByName(functions).unionByName(modules)
+
+
+def sidebar_counts(g: PropertyGraph, root: str = "") -> DataFrame:
+    """kind ("label", "group" or "edge"), type and count: nodes by label and by group of folders, and edges by type."""
+    grouped = g.nodes.groupBy(F.lit("group").alias("kind"), view_group(root).alias("type")).agg(F.count("*").alias("count"))
+    labels = g.nodes.groupBy(F.lit("label").alias("kind"), F.col("label").alias("type")).agg(F.count("*").alias("count"))
+    return labels.unionByName(grouped).unionByName(g.edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).agg(F.count("*").alias("count")))
+
+
 def counters(g: PropertyGraph) -> DataFrame:
     """kind ("node" or "edge"), type and count."""
     return g.nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("type")).agg(F.count("*").alias("count")).unionByName(g.edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).agg(F.count("*").alias("count")))
 
 
-def hotspots(commits: DataFrame, as_of: Column, days: int = 90, recent: int = 30) -> DataFrame:
+def hotspots(commits: DataFrame, as_of: Column, days: int = 90, recent: int = 30, weights: DataFrame | None = None) -> DataFrame:
     """Changes, recent changes, the three foremost authors and the last change of each file of commits(commit_idx, author, date, file).
 
-    Authors of equal counts stand by their newest commit, then by name. score is the count over the largest one.
+    Authors of equal counts stand by their newest commit, then by name. score is the count over the
+    largest one, times the file's weight(file, weight) if weights are given (1 for others), and 1 at most.
     """
     rows = commits.where(F.col("date") >= as_of - F.make_interval(days=F.lit(days))).select("commit_idx", "author", "date", "file").distinct()
     by_author = rows.groupBy("file", "author").agg(F.count("*").alias("n"), F.max("date").alias("newest"), F.count_if(F.col("date") >= as_of - F.make_interval(days=F.lit(recent))).alias("r"))
@@ -119,7 +146,15 @@ def hotspots(commits: DataFrame, as_of: Column, days: int = 90, recent: int = 30
     top = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "author")))), lambda x: x["author"])
     files = ranked.groupBy("file").agg(F.sum("n").alias("change_count"), F.sum("r").alias("recent_changes"), F.array_join(top, ",").alias("top_authors"), F.max("newest").alias("last_modified"))
     most = files.agg(F.max("change_count").alias("most"))  # one row
-    return files.crossJoin(F.broadcast(most)).withColumn("score", F.least(F.lit(1.0), F.col("change_count") / F.col("most"))).drop("most")
+    scored = files.crossJoin(F.broadcast(most)).withColumn("score", F.col("change_count") / F.col("most")).drop("most")
+    if weights is not None:
+        scored = scored.join(weights.select("file", "weight"), "file", "left").withColumn("score", F.col("score") * F.coalesce("weight", F.lit(1.0))).drop("weight")
+    return scored.withColumn("score", F.least(F.lit(1.0), "score"))
+
+
+def file_weights(nodes: DataFrame, cc: str = "cc") -> DataFrame:
+    """file and weight of the files with functions: the mean complexity of these."""
+    return nodes.where(F.col("label").isin("Function", "Method") & F.col(cc).isNotNull()).groupBy(F.col("file_path").alias("file")).agg(F.avg(cc).alias("weight"))
 
 
 def recent(commits: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -127,14 +162,28 @@ def recent(commits: DataFrame, as_of: Column, days: int) -> DataFrame:
     return commits.where(F.col("date") >= as_of - F.make_interval(days=F.lit(days)))
 
 
+def candidate_pairs(rows: DataFrame, min_count: int) -> DataFrame:
+    """file_a < file_b that share one of their commits but for the min_count - 1 largest of each; rows(commit_idx, file) stand once."""
+    sizes = rows.groupBy("commit_idx").agg(F.count("*").alias("size"))
+    largest = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("size"), F.desc("commit_idx")))
+    small = cut(rows.join(sizes, "commit_idx").withColumn("k", largest).where(F.col("k") >= min_count).select("commit_idx", "file"))
+    return small.alias("x").join(small.alias("y"), F.expr("x.commit_idx = y.commit_idx AND x.file < y.file")).select(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).distinct()
+
+
 def co_changes(commits: DataFrame, as_of: Column, days: int = 90, min_count: int = 3, min_confidence: float = 0.3, limit: int = 100) -> DataFrame:
     """Pairs of files that change together in the last days: file_a < file_b, their commits in common and the share of the rarer file's (see rounded for display).
 
-    Commits are grouped first, so that a commit's pairs come from its own list of files.
+    A pair with min_count commits in common has one among those of either file that remain when
+    the min_count - 1 largest of the file's are left out. So only these make candidates, files of
+    fewer commits make none, and a commit of very many files makes no pairs, as it is the largest
+    of each of them. The candidates' commits in common are then counted over all.
     """
     rows = recent(commits, as_of, days).select("commit_idx", "file").distinct()
-    alone = rows.groupBy("file").agg(F.count("*").alias("n"))
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.commit_idx = y.commit_idx AND x.file < y.file")).groupBy(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).agg(F.count("*").alias("count"))
+    alone = cut(rows.groupBy("file").agg(F.count("*").alias("n")))
+    often = cut(rows.join(alone.where(F.col("n") >= min_count).select("file"), "file", "left_semi"))
+    pairs = candidate_pairs(often, min_count)
+    first = pairs.join(often.withColumnRenamed("file", "file_a"), "file_a")
+    pairs = first.join(often.withColumnRenamed("file", "file_b"), ["file_b", "commit_idx"], "left_semi").groupBy("file_a", "file_b").agg(F.count("*").alias("count"))
     both = pairs.where(F.col("count") >= min_count).join(alone.select(F.col("file").alias("file_a"), F.col("n").alias("na")), "file_a").join(alone.select(F.col("file").alias("file_b"), F.col("n").alias("nb")), "file_b")
     out = both.withColumn("confidence", F.col("count") / F.least("na", "nb")).where(F.col("confidence") >= min_confidence)
     return out.orderBy(F.desc("count"), "file_a", "file_b").limit(limit).select("file_a", "file_b", "count", "confidence")

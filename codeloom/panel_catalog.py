@@ -93,14 +93,14 @@ def u5_match_by_file(g):
 
 
 @on_graph(
-    "SELECT 'node' AS kind, CAST(row_number() OVER (ORDER BY ordinal, id) AS INT) AS place, name FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%an%' ORDER BY ordinal LIMIT 10) UNION ALL SELECT 'command', CAST(row_number() OVER (ORDER BY k) AS INT), name FROM (SELECT r_regionkey AS k, concat('Focus group: ', r_name) AS name FROM region WHERE lower(concat('Focus group: ', r_name)) LIKE '%an%' ORDER BY k LIMIT 8)",
+    "SELECT 'node' AS kind, CAST(row_number() OVER (ORDER BY ordinal, id) AS INT) AS place, name FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%ri%' ORDER BY ordinal LIMIT 10) UNION ALL SELECT 'command', CAST(row_number() OVER (ORDER BY k) AS INT), name FROM (SELECT r_regionkey AS k, concat('Focus group: ', r_name) AS name FROM region WHERE lower(concat('Focus group: ', r_name)) LIKE '%ri%' ORDER BY k LIMIT 8)",
 )
 def u6_palette(g):
     spark = g.nodes.sparkSession
     names = g.nodes.where("label = 'Class'").select(F.split("file_path", "/")[2].alias("region")).distinct()
     places = {"AFRICA": 0, "AMERICA": 1, "ASIA": 2, "EUROPE": 3, "MIDDLE EAST": 4}
     keys = spark.createDataFrame(list(places.items()), "region string, place int")
-    return panels.palette(g, names.join(keys, "region").select(F.concat(F.lit("Focus group: "), "region").alias("name"), "place"), "an")
+    return panels.palette(g, names.join(keys, "region").select(F.concat(F.lit("Focus group: "), "region").alias("name"), "place"), "ri")
 
 
 @on_graph(

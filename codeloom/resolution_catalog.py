@@ -80,14 +80,15 @@ def j14_call_edges(g):
     return resolve.call_edges(calls, g.nodes, named, imported).drop("reason")
 
 
-@on_graph("SELECT id, name, file_path FROM nodes n WHERE EXISTS (SELECT 1 FROM nodes a WHERE a.name = n.name AND a.file_path = n.file_path)")
+@on_graph("SELECT id, name, file_path FROM nodes n WHERE EXISTS (SELECT 1 FROM called a WHERE a.name = n.name AND a.file_path = n.file_path)", CALLED)
 def j3_lookup_exact(g):
-    return resolve.lookup_exact(g.nodes, g.nodes).select("id", "name", "file_path")
+    """Of the names that a file's symbols call, those that the file has itself."""
+    return resolve.lookup_exact(g.nodes, bindings(g)[0]).select("id", "name", "file_path")
 
 
-@on_graph("SELECT id, name, file_path FROM nodes WHERE name IN (SELECT name FROM nodes)")
+@on_graph("SELECT id, name, file_path FROM nodes WHERE name IN (SELECT name FROM called)", CALLED)
 def j4_lookup_global(g):
-    return resolve.lookup_global(g.nodes, g.nodes).select("id", "name", "file_path")
+    return resolve.lookup_global(g.nodes, bindings(g)[0]).select("id", "name", "file_path")
 
 
 @on_graph("SELECT id, name FROM nodes WHERE label IN ('Function', 'Method') AND contains(name, 'er_12')")
@@ -95,23 +96,37 @@ def j5_lookup_callable(g):
     return resolve.lookup_callable(g.nodes, "er_12").select("id", "name")
 
 
-@on_graph("SELECT e.source_id AS owner_id, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')")
+@on_graph(
+    "SELECT e.source_id AS owner_id, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.target_id JOIN nodes c ON c.id = e.source_id WHERE e.edge_type IN ('HAS_METHOD', 'HAS_PROPERTY') AND EXISTS (SELECT 1 FROM nodes o WHERE o.label = 'Method' AND o.name = n.name AND o.file_path <> c.file_path)"
+)
 def j6_lookup_member(g):
-    owned = g.edges.where("edge_type IN ('HAS_METHOD', 'HAS_PROPERTY')").select(F.col("source_id").alias("owner_id"), F.col("target_id").alias("id"))
-    asked = owned.join(g.nodes.select("id", "name"), "id")
+    """Each class is asked for the names of the methods of other files."""
+    elsewhere = g.by_label("Method").groupBy("name").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b"))
+    classes = g.by_label("Class").select(F.col("id").alias("owner_id"), "file_path")
+    near = classes.join(g.nodes.where("label = 'Method'").select("name", "file_path").distinct(), "file_path")
+    asked = near.join(elsewhere, "name").where("a <> file_path OR b <> file_path").select("owner_id", "name")
     return resolve.lookup_member(g.nodes, g.edges, asked).select("owner_id", "id", "name")
 
 
-@on_graph("SELECT e.source_id, e.target_id, e.edge_type FROM edges e WHERE e.edge_type = 'EXTENDS'")
+@on_graph(
+    "SELECT DISTINCT p.id AS source_id, c.id AS target_id, 'EXTENDS' AS edge_type FROM (SELECT id, concat('Nation', '_', CAST(start_line % 29 AS VARCHAR)) AS base FROM nodes WHERE label = 'Function') p "
+    "JOIN (SELECT name, arg_min(id, ordinal) AS id FROM nodes WHERE label = 'Class' GROUP BY name) c ON c.name = upper(p.base) WHERE p.id <> c.id"
+)
 def j15_extends(g):
-    bases = g.edges.where("edge_type = 'EXTENDS'").join(g.nodes.select(F.col("id").alias("target_id"), "name"), "target_id")
-    return resolve.named_edges(bases.select(F.col("source_id").alias("id"), F.concat(F.lit("pkg.base."), "name").alias("text")), g.nodes, "EXTENDS", ("Class",))
+    """Functions stand for classes with a base of a dotted name, some of which no class has."""
+    base = F.concat(F.lit("pkg.base.NATION_"), (F.col("start_line") % 29).cast("string"))
+    return resolve.named_edges(g.by_label("Function").select("id", base.alias("text")), g.nodes, "EXTENDS", ("Class",))
 
 
-@on_graph("SELECT n.id AS source_id, c.id AS target_id, 'DECORATES' AS edge_type FROM nodes n JOIN (SELECT min_by(id, ordinal) AS id FROM nodes WHERE label = 'Class' AND name = 'FRANCE') c ON n.id <> c.id WHERE n.label = 'Method' AND list_contains(n.decorators, '') AND c.id IS NOT NULL")
+@on_graph(
+    "SELECT DISTINCT n.id AS source_id, c.id AS target_id, 'DECORATES' AS edge_type FROM (SELECT id, CASE start_line % 3 WHEN 0 THEN concat('NATION_', CAST(start_line % 25 AS VARCHAR)) WHEN 1 THEN concat('Customer#', lpad(CAST(start_line % 100 AS VARCHAR), 9, '0')) ELSE 'order_1' END AS used "
+    "FROM nodes WHERE label = 'Method') n JOIN (SELECT name, arg_min(id, ordinal) AS id FROM nodes WHERE label IN ('Function', 'Class') GROUP BY name) c ON c.name = n.used WHERE n.id <> c.id"
+)
 def j16_decorates(g):
-    used = g.nodes.where("label = 'Method'").select("id", F.lit("wrap.FRANCE(limit=3)").alias("text"))
-    return resolve.named_edges(used, g.nodes, "DECORATES", ("Function", "Class"))
+    """Methods are decorated by classes, by functions, and by a method's name, which decorates nothing."""
+    line = F.col("start_line")
+    named = F.when(line % 3 == 0, F.concat(F.lit("wrap.NATION_"), (line % 25).cast("string"), F.lit("(limit=3)"))).when(line % 3 == 1, F.concat(F.lit("Customer#"), F.lpad((line % 100).cast("string"), 9, "0"))).otherwise("order_1()")
+    return resolve.named_edges(g.by_label("Method").select("id", named.alias("text")), g.nodes, "DECORATES", ("Function", "Class"))
 
 
 @on_graph(
@@ -147,6 +162,12 @@ def t7_execution_flows(g):
     return flows.execution_flows(g, min_steps=2).select("entry", "terminal", "step_count")
 
 
+@on_graph("SELECT d.id AS entry, b.target_id AS terminal FROM degree d JOIN (SELECT source_id, target_id, min(k) AS k FROM best GROUP BY 1, 2) b ON b.source_id = d.id WHERE d.o - 1.5 * d.i > 0 AND d.id = (SELECT arg_min(id, ordinal) FROM nodes WHERE name = 'order_7')", *SCORED)
+def t9_flows_from(g):
+    """Of the many nodes of a name only the first is an entry; the cap is high enough for all flows."""
+    return flows.flows_from(g, "order_7", max_processes=10_000_000).select("entry", "terminal")
+
+
 @query(
     'SELECT file_a, file_b, c AS "count", c / least(x.n, y.n) AS confidence FROM (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM rowset a JOIN rowset b ON a.commit_idx = b.commit_idx AND a.file < b.file GROUP BY 1, 2) p '
     "JOIN alone x ON x.file = file_a JOIN alone y ON y.file = file_b WHERE c >= 3 AND c / least(x.n, y.n) >= 0.3 AND (SELECT min(file) FROM rowset) IN (file_a, file_b) ORDER BY c DESC, file_a, file_b LIMIT 100",

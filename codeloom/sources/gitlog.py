@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Seconds that git may take for the list of commits or for one range of them.
+PATIENCE = 10
 
 
 def commits_of(logs: DataFrame, key: str, text: str, suffix: str = ".py") -> DataFrame:
@@ -17,17 +23,54 @@ def commits_of(logs: DataFrame, key: str, text: str, suffix: str = ".py") -> Dat
     return rows.select(key, F.get("h", F.lit(1)).alias("hash"), F.get("h", F.lit(2)).alias("author"), F.get("h", F.lit(3)).alias("date"), F.trim("line").alias("file"))
 
 
-def run_git(root: str, args: list[str], timeout: int = 10) -> str:
-    """What git prints in a folder; empty on any failure."""
-    try:
-        done = subprocess.run(["git", *args], cwd=root, capture_output=True, text=True, errors="replace", timeout=timeout)
-    except (OSError, subprocess.SubprocessError):
-        return ""
-    return done.stdout if done.returncode == 0 else ""
+class GitHistory(DataSource):
+    """Format "gitlog": a row for each file that a commit of the last `days` days changed, under the folder `path`.
+
+    A task reads `commitsPerTask` commits, by the hashes at the ends of its range, so that all tasks
+    see one history even if commits are added meanwhile. The folder must be seen by the driver and
+    the executors; without a repository, or where git fails or takes too long, there are no rows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "gitlog"
+
+    def schema(self) -> str:
+        return "commit_idx string, author string, date timestamp, file string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return CommitRanges(self.options["path"], int(self.options.get("days", "90")), int(self.options.get("commitsPerTask", "1000")), self.options.get("suffix", ".py"))
+
+
+class CommitRanges(DataSourceReader):
+    def __init__(self, root: str, days: int, size: int, suffix: str):
+        self.root, self.days, self.size, self.suffix = root, days, size, suffix
+
+    def said(self, *words: str) -> bytes:
+        """What git prints about the folder; nothing if it fails."""
+        try:
+            return subprocess.run(["git", "-C", self.root, *words], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, timeout=PATIENCE, check=True).stdout
+        except (OSError, subprocess.SubprocessError):
+            return b""
+
+    def partitions(self) -> list[InputPartition]:
+        hashes = self.said("rev-list", f"--since={self.days} days ago", "HEAD").decode().split()
+        return [InputPartition(hashes[i : i + self.size]) for i in range(0, len(hashes), self.size)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Names come relative to the folder, those of other folders not at all; each ends in a zero byte, so that any name is told as it is."""
+        if not partition or not partition.value:
+            return
+        ends = self.said("show", "--no-walk=unsorted", "-z", "--relative", "--name-only", "--format=%x01%H%x02%ae%x02%aI%x02", *partition.value, "--", ".")
+        for commit in ends.split(b"\x01")[1:]:
+            idx, author, date, names = commit.split(b"\x02", 3)
+            for name in names.split(b"\0"):
+                file = name.lstrip(b"\n").decode("utf-8", "surrogateescape")
+                if file.endswith(self.suffix):
+                    yield idx.decode(), author.decode("utf-8", "replace"), datetime.fromisoformat(date.decode()), f"{self.root.rstrip('/')}/{file.encode('utf-8', 'surrogateescape').decode('utf-8', 'replace')}"
 
 
-def read_log(spark: SparkSession, root: str, days: int = 90) -> DataFrame:
-    """commit_idx, author, date and file (a path under root) of the last days of a repository that the driver sees; no rows without one."""
-    text = run_git(root, ["log", f"--since={days} days ago", "--name-only", "--pretty=format:COMMIT %H %ae %aI"])
-    rows = commits_of(spark.createDataFrame([(0, text)], "log int, text string"), "log", "text")
-    return rows.select(F.col("hash").alias("commit_idx"), "author", F.to_timestamp("date").alias("date"), F.concat(F.lit(root.rstrip("/") + "/"), "file").alias("file"))
+def read_log(spark: SparkSession, root: str, days: int = 90, commits_per_task: int = 1000) -> DataFrame:
+    """commit_idx, author, date and file (a path under root) of the last days of a repository; no rows without one."""
+    spark.dataSource.register(GitHistory)
+    return spark.read.format("gitlog").option("path", root).option("days", days).option("commitsPerTask", commits_per_task).load()
