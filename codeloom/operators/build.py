@@ -54,13 +54,18 @@ def nodes_of(facts: DataFrame) -> DataFrame:
     variables = rows(typed, 3, "Variable", digest("var:", F.col("name"), ":", path, ":", line), start_line=line, declared_type=F.col("type"))
     every = files.unionByName(functions).unionByName(classes).unionByName(variables)
     last = every.groupBy("id").agg(F.max_by(F.struct(*every.columns), F.struct("kind", "pos")).alias("x")).select("x.*")
-    return last.orderBy("file_path", "kind", "pos").withColumn("ordinal", F.monotonically_increasing_id()).drop("kind", "pos")
+    return numbered(last.withColumn("place", F.shiftleft(F.col("kind").cast("long"), 32) + F.col("pos")).drop("kind", "pos"))
 
 
-def import_bindings(facts: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """named(file_path, name, target_path): the last binding of a name; imported(file_path, target_path): files imported whole; edges between files, once each."""
+def numbered(nodes: DataFrame) -> DataFrame:
+    """nodes with their ordinal: the order of path and of the place in the file (by kind, then position)."""
+    return nodes.drop("ordinal").orderBy("file_path", "place").withColumn("ordinal", F.monotonically_increasing_id())
+
+
+def import_bindings(facts: DataFrame, root: str, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """named(file_path, name, target_path): the last binding of a name; imported(file_path, target_path): files imported whole; edges between files, once each. Files are looked for among those of whole (facts, if none)."""
     imports = cut(unnested(facts, "imports"))
-    found = resolve_imports(imports, facts.select("file_path"), root).where("target_path IS NOT NULL")
+    found = resolve_imports(imports, (facts if whole is None else whole).select("file_path"), root).where("target_path IS NOT NULL")
     key = ["file_path", "module", "level"]
     resolved = cut(imports.withColumn("module", F.coalesce("module", F.lit(""))).join(found, key))
     names = resolved.where(F.col("is_from") & (F.size("names") > 0)).select("file_path", "target_path", "line", "pos", F.posexplode("names").alias("k", "name"))
@@ -70,16 +75,17 @@ def import_bindings(facts: DataFrame, root: str) -> tuple[DataFrame, DataFrame,
     return named, imported, ends.select("source_id", "target_id", F.lit("IMPORTS").alias("edge_type"), F.lit(1.0).alias("confidence"))
 
 
-def type_bindings(facts: DataFrame) -> DataFrame:
+def type_bindings(facts: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """file_path, scope, variable, type, confidence and first of each variable's last binding; first is the place of its first one.
 
     All assignments of a file count for its module: a declared type, else the class that is
     called. Annotated parameters count under their function's name, and in __init__ what is
-    assigned from a class counts as an attribute of the owner's self.
+    assigned from a class counts as an attribute of the owner's self. Classes are those of whole
+    (facts, if none).
     """
     assigned = unnested(facts, "assignments")
     functions = unnested(facts, "functions")
-    classes = unnested(facts, "classes").select(F.col("name").alias("value_type")).distinct()
+    classes = unnested(facts if whole is None else whole, "classes").select(F.col("name").alias("value_type")).distinct()
     made = assigned.join(classes, "value_type", "left_semi")
     columns = ["file_path", "scope", "variable", "type", "confidence", "at"]
     declared = assigned.where("declared_type IS NOT NULL AND declared_type <> ''")
@@ -94,11 +100,17 @@ def type_bindings(facts: DataFrame) -> DataFrame:
     return every.groupBy("file_path", "scope", "variable").agg(last, F.min("at").alias("first")).select("file_path", "scope", "variable", "b.type", "b.confidence", "first")
 
 
-def ancestors(facts: DataFrame) -> DataFrame:
-    """name and ancestor: each class name, itself, and the names of all classes above it; classes of one name count as one."""
-    classes = unnested(facts, "classes")
-    bases = cut(classes.select("name", F.explode("bases").alias("b")).select("name", F.element_at(F.split("b", r"\."), -1).alias("base")).distinct())
-    found = reached = cut(classes.select("name", F.col("name").alias("ancestor")).distinct())
+def class_bases(facts: DataFrame) -> DataFrame:
+    """name and base (its last part) of the classes that have one."""
+    return unnested(facts, "classes").select("name", F.explode("bases").alias("b")).select("name", F.element_at(F.split("b", r"\."), -1).alias("base")).distinct()
+
+
+def ancestors(facts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """name and ancestor: each class name (of those in of(name), if given), itself, and the names of all classes above it; classes of one name count as one."""
+    bases = cut(class_bases(facts))
+    known = unnested(facts, "classes").select("name").distinct()
+    known = known if of is None else known.join(of, "name", "left_semi")
+    found = reached = cut(known.select("name", F.col("name").alias("ancestor")))
     while not reached.isEmpty():
         up = reached.join(bases.withColumnRenamed("name", "ancestor"), "ancestor").select("name", F.col("base").alias("ancestor")).distinct()
         reached = cut(up.join(found, ["name", "ancestor"], "left_anti"))
@@ -117,13 +129,15 @@ def receiver_types(calls: DataFrame, types: DataFrame) -> DataFrame:
     return joined.withColumn("type", kind).drop("scope", "of_self", "of_scope", "of_module")
 
 
-def call_edges(facts: DataFrame, nodes: DataFrame, owned: DataFrame, named: DataFrame, imported: DataFrame) -> DataFrame:
+def call_edges(facts: DataFrame, nodes: DataFrame, owned: DataFrame, named: DataFrame, imported: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """source_id, target_id, line, confidence and reason of all calls.
 
     A call on a receiver of known type leads to the methods of that name on its class and those
     above; if none of them takes the arguments, or the type isn't known, names are resolved as
     elsewhere (see resolve_names). Calls outside functions have no edge; of equal edges the first stays.
+    nodes and owned are those of all files, and so is whole (facts, if none).
     """
+    whole = facts if whole is None else whole
     code = nodes.where(F.col("label").isin("Function", "Method"))
     callers = code.groupBy("file_path", F.col("name").alias("caller")).agg(F.max_by("id", "ordinal").alias("source_id"))
     calls = cut(unnested(facts, "calls").where("caller IS NOT NULL").join(callers, ["file_path", "caller"]))
@@ -131,8 +145,9 @@ def call_edges(facts: DataFrame, nodes: DataFrame, owned: DataFrame, named: Data
     arity = symbols.select(F.col("id").alias("target_id"), "parameter_count")
     methods = owned.where("edge_type = 'HAS_METHOD'").select("source_id", "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("ancestor")), "source_id").drop("source_id")
     methods = methods.join(nodes.select(F.col("id").alias("target_id"), F.col("name").alias("callee"), "parameter_count"), "target_id")
-    typed = receiver_types(calls.where("is_attribute AND receiver IS NOT NULL"), type_bindings(facts)).where("type IS NOT NULL")
-    above = ancestors(facts).withColumnRenamed("name", "type")
+    typed = receiver_types(calls.where("is_attribute AND receiver IS NOT NULL"), type_bindings(facts, whole)).where("type IS NOT NULL")
+    typed = cut(typed)
+    above = ancestors(whole, typed.select(F.col("type").alias("name")).distinct()).withColumnRenamed("name", "type")
     hits = typed.join(above, "type").join(methods, ["ancestor", "callee"]).where(arity_fits("parameter_count", "arg_count"))
     key = ["file_path", "pos"]
     first = cut(hits.select(*key, "source_id", "target_id", "line", F.lit(0.95).alias("confidence"), F.lit("type-inferred resolution").alias("reason")).distinct())
@@ -144,20 +159,34 @@ def call_edges(facts: DataFrame, nodes: DataFrame, owned: DataFrame, named: Data
     return every.groupBy("source_id", "target_id", "line").agg(best).select("source_id", "target_id", "line", "b.confidence", "b.reason")
 
 
-def build_graph(facts: DataFrame, root: str) -> PropertyGraph:
-    """The graph of facts that pysource.parse gives: nodes, and edges of containment, heritage, decoration, imports and calls."""
-    facts = cut(facts)
-    nodes = cut(nodes_of(facts))
-    named, imported, imports = import_bindings(facts, root)
-    owned = ownership_edges(nodes).withColumn("confidence", F.when(F.col("edge_type") == "CONTAINS", 1.0).otherwise(0.95))
-    extends = named_edges(nodes.where("label = 'Class'").select("id", F.explode("bases").alias("text")), nodes, "EXTENDS", ("Class",)).withColumn("confidence", F.lit(0.85))
-    used = named_edges(nodes.where("label IN ('Function', 'Method', 'Class')").select("id", F.explode("decorators").alias("text")), nodes, "DECORATES", ("Function", "Class"))
+def owned_edges(nodes: DataFrame) -> DataFrame:
+    """The edges of containment, without ids."""
+    return ownership_edges(nodes).withColumn("confidence", F.when(F.col("edge_type") == "CONTAINS", 1.0).otherwise(0.95))
+
+
+def edges_of(facts: DataFrame, nodes: DataFrame, root: str, whole: DataFrame | None = None) -> DataFrame:
+    """The edges that come from the files of facts, among the nodes of all files: containment, heritage, decoration, imports and calls.
+
+    whole are the facts of all files (facts itself, if none).
+    """
+    mine = nodes if whole is None else nodes.join(facts.select("file_path").distinct(), "file_path", "left_semi")
+    named, imported, imports = import_bindings(facts, root, whole)
+    owned = owned_edges(mine)
+    extends = named_edges(mine.where("label = 'Class'").select("id", F.explode("bases").alias("text")), nodes, "EXTENDS", ("Class",)).withColumn("confidence", F.lit(0.85))
+    used = named_edges(mine.where("label IN ('Function', 'Method', 'Class')").select("id", F.explode("decorators").alias("text")), nodes, "DECORATES", ("Function", "Class"))
     decorates = used.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type", F.lit(0.8).alias("confidence"))  # from the decorator to what it decorates
     plain = owned.unionByName(extends).unionByName(decorates).unionByName(imports).distinct()
     plain = plain.select(digest(F.col("source_id"), "-", F.col("edge_type"), "->", F.col("target_id")).alias("id"), "source_id", "target_id", "edge_type", "confidence", F.lit("").alias("reason"), F.lit(0).alias("line"))
-    calls = call_edges(facts, nodes, owned, named, imported)
+    calls = call_edges(facts, nodes, owned if whole is None else owned_edges(nodes), named, imported, whole)
     calls = calls.select(digest(F.col("source_id"), "->", F.col("target_id"), "@", F.col("line")).alias("id"), "source_id", "target_id", F.lit("CALLS").alias("edge_type"), "confidence", "reason", "line")
-    return PropertyGraph(nodes, cut(plain.unionByName(calls)))
+    return plain.unionByName(calls)
+
+
+def build_graph(facts: DataFrame, root: str) -> PropertyGraph:
+    """The graph of facts that pysource.parse gives: nodes, and edges of containment, heritage, decoration, imports and calls."""
+    facts = cut(facts)
+    nodes = cut(nodes_of(facts))
+    return PropertyGraph(nodes, cut(edges_of(facts, nodes, root)))
 
 
 def local_types(facts: DataFrame) -> DataFrame:
