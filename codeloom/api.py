@@ -219,12 +219,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for answer in tools.respond(line):
                 print(answer, flush=True)
     elif args.watch:
-        import tempfile
-
+        from codeloom.plans.fixpoint import shared_folder
         from codeloom.streaming.files import watch
 
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-watch-")
-        watch(spark, root, os.path.join(folder, "watch"), lambda batch, n: show(batch)).awaitTermination()
+        watch(spark, root, os.path.join(shared_folder(spark), "watch"), lambda batch, n: show(batch)).awaitTermination()
     else:
         show(code.analyze())
     return 0

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph, first_named
-from codeloom.operators import flows, health, search, traverse, views
-from codeloom.plans.star import COMMITS, EVENT_EDGES, bound, oracle, star_graph
+from codeloom.operators import flows, grams, health, search, traverse, views
+from codeloom.plans.star import COMMITS, EVENT_EDGES, bound, oracle, star_grams, star_graph
 from codeloom.sources import gitlog, pysource
 from codeloom.streaming import changes
 
@@ -158,6 +158,22 @@ def a11_search(g):
     return search.search(g, "ER_1").select("id", "name")
 
 
+@query("SELECT id, name FROM nodes WHERE contains(lower(name), 'er_1') ORDER BY ordinal LIMIT 20")
+def a11_search_by_grams(spark, sf_dir):
+    return grams.nodes_with(spark, star_grams(spark, sf_dir), "ER_1").orderBy("ordinal").limit(20).select("id", "name")
+
+
+@query("SELECT id, name FROM nodes WHERE label IN ('Function', 'Method', 'Class', 'Process') AND contains(lower(name), '#00000001')")
+def a12_keyword_by_grams(spark, sf_dir):
+    found = grams.nodes_with(spark, star_grams(spark, sf_dir), "#00000001")
+    return found.where(F.col("label").isin(*search.SYMBOLS, "Process")).select("id", "name")
+
+
+@query("SELECT id, name FROM nodes WHERE label IN ('Function', 'Method') AND contains(name, 'er_12')")
+def j5_callable_by_grams(spark, sf_dir):
+    return grams.nodes_with(spark, star_grams(spark, sf_dir), "er_12", ignore_case=False).where(F.col("label").isin("Function", "Method")).select("id", "name")
+
+
 @on_graph("SELECT id, name FROM nodes WHERE label IN ('Function', 'Method', 'Class', 'Process') AND contains(lower(name), 'r_12')")
 def a12_keyword_search(g):
     return search.keyword_search(g, "R_12").select("id", "name")

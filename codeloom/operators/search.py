@@ -20,7 +20,7 @@ def neighbours_of(g: PropertyGraph, name: str, edge_type: str, side: str, labels
     """
     other = "source" if side == "target" else "target"
     seed = first_named(g.nodes, name, labels).select(F.col("id").alias(f"{side}_id"))
-    hit = g.edges.where(F.col("edge_type") == edge_type).join(F.broadcast(seed), f"{side}_id").select(F.col(f"{other}_id").alias("id"), "line")
+    hit = g.edges_by(f"{side}_id").where(F.col("edge_type") == edge_type).join(F.broadcast(seed), f"{side}_id").select(F.col(f"{other}_id").alias("id"), "line")
     return hit.join(g.nodes, "id").select("id", "label", "name", "file_path", "line")
 
 
@@ -82,7 +82,7 @@ def context(g: PropertyGraph, name: str, keep_dangling: bool = True) -> DataFram
     seed = F.broadcast(first_named(g.nodes, name).select(F.col("id").alias("seed")))
     sides = []
     for direction, own, other in (("in", "target_id", "source_id"), ("out", "source_id", "target_id")):
-        sides.append(g.edges.join(seed, F.col(own) == F.col("seed")).select(F.lit(direction).alias("direction"), "edge_type", "line", F.col(other).alias("id")))
+        sides.append(g.edges_by(own).join(seed, F.col(own) == F.col("seed")).select(F.lit(direction).alias("direction"), "edge_type", "line", F.col(other).alias("id")))
     found = sides[0].unionByName(sides[1])
     joined = found.join(g.nodes.select("id", "name", "label"), "id", "left" if keep_dangling else "inner")
     return joined.select("direction", "edge_type", "line", "id", F.coalesce("name", "id").alias("name"), "label")

@@ -11,6 +11,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.graph import PropertyGraph
+from codeloom.operators.grams import GramIndex, build_grams
 from codeloom.plans.stored import fingerprint, read_graph, write_graph
 
 #: Files and classes stand for nations, functions for customers, parts and suppliers, methods for orders.
@@ -100,6 +101,18 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return read_graph(spark, _stored[key])
 
 
+_grams: dict[tuple[str, str], GramIndex] = {}
+
+
+def star_grams(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The index of the star graph's names, written once like the graph."""
+    names = tuple(star_graph(spark, sf_dir).nodes.inputFiles())
+    key = (spark.sparkContext.applicationId, str(sorted(names)[:1]))
+    if key not in _grams:
+        _grams[key] = build_grams(star_graph(spark, sf_dir).nodes)
+    return _grams[key]
+
+
 def oracle(sql: str, *ctes: str) -> str:
     """SQL for DuckDB: nodes, edges, event_edges and commits where it names them, then further CTEs, then the query."""
     parts = {"nodes": NODES, "edges": EDGES, "event_edges": EVENT_EDGES, "commits": COMMITS}
