@@ -79,14 +79,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: For tables of few, large rows: a row group's and a page's size is looked at after each row, not after a hundred, and no dictionary of such values is tried.
+WIDE = {"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, label: str, wide: bool = False) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. Lost executors don't lose it.
 
-    Row groups are small, as a task holds one whole while it writes or reads rows of some size.
+    Row groups are small, as a task holds one whole while it writes or reads rows of some size;
+    wide says that a row may have a megabyte.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).options(**(WIDE if wide else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

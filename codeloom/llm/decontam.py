@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "segment long, terms binary, counts binary, positions binary, offsets array<long>, n_words array<long>" + "".join(f", {k} array<{docs.schema[c].dataType.simpleString()}>" for k, c in zip(kept, names, strict=True))
-    return written(map_pieces(docs, text, segment, schema, SEGMENT_BYTES), "index")
+    return written(map_pieces(docs, text, segment, schema, SEGMENT_BYTES), "index", wide=True)
 
 
 class Windows:
