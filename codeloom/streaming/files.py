@@ -132,13 +132,15 @@ class ChangeLog:
 class LoggedReader(DataSourceStreamReader):
     """Offsets are numbers of a ChangeLog. The driver lists the folder, in threads, and hands tasks the differences, TASK_ROWS each.
 
-    An entry's time is later than that of the one before. Once no file has changed for quiet_ms, one
-    entry without a file follows, so that a watermark passes the last change.
+    An entry's time is later than that of the one before, but while changes go on by half of
+    quiet_ms at most, however long a batch takes: what two listings in turn find of a file is one
+    burst. Once a listing finds no change quiet_ms after the last that did, one entry without a
+    file follows, later by more than that, so that a watermark passes the last change.
     """
 
     def __init__(self, root: str, suffix: str, log: str, quiet_ms: int):
         self.root, self.suffix, self.quiet_ms = root, suffix, quiet_ms
-        self.log, self.n, self.files, self.at, self.open = ChangeLog(log), None, {}, 0, False
+        self.log, self.n, self.files, self.at, self.open, self.found = ChangeLog(log), None, {}, 0, False, 0
 
     def _resume(self) -> None:
         if self.n is None:
@@ -148,6 +150,7 @@ class LoggedReader(DataSourceStreamReader):
                 self.log.write(0, "all", list(self.files.items()))
             last = self.log.rows(self.n) if self.n in self.log.numbers("log") else []
             self.at, self.open = max((r[3] for r in last), default=0), any(r[1] != "quiet" for r in last)
+            self.found = time.time_ns() // 1_000_000
 
     def initialOffset(self) -> dict:
         self._resume()
@@ -155,12 +158,15 @@ class LoggedReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         self._resume()
-        now, ms = listing(self.root, self.suffix, 8), max(self.at + 1, time.time_ns() // 1_000_000)
-        rows = [(path, kind, now.get(path), ms) for path, kind in events_between(self.files, now)]
-        if not rows and self.open and ms > self.at + self.quiet_ms:
-            rows, self.open = [(None, "quiet", None, ms)], False
-        elif rows:
-            self.open = True
+        now, clock = listing(self.root, self.suffix, 8), time.time_ns() // 1_000_000
+        events = list(events_between(self.files, now))
+        ms = self.at + max(1, min(clock - self.at, self.quiet_ms // 2)) if self.open and events else max(self.at + 1, clock)
+        rows = [(path, kind, now.get(path), ms) for path, kind in events]
+        if rows:
+            self.open, self.found = True, clock
+        elif self.open and clock >= self.found + self.quiet_ms:
+            ms, self.open = max(self.at + self.quiet_ms + 1, clock), False
+            rows = [(None, "quiet", None, ms)]
         if rows:
             self.log.write(self.n + 1, "log", rows)
             self.n, self.files, self.at = self.n + 1, now, ms

@@ -134,3 +134,24 @@ def test_the_log_of_changes_is_read_again_and_made_short(tmp_path, monkeypatch):
     again.commit(end)
     assert sorted(os.listdir(log)) == ["000000000006.all", "000000000007.log", "000000000008.log"]
     assert files.LoggedReader(str(root), ".py", log, 0).latestOffset() == {"n": 9}
+
+
+def test_listings_far_apart_in_time_see_one_burst_until_one_finds_no_change(tmp_path, monkeypatch):
+    clock = [10**12]
+    monkeypatch.setattr(files.time, "time_ns", lambda: clock[0] * 1_000_000)
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("x")
+    reader = files.LoggedReader(str(root), ".py", str(tmp_path / "log"), 300)
+    start = reader.initialOffset()
+    (root / "a.py").write_text("")
+    reader.latestOffset()
+    clock[0] += 5000  # a batch takes long
+    (root / "a.py").write_text("xx")
+    reader.latestOffset()
+    assert reader.latestOffset() == {"n": 2}  # too early to be quiet
+    clock[0] += 300
+    end = reader.latestOffset()
+    rows = [x for p in reader.partitions(start, end) for x in reader.read(p)]
+    times = [r[2].timestamp() for r in rows]
+    assert [r[1] for r in rows] == ["modified", "modified", "quiet"] and times[1] - times[0] < 0.3 < times[2] - times[1]
