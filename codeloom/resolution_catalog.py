@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom import measures
 from codeloom.catalog import commits, on_graph, query
-from codeloom.operators import build, flows, health, resolve
+from codeloom.operators import build, flows, health, resolve, traverse
 from codeloom.plans.star import NODES, bound
 from codeloom.sources import pysource
 
@@ -162,10 +162,15 @@ def t7_execution_flows(g):
     return flows.execution_flows(g, min_steps=2).select("entry", "terminal", "step_count")
 
 
-@on_graph("SELECT d.id AS entry, b.target_id AS terminal FROM degree d JOIN (SELECT source_id, target_id, min(k) AS k FROM best GROUP BY 1, 2) b ON b.source_id = d.id WHERE d.o - 1.5 * d.i > 0 AND d.id = (SELECT arg_min(id, ordinal) FROM nodes WHERE name = 'order_7')", *SCORED)
+@on_graph(
+    "SELECT entry, terminal FROM (SELECT d.id AS entry, b.target_id AS terminal FROM degree d JOIN (SELECT source_id, target_id, min(k) AS k FROM best GROUP BY 1, 2) b ON b.source_id = d.id WHERE d.o - 1.5 * d.i > 0 AND d.o > 0 ORDER BY d.o - 1.5 * d.i DESC, d.ordinal, d.id, b.k LIMIT 75) f "
+    "WHERE entry = (SELECT arg_min(id, ordinal) FROM nodes WHERE name = (SELECT name FROM nodes JOIN degree USING (id) ORDER BY CASE WHEN o = 0 THEN 0 ELSE o - 1.5 * i END DESC, degree.ordinal, id LIMIT 1))",
+    *SCORED,
+)
 def t9_flows_from(g):
-    """Of the many nodes of a name only the first is an entry; the cap is high enough for all flows."""
-    return flows.flows_from(g, "order_7", max_processes=10_000_000).select("entry", "terminal")
+    """The flows of the foremost entry, asked for by its name."""
+    first = traverse.entry_scores(g).join(g.nodes.select("id", "ordinal"), "id").orderBy(F.desc("score"), "ordinal", "id").select("name").head()
+    return flows.flows_from(g, first.name if first else "").select("entry", "terminal")
 
 
 @query(
