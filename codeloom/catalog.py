@@ -344,9 +344,13 @@ def h1_fan(g):
     return health.fan(g)
 
 
-def with_cc(g: PropertyGraph) -> PropertyGraph:
+def nodes_with_cc(g: PropertyGraph) -> DataFrame:
     """The star graph has no source; a stand-in complexity comes from the start line."""
-    return PropertyGraph(g.nodes.withColumn("cc", F.col("start_line") % 25), g.edges)
+    return g.nodes.withColumn("cc", F.col("start_line") % 25)
+
+
+def with_cc(g: PropertyGraph) -> PropertyGraph:
+    return PropertyGraph(nodes_with_cc(g), g.edges)
 
 
 RISK_SQL = "CASE WHEN {0} > 20 OR {1} > 200 THEN 'CRITICAL' WHEN {0} > 10 OR {1} > 100 THEN 'HIGH' WHEN {0} > 5 OR {1} > 50 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -354,7 +358,7 @@ RISK_SQL = "CASE WHEN {0} > 20 OR {1} > 200 THEN 'CRITICAL' WHEN {0} > 10 OR {1}
 
 @on_graph(f"SELECT id, name, file_path, start_line % 25 AS cc, end_line - start_line + 1 AS line_count, parameter_count, {RISK_SQL.format('start_line % 25', '(end_line - start_line + 1)')} AS risk FROM nodes WHERE label IN ('Function', 'Method')")
 def h2_complexity(g):
-    return health.complexity(with_cc(g).nodes)
+    return health.complexity(nodes_with_cc(g))
 
 
 GROUPED = "grouped AS (SELECT id, label, start_line % 25 AS cc, array_to_string(list_slice(split(file_path, '/'), 2, least(3, len(split(file_path, '/')) - 1)), '/') AS grp FROM nodes WHERE label IN ('Function', 'Method', 'Class'))"
@@ -378,7 +382,7 @@ def h3_module_health(g):
 
 @on_graph(f"SELECT count(*) AS functions, CAST(sum(cc) AS BIGINT) AS cc_sum, count(CASE WHEN risk = 'HIGH' THEN 1 END) AS high, count(CASE WHEN risk = 'CRITICAL' THEN 1 END) AS critical FROM (SELECT start_line % 25 AS cc, {RISK_SQL.format('start_line % 25', '(end_line - start_line + 1)')} AS risk FROM nodes WHERE label IN ('Function', 'Method'))")
 def h4_health_report(g):
-    rows = health.complexity(with_cc(g).nodes)
+    rows = health.complexity(nodes_with_cc(g))
     return rows.agg(F.count("*").alias("functions"), F.sum("cc").alias("cc_sum"), F.count_if(F.col("risk") == "HIGH").alias("high"), F.count_if(F.col("risk") == "CRITICAL").alias("critical"))
 
 
@@ -463,7 +467,7 @@ def h12_safe_to_modify(g):
 
 @on_graph("SELECT name, file_path, cc, line_count, risk FROM (SELECT name, file_path, start_line % 25 AS cc, end_line - start_line + 1 AS line_count, " + RISK_SQL.format("start_line % 25", "(end_line - start_line + 1)") + " AS risk FROM nodes WHERE label IN ('Function', 'Method') AND name = 'order_7' ORDER BY start_line % 25 DESC, ordinal LIMIT 1)")
 def h6_complexity_of(g):
-    return health.complexity_of(with_cc(g).nodes, "order_7").select("name", "file_path", "cc", "line_count", "risk")
+    return health.complexity_of(nodes_with_cc(g), "order_7").select("name", "file_path", "cc", "line_count", "risk")
 
 
 @on_graph(

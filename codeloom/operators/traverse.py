@@ -41,7 +41,7 @@ def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_
     if relation_types:
         edges = edges.where(F.col("edge_type").isin(*relation_types))
     classes = seeds.join(g.by_label("Class").select("id"), "id")
-    methods = g.edges.where("edge_type = 'HAS_METHOD'").join(classes.select("seed", F.col("id").alias("source_id")), "source_id")
+    methods = g.edges_by(own).where("edge_type = 'HAS_METHOD'").join(classes.select("seed", F.col("id").alias("source_id")), "source_id")
     frontier = seeds.select("seed", "id").unionByName(methods.select("seed", F.col("target_id").alias("id"))).distinct()
     frontier = cut(frontier) if cut_rounds else frontier
     seen, out = frontier, None

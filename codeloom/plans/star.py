@@ -9,10 +9,11 @@ import re
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.graph import PropertyGraph
 from codeloom.operators.grams import GramIndex, build_grams
-from codeloom.plans.stored import fingerprint, read_graph, write_graph
+from codeloom.plans.stored import StoredGraph, buckets_for, fingerprint
 
 #: Files and classes stand for nations, functions for customers, parts and suppliers, methods for orders.
 NODES = """
@@ -40,17 +41,17 @@ SELECT concat('m:o', o_orderkey), 'Method', concat('order_', o_orderkey % 5000),
 """
 
 #: Call edges are told apart by their line, so that they form a multigraph; other edges by their ends.
-EDGES = """
-SELECT substr(md5(concat(source_id, '->', target_id, '@', line)), 1, 16) AS id, source_id, target_id, 'CALLS' AS edge_type, confidence, line FROM (
+CALL_ID = "substr(md5(concat(source_id, '->', target_id, '@', line)), 1, 16)"
+PLAIN_ID = "substr(md5(concat(source_id, '-', edge_type, '->', target_id)), 1, 16)"
+CALLS = """
   SELECT concat('m:o', o_orderkey) AS source_id, concat('fn:c', o_custkey) AS target_id, CAST(0.95E0 AS DOUBLE) AS confidence, 0 AS line FROM {orders}
   UNION ALL
   SELECT concat('m:o', l_orderkey), concat('fn:p', l_partkey), CAST(max(CASE l_returnflag WHEN 'N' THEN 0.95E0 WHEN 'R' THEN 0.9E0 ELSE 0.5E0 END) AS DOUBLE), l_linenumber
     FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber
   UNION ALL
   SELECT DISTINCT concat('fn:s', l_suppkey), concat('fn:p', l_partkey), CAST(0.9E0 AS DOUBLE), 0 FROM {lineitem}
-) calls
-UNION ALL
-SELECT substr(md5(concat(source_id, '-', edge_type, '->', target_id)), 1, 16), source_id, target_id, edge_type, confidence, 0 FROM (
+"""
+STRUCTURE = """
   SELECT concat('file:', n_name) AS source_id, concat('fn:c', c_custkey) AS target_id, 'CONTAINS' AS edge_type, CAST(1.0E0 AS DOUBLE) AS confidence
     FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
   UNION ALL
@@ -60,8 +61,14 @@ SELECT substr(md5(concat(source_id, '-', edge_type, '->', target_id)), 1, 16), s
   SELECT concat('cls:', n.n_name), concat('cls:', b.n_name), 'EXTENDS', CAST(0.85E0 AS DOUBLE)
     FROM {nation} n JOIN (SELECT n_regionkey AS rk, min(n_nationkey) AS nk FROM {nation} GROUP BY n_regionkey) f ON n.n_regionkey = f.rk
     JOIN {nation} b ON b.n_nationkey = f.nk WHERE n.n_nationkey <> b.n_nationkey
-) structure
 """
+EDGES = (
+    f"\nSELECT {CALL_ID} AS id, source_id, target_id, 'CALLS' AS edge_type, confidence, line FROM ({CALLS}) calls\n"
+    f"UNION ALL\nSELECT {PLAIN_ID}, source_id, target_id, edge_type, confidence, 0 FROM ({STRUCTURE}) structure\n"
+)
+#: The same without ids, which follow from the other columns.
+ENDS = f"SELECT source_id, target_id, 'CALLS' AS edge_type, confidence, line FROM ({CALLS}) calls UNION ALL SELECT source_id, target_id, edge_type, confidence, 0 FROM ({STRUCTURE}) structure"
+EDGE_ID = f"CASE edge_type WHEN 'CALLS' THEN {CALL_ID} ELSE {PLAIN_ID} END"
 
 #: Users as nodes of one day; an edge leads to the next event of the same kind on that day.
 EVENT_EDGES = """
@@ -88,28 +95,28 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
 
 
-_stored: dict[tuple[str, str], tuple[str, str, str]] = {}
+_stored: dict[tuple[str, str], StoredGraph] = {}
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The star graph of a data folder, written once for each application and state of the folder's files."""
+    """The star graph of a data folder; each of its tables is written when first asked for, once for each application and state of the folder's files."""
     paths = [f"{sf_dir}/{t}.parquet" for t in {*tables_of(NODES), *tables_of(EDGES)}]
     known, size = fingerprint(spark, paths)
     key = (spark.sparkContext.applicationId, known)
     if key not in _stored:
-        _stored[key] = write_graph(PropertyGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, EDGES)), size)
-    return read_graph(spark, _stored[key])
+        _stored[key] = StoredGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, ENDS), F.expr(EDGE_ID), buckets_for(size))
+    return _stored[key]
 
 
 _grams: dict[tuple[str, str], GramIndex] = {}
 
 
 def star_grams(spark: SparkSession, sf_dir: str) -> GramIndex:
-    """The index of the star graph's names, written once like the graph."""
-    names = tuple(star_graph(spark, sf_dir).nodes.inputFiles())
-    key = (spark.sparkContext.applicationId, str(sorted(names)[:1]))
+    """The index of the star graph's names, written once like the graph, and without it."""
+    known, size = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables_of(NODES)])
+    key = (spark.sparkContext.applicationId, known)
     if key not in _grams:
-        _grams[key] = build_grams(star_graph(spark, sf_dir).nodes)
+        _grams[key] = build_grams(bound(spark, sf_dir, NODES), buckets_for(size))
     return _grams[key]
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from codeloom.graph import PropertyGraph
 from codeloom.plans.fixpoint import delete_at_end, shared_folder
 
-#: Bytes of input for a bucket, about.
-BUCKET_BYTES = 64 << 20
+#: Bytes of input for a bucket, at most.
+BUCKET_BYTES = 16 << 20
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
@@ -30,8 +30,8 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     return said.hexdigest(), total
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None) -> str:
-    """The name of a table with df's rows in the shared folder: in `buckets` by the key's hash, sorted by it, and in a folder for each value of `parts`.
+def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None, **more: Column) -> str:
+    """The name of a table with df's rows in the shared folder: in `buckets` by the key's hash, sorted by it, and in a folder for each value of `parts`. The columns of `more` are computed once the rows are there.
 
     A lookup by key reads one bucket, and in it the row groups whose range holds the key; a join on
     it needs no shuffle of the table.
@@ -39,22 +39,48 @@ def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None) ->
     spark = df.sparkSession
     name = f"codeloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path)
+    rows = df.repartition(buckets, key).withColumns(more)
+    writer = rows.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd")
     (writer.partitionBy(parts) if parts else writer).saveAsTable(name)
     delete_at_end(spark, path)
     return name
 
 
-def write_graph(g: PropertyGraph, input_bytes: int) -> tuple[str, str, str]:
-    """The tables of a graph: nodes by id, edges by source and, a second time, by target; edges lie apart by type, which most questions name."""
-    spark = g.nodes.sparkSession
-    buckets = max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes // BUCKET_BYTES))
-    return bucketed(g.nodes, "id", buckets), bucketed(g.edges, "source_id", buckets, "edge_type"), bucketed(g.edges, "target_id", buckets, "edge_type")
+def buckets_for(input_bytes: int) -> int:
+    """As many as keep a bucket's rows in a task's memory while they are sorted, whatever the input's size."""
+    return max(2, -(-input_bytes // BUCKET_BYTES))
 
 
-def read_graph(spark: SparkSession, names: tuple[str, str, str]) -> PropertyGraph:
-    nodes, by_source, by_target = names
-    columns = [c for c in spark.table(by_source).columns if c != "edge_type"]
-    place = columns.index("target_id") + 1
-    columns.insert(place, "edge_type")
-    return PropertyGraph(spark.table(nodes), spark.table(by_source).select(columns), spark.table(by_target).select(columns))
+class StoredGraph(PropertyGraph):
+    """A graph whose tables are written when first asked for: nodes by id, edges by source and, if asked for so, a second time by target; edges lie apart by type, which most questions name.
+
+    ends are the edges without the id, which edge_id computes from the other columns; so it isn't
+    moved. The second table of edges is made from the first.
+    """
+
+    def __init__(self, nodes: DataFrame, ends: DataFrame, edge_id: Column, buckets: int):
+        self._given, self._ends, self._id, self._buckets = nodes, ends, edge_id, buckets
+        self._columns = ["id", *ends.columns]
+        self._names: dict[str, str] = {}
+
+    @property
+    def nodes(self) -> DataFrame:
+        if "id" not in self._names:
+            self._names["id"] = bucketed(self._given, "id", self._buckets)
+        return self._given.sparkSession.table(self._names["id"])
+
+    def _edges_by(self, key: str) -> DataFrame:
+        spark = self._ends.sparkSession
+        if key not in self._names:
+            other = next((spark.table(n) for k, n in self._names.items() if k != "id"), None)
+            ends = self._ends if other is None else other.select(self._ends.columns)
+            self._names[key] = bucketed(ends, key, self._buckets, "edge_type", id=self._id)
+        return spark.table(self._names[key]).select(self._columns)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges_by("source_id")
+
+    @property
+    def by_target(self) -> DataFrame:
+        return self._edges_by("target_id")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.catalog import queries
-from codeloom.operators import resolve
+from codeloom.catalog import nodes_with_cc, queries, seeds
+from codeloom.operators import resolve, traverse
+from codeloom.plans import fixpoint, star, stored
 
 SYMBOLS = "id string, label string, name string, file_path string, parameter_count int, ordinal long"
 
@@ -35,3 +36,19 @@ def test_every_member_of_every_class_is_looked_up(spark):
     want = {f"m:o{r[0]}" for r in orders.select("o_orderkey").collect()}
     got = [r.id for r in queries()["j6_lookup_member"](spark, sf).collect()]
     assert len(got) == len(want) > 0 and set(got) == want
+
+
+def test_only_tables_that_are_asked_for_are_written(spark):
+    sf = "/root/testdata/sf0.001"
+    make = lambda: stored.StoredGraph(star.bound(spark, sf, star.NODES), star.bound(spark, sf, star.ENDS), F.expr(star.EDGE_ID), 3)
+    g = make()
+    assert nodes_with_cc(g).count() > 0 and set(g._names) == {"id"}
+    plain = star.bound(spark, sf, star.EDGES)
+    assert g.edges.columns == plain.columns and g.edges.schema["line"].dataType == plain.schema["line"].dataType and set(g._names) == {"id", "source_id"}
+    assert fixpoint.checksum(g.by_target) == fixpoint.checksum(plain)
+    other = make()
+    assert traverse.impact(other, seeds(other, "fn:p1")).count() > 0 and set(other._names) == {"id", "target_id"}
+
+
+def test_buckets_grow_with_the_input_alone(spark):
+    assert stored.buckets_for(0) == 2 and stored.buckets_for(6 << 30) == 6 * stored.buckets_for(1 << 30) > int(spark.conf.get("spark.sql.shuffle.partitions"))
