@@ -8,8 +8,9 @@ import json
 import re
 import zlib
 from collections import Counter
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from .common import map_pieces, pieces, small_batches, tidy, tidy_group, written
 
 #: Different pages from which a text that all of them have counts as constant.
 SUPPORT = 3
-#: Nodes beyond which a wrapper isn't aligned with other shapes (that is quadratic); pages of its own shape still join it.
-LONGEST = 3000
+#: Pairs of nodes from which the longest match is sought by rows of numbers, which is only faster.
+ROWWISE = 20_000
 #: Bytes of wrappers that a task holds before it hands them on.
 HELD_BYTES = 32 << 20
 #: Tokens of the longest group that is looked for as a repetition.
@@ -136,20 +137,57 @@ def fold(nodes: list) -> list:
 
 def _as_groups(nodes: list, groups: list) -> list:
     """Single occurrences of the other stream's repeated groups become repetitions too."""
-    for g in groups:
-        want = [shape(n) for n in g]
-        out, i, shapes = [], 0, [shape(n) for n in nodes]
+    present = {shape(n) for n in nodes}
+    tried: dict[tuple, int] = {}  # the changes made when a group was last looked for
+    changes = 0
+    for want in (tuple(map(shape, g)) for g in groups):
+        if tried.get(want) == changes or not present.issuperset(want):
+            continue
+        out, i, shapes = [], 0, tuple(shape(n) for n in nodes)
         while i < len(nodes):
-            if shapes[i : i + len(want)] == want:
+            if shapes[i] == want[0] and shapes[i : i + len(want)] == want:
                 out.append(("rep", nodes[i : i + len(want)]))
                 i += len(want)
+                changes += 1
             else:
                 out.append(nodes[i])
                 i += 1
-        nodes = out
+        nodes, tried[want] = out, changes
+        present.add(f"rep({' '.join(want)})")
     return nodes
 
 
+class Matcher(SequenceMatcher):
+    """A SequenceMatcher without junk whose longest match of two long runs is found a row at a time; the matches are the same."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        super().__init__(None, a, b, autojunk=False)
+        codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+        self.x, self.y = (np.array([codes[v] for v in side], np.int64) for side in (a, b))
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        if (ahi - alo) * (bhi - blo) < ROWWISE:
+            return super().find_longest_match(alo, ahi, blo, bhi)
+        y, best = self.y[blo:bhi], (alo, blo, 0)
+        places = {}  # of each shape in y, from the left
+        before = np.zeros(len(y) + 1, np.int64)  # lengths of the matches that end in the row above
+        last = np.zeros(0, np.int64)
+        for i in range(alo, ahi):
+            at = places.get(self.x[i])
+            if at is None:
+                at = places[self.x[i]] = np.flatnonzero(y == self.x[i])
+            k = before[at] + 1
+            before[last] = 0
+            last = at + 1
+            before[last] = k
+            if len(k) and k.max() > best[2]:
+                j = int(k.argmax())
+                n = int(k[j])
+                best = (i - n + 1, blo + int(at[j]) - n + 1, n)
+        return Match(*best)
+
+
 def align(wrapper: list, page: list) -> list:
     """The wrapper made to cover a page too: text mismatches become slots, tag mismatches repetitions or optional groups."""
     page = _as_groups(page, [n[1] for n in wrapper if n[0] == "rep"])
@@ -165,7 +203,7 @@ def align(wrapper: list, page: list) -> list:
         if nodes:
             out.append(("opt", nodes))
 
-    for op, i, j, k, m in SequenceMatcher(None, [shape(n) for n in flat], [shape(n) for n in page], autojunk=False).get_opcodes():
+    for op, i, j, k, m in Matcher([shape(n) for n in flat], [shape(n) for n in page]).get_opcodes():
         if op == "equal":
             for x, y, was in zip(flat[i:j], page[k:m], back[i:j], strict=True):
                 b = blend(x, y)
@@ -387,18 +425,11 @@ def templates(shapes: dict[int, tuple[list, list]]) -> dict[int, tuple[str | Non
         groups.setdefault(own or container(nodes, 1), []).append(k)
     out = {}
     for label, keys in groups.items():
-        made: list[list] = []  # [wrapper, checksums, keys]
-        for k in keys:
-            nodes, different = shapes[k]
-            if made and len(nodes) <= LONGEST and len(made[-1][0]) <= LONGEST:
-                made[-1] = [align(made[-1][0], nodes), sorted({*made[-1][1], *different})[:SUPPORT], [*made[-1][2], k]]
-            else:
-                made.append([nodes, different, [k]])
-        for wrapper, different, own in made:
-            found = container(wrapper, len(different)) if len(different) >= SUPPORT else None
-            use = found if found and all(f"<{found}" in _labels(shapes[k][0]) for k in own) else label
-            rules = (use, *verdicts(wrapper, use, len(different)))
-            out |= dict.fromkeys(own, rules)
+        wrapper = infer([shapes[k][0] for k in keys])
+        different = sorted({x for k in keys for x in shapes[k][1]})[:SUPPORT]
+        found = container(wrapper, len(different)) if len(different) >= SUPPORT else None
+        use = found if found and all(f"<{found}" in _labels(shapes[k][0]) for k in keys) else label
+        out |= dict.fromkeys(keys, (use, *verdicts(wrapper, use, len(different))))
     return out
 
 
