@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_pieces, pieces, small_batches, text_bytes, tidy, tidy_group, written
 
 #: Latent states, and Baum-Welch passes over all training texts.
-STATES, PASSES = 5, 2
+STATES, PASSES = 5, 5
 #: Words with a symbol of their own (the most frequent); the others emit the symbol of a class.
 SYMBOLS, CLASSES = 30_000, 512
 #: Words whose counts every task holds (the most frequent); the others' counts are joined.
 HELD = 200_000
 #: Tokens of a stretch of text whose transfer matrix is computed in step with all others.
 CHUNK = 32
-#: Tokens of the sample that the starting point is found on, and passes over it.
-START_TOKENS, START_PASSES = 150_000, 25
 #: Weight, in tokens, of the words' overall shares in a state's emissions.
 PRIOR = 50.0
 #: Distinct words that a task counts before it hands them on.
@@ -189,17 +187,10 @@ def maximised(start: np.ndarray, steps: np.ndarray, counts: np.ndarray) -> Model
     return Model((start + 1) / (start + 1).sum(), (steps + 1) / (steps + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def starting_point(sequences: list[np.ndarray], n_symbols: int, states: int, seed: int = 5) -> Model:
-    """Baum-Welch from random emissions over a few texts: where the passes over all texts start."""
+def starting_point(counts: np.ndarray, states: int, seed: int = 5) -> Model:
+    """Where the passes start: the counts of all training tokens by symbol, shared out to the states at random."""
     rng = np.random.default_rng(seed)
-    if not sequences:
-        return maximised(np.ones(states), np.ones((states, states)), np.ones((n_symbols, states)))
-    texts = Texts(sequences)
-    counts = np.bincount(texts.flat, minlength=n_symbols)[:, None] * rng.gamma(2.0, 1.0, (n_symbols, states))
-    model = maximised(np.ones(states), np.ones((states, states)) + 50 * np.eye(states), counts)
-    for _ in range(START_PASSES):
-        model = maximised(*texts.expect(model)[1:])
-    return model
+    return maximised(np.ones(states), np.ones((states, states)) + 50 * np.eye(states), counts[:, None] * rng.gamma(2.0, 1.0, (len(counts), states)))
 
 
 class Lexicon:
@@ -222,6 +213,13 @@ class Lexicon:
             size[class_of(w)] -= c + 1
         self.class_log = np.log10(size + 1)  # of the denominator in a class's add-one shares
         self.all_symbols = self.end + 1 + CLASSES
+        self.counts = np.zeros(self.all_symbols)  # of all training tokens
+        self.counts[: self.n_symbols] = [c for _, c in words[: self.n_symbols]]
+        self.counts[self.end] = self.end_count
+        for k, (n, _) in classes.items():
+            self.counts[self.end + 1 + k] = n
+        for w, c in words[: self.n_symbols]:
+            self.counts[self.end + 1 + class_of(w)] -= c
 
     def encode(self, text: bytes) -> tuple[np.ndarray, float, int, float, Counter]:
         """Symbols with the end; of words that are held, the summed log10(c + 1) and number; the log10 of the classed words' shares, but for the other words' log10(c + 1); the other words."""
@@ -321,8 +319,8 @@ def language_scores(docs: DataFrame, held_out=None, text: str = "text", states:
     (not held out; by default held_out is crc32 of the id modulo 7 equal 2) give the base score,
     an add-one unigram. The score is a hidden Markov model's: states emit symbols, which are the
     SYMBOLS most frequent words, the end, and classes of all other words; a word of a class has an
-    add-one share of it by its own count. Baum-Welch starts from a bounded sample and then takes
-    PASSES passes over all training texts. The forward recursion runs over whole texts: chunks'
+    add-one share of it by its own count. Baum-Welch starts from the counts of all training tokens,
+    shared out to the states at random, and takes PASSES passes over all training texts. The forward recursion runs over whole texts: chunks'
     transfer matrices in step, then chunk by chunk, scaled.
 
     A task holds the counts of the HELD most frequent words; the remaining ones of each text are
@@ -343,16 +341,7 @@ def language_scores(docs: DataFrame, held_out=None, text: str = "text", states:
     encoded = written(_encoded(base, lexicon, text), "encoded")
 
     trained = encoded.where("not held_out")
-    sample, taken = [], 0
-    rank = F.xxhash64("rid")
-    # The least hashes that hold twice the tokens wanted, on average: only these texts are ordered and move.
-    few = rank < int(min(1.0, 2 * START_TOKENS / max(1, stat.n)) * 2.0**64 - 2.0**63) if 2 * START_TOKENS < stat.n else F.lit(True)
-    for r in trained.where(few).select(rank.alias("h"), F.slice("symbols", 1, START_TOKENS).alias("s")).orderBy("h").select("s").toLocalIterator():
-        sample.append(np.array(r.s, np.int32))
-        taken += len(r.s)
-        if taken >= START_TOKENS:
-            break
-    model = starting_point(sample, lexicon.all_symbols, states)
+    model = starting_point(lexicon.counts, states)
     for _ in range(PASSES):
         model, _like = baum_welch(trained, model)
     shared = spark.sparkContext.broadcast(model)
