@@ -22,7 +22,9 @@ SYMBOLS, CLASSES = 30_000, 512
 #: Words whose counts every task holds (the most frequent); the others' counts are joined.
 HELD = 200_000
 #: Tokens of a stretch of text whose transfer matrix is computed in step with all others.
-CHUNK = 32
+CHUNK = 128
+#: Tokens that are worked on in step, over the batches of a task (a longer text is a group by itself).
+GROUP = 1 << 19
 #: Weight, in tokens, of the words' overall shares in a state's emissions.
 PRIOR = 50.0
 #: Distinct words that a task counts before it hands them on.
@@ -33,7 +35,7 @@ END = ""  # the end of a text, counted as a token; no word is empty
 
 def class_of(word: bytes) -> int:
     """The class of a word without a symbol of its own: its last three characters, hashed."""
-    return zlib.crc32(word.decode("utf-8", "replace")[-3:].encode()) % CLASSES
+    return zlib.crc32(word[-3:] if word.isascii() else word.decode("utf-8", "replace")[-3:].encode()) % CLASSES
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,110 +75,154 @@ class Model:
 
 
 class Texts:
-    """Symbol sequences cut into chunks, which are worked on in step."""
+    """Symbol sequences cut into chunks, which are worked on in step; arrays have states first, so that each step runs along all chunks."""
 
     def __init__(self, sequences: list[np.ndarray]):
         size = np.array([len(s) for s in sequences], np.int64)
         chunks = -(-size // CHUNK)
         self.text = np.repeat(np.arange(len(size)), chunks)
         self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        self.flat = np.concatenate([*sequences, np.zeros(0, np.int32)]).astype(np.int64)
         self.size = np.minimum(size[self.text] - self.nth * CHUNK, CHUNK)
-        self.begin = np.repeat(np.cumsum(size) - size, chunks) + self.nth * CHUNK
+        begin = np.repeat(np.cumsum(size) - size, chunks) + self.nth * CHUNK
         # Full chunks first: those that still have a t-th token are then a prefix.
         order = np.argsort(-self.size, kind="stable")
-        self.text, self.nth, self.size, self.begin = self.text[order], self.nth[order], self.size[order], self.begin[order]
-        self.live = np.array([np.searchsorted(-self.size, -t, "left") for t in range(CHUNK)])  # chunks of over t tokens
-        self.first = self.nth == 0
+        self.text, self.nth, self.size, begin = self.text[order], self.nth[order], self.size[order], begin[order]
+        self.live = np.searchsorted(-self.size, -np.arange(CHUNK), "left")  # chunks of over t tokens
+        self.live = self.live[: np.count_nonzero(self.live)]
+        self.at = np.concatenate(([0], np.cumsum(self.live)))  # where the t-th tokens stand in what follows
+        flat = np.concatenate([*sequences, np.zeros(0, np.int32)])
+        self.symbols = np.concatenate([*(flat[begin[:n] + t] for t, n in enumerate(self.live)), np.zeros(0, np.int32)]).astype(np.int64)
+        self.first, self.rest = np.flatnonzero(self.nth == 0), np.flatnonzero(self.nth)
         self.n = len(sequences)
-        self.rounds = []  # the nth chunks of all texts that have so many
-        by = np.argsort(self.nth, kind="stable")
+        self.rounds = []  # the nth chunks of all texts that have so many, from the second on
+        by = self.rest[np.argsort(self.nth[self.rest], kind="stable")]
         if len(by):
             self.rounds = np.split(by, np.flatnonzero(np.diff(self.nth[by])) + 1)
 
-    def symbols(self, t: int) -> np.ndarray:
-        return self.flat[self.begin[: self.live[t]] + t]
-
-    def transfer(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Each chunk's product of (transition, emission) matrices, scaled, and the logarithm of its scale."""
-        k = len(m.start)
-        x = self.symbols(0)
-        out = np.where(self.first[:, None, None], np.eye(k), m.step) * m.scaled[x][:, None, :]
-        log = m.log_most[x]
-        for t in range(1, CHUNK):
-            n = self.live[t]
+    def emitted(self, m: Model) -> np.ndarray:
+        """The scaled emissions of all tokens, states x tokens."""
+        out = np.empty((len(m.start), len(self.symbols)))
+        for row, of_state in zip(out, m.scaled.T, strict=True):
+            np.take(np.ascontiguousarray(of_state), self.symbols, out=row, mode="clip")
+        return out
+
+    def transfer(self, m: Model, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk but the texts' first ones: the product of (transition, emission) matrices, scaled, and the logarithm of its scale (emissions' greatest left out)."""
+        k, rest = len(m.start), self.rest
+        out, log = np.repeat(m.step[:, :, None], len(rest), axis=2), np.zeros(len(rest))
+        step = np.ascontiguousarray(m.step.T)
+        for t in range(len(self.live)):
+            n = np.searchsorted(rest, self.live[t])
             if not n:
                 break
-            x = self.symbols(t)
-            out[:n] = (out[:n].reshape(-1, k) @ m.step).reshape(n, k, k) * m.scaled[x][:, None, :]
-            log[:n] += m.log_most[x]
+            now = out[:, :, :n]
+            if t:
+                now = np.matmul(step, now)
+            np.multiply(now, emitted[:, self.at[t] + rest[:n]], out=out[:, :, :n])
             if t % 8 == 7:
-                s = out[:n].max(axis=(1, 2))
-                out[:n] /= s[:, None, None]
+                s = out[:, :, :n].max(axis=(0, 1))
+                out[:, :, :n] /= s
                 log[:n] += np.log(s)
         return out, log
 
-    def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The texts' natural log likelihoods by the scaled forward recursion over chunks; the state before each chunk; the matrices."""
-        matrix, log = self.transfer(m)
-        before = np.empty((len(self.text), len(m.start)))
-        v, like = np.tile(m.start, (self.n, 1)), np.zeros(self.n)
+    def states(self, m: Model, emitted: np.ndarray, before: np.ndarray, chunks: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """The scaled forward recursion inside some chunks (indices, ascending) from the states `before` their first token, with its transition: all states, if they are to be kept (of all chunks), the last ones, and the logarithms of the scales."""
+        step = np.ascontiguousarray(m.step.T)
+        whole = len(chunks) == len(self.text)
+        alpha = np.empty_like(emitted) if keep else None
+        last, log = before.copy(), np.zeros(len(chunks))
+        for t in range(len(self.live)):
+            n = self.live[t] if whole else np.searchsorted(chunks, self.live[t])
+            if not n:
+                break
+            b = emitted[:, self.at[t] : self.at[t] + n] if whole else emitted[:, self.at[t] + chunks[:n]]
+            now = alpha[:, self.at[t] : self.at[t] + n] if keep else last[:, :n]
+            np.multiply(step @ last[:, :n] if t else last[:, :n], b, out=now)
+            if t % 8 == 7:
+                s = now.sum(axis=0)
+                now /= s
+                log[:n] += np.log(s)
+            if keep:
+                last = now
+        return alpha, last, log
+
+    def _scales(self, m: Model) -> np.ndarray:
+        """The logarithms of the emissions' greatest, summed for each text."""
+        out = np.zeros(self.n)
+        most = m.log_most[self.symbols]
+        for t, n in enumerate(self.live):
+            out += np.bincount(self.text[:n], most[self.at[t] : self.at[t + 1]], minlength=self.n)
+        return out
+
+    def _chunks(self, m: Model, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' natural log likelihoods; the state before each chunk's first token (with its transition, a first chunk's start); the matrices of all chunks but the first."""
+        k = len(m.start)
+        matrix, log = self.transfer(m, emitted)
+        before = np.empty((k, len(self.text)))
+        before[:, self.first] = m.start[:, None]
+        _, last, scale = self.states(m, emitted, before[:, self.first], self.first, False)
+        v, like = np.empty((k, self.n)), self._scales(m)
+        texts = self.text[self.first]
+        s = last.sum(axis=0)
+        v[:, texts] = last / s
+        like[texts] += np.log(s) + scale
+        place = np.empty(len(self.text), np.int64)
+        place[self.rest] = np.arange(len(self.rest))
+        self.place = place
         for some in self.rounds:
             t = self.text[some]
-            before[some] = v[t]
-            now = np.einsum("nk,nkj->nj", v[t], matrix[some])
-            s = now.sum(axis=1)
-            v[t] = now / s[:, None]
-            like[t] += np.log(s) + log[some]
+            before[:, some] = v[:, t]
+            now = np.einsum("kn,kjn->jn", v[:, t], matrix[:, :, place[some]])
+            s = now.sum(axis=0)
+            v[:, t] = now / s
+            like[t] += np.log(s) + log[place[some]]
         return like, before, matrix
 
+    def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' natural log likelihoods by the scaled forward recursion over chunks; the state before each chunk; the matrices."""
+        return self._chunks(m, self.emitted(m))
+
     def expect(self, m: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Log likelihood, and expected counts of starts, transitions and emissions."""
         k = len(m.start)
-        like, before, matrix = self.forward(m)
-        after = np.ones((len(self.text), k))
-        u = np.ones((self.n, k))
+        emitted = self.emitted(m)
+        like, before, matrix = self._chunks(m, emitted)
+        after = np.ones((k, len(self.text)))
+        u = np.ones((k, self.n))
         for some in reversed(self.rounds):
             t = self.text[some]
-            after[some] = u[t]
-            now = np.einsum("nkj,nj->nk", matrix[some], u[t])
-            u[t] = now / now.sum(axis=1, keepdims=True)
-        alpha, emitted = [], []
-        for t in range(CHUNK):
-            n = self.live[t]
-            b = m.scaled[self.symbols(t)]
-            if t == 0:
-                a = np.where(self.first[:, None], before, before @ m.step) * b
-            else:
-                a = (alpha[-1][:n] @ m.step) * b
-            alpha.append(a / np.maximum(a.sum(axis=1, keepdims=True), 1e-300))
-            emitted.append(b)
-        start, steps = np.zeros(k), np.zeros((k, k))
-        counts = np.zeros_like(m.emit)
-        beta = after
-        gammas, symbols = [], []
-        for t in range(CHUNK - 1, -1, -1):
-            n = self.live[t]
-            g = alpha[t] * beta[:n]
-            g /= np.maximum(g.sum(axis=1, keepdims=True), 1e-300)
-            gammas.append(g)
-            symbols.append(self.symbols(t))
-            w = emitted[t] * beta[:n]
-            if t:
-                prev = alpha[t - 1][:n]
-            else:
-                start += g[self.first].sum(axis=0)
-                prev, w = before[~self.first], w[~self.first]
-            if len(prev):
-                total = np.einsum("nk,nk->n", prev @ m.step, w)
-                steps += ((prev / np.maximum(total, 1e-300)[:, None]).T @ w) * m.step
-            if t:
-                back = w @ m.step.T
-                beta[:n] = back / np.maximum(back.sum(axis=1, keepdims=True), 1e-300)
-        x, g = np.concatenate(symbols), np.concatenate(gammas)
+            after[:, some] = u[:, t]
+            now = np.einsum("kjn,jn->kn", matrix[:, :, self.place[some]], u[:, t])
+            u[:, t] = now / now.sum(axis=0)
+        after[:, self.first] = u[:, self.text[self.first]]
+        entry = before.copy()
+        entry[:, self.rest] = m.step.T @ before[:, self.rest]
+        alpha = self.states(m, emitted, entry, np.arange(len(self.text)), True)[0]
+        # Backward: alpha becomes the states' probabilities. A token's beta times its alpha sums to what divides both them and the transition to the next token.
+        step, steps = np.ascontiguousarray(m.step), np.zeros((k, k))
+        beta, done = after, 0  # the chunks whose last token has been passed are a prefix
+        for t in range(len(self.live) - 1, -1, -1):
+            n, a = self.live[t], alpha[:, self.at[t] : self.at[t + 1]]
+            if done:
+                w = emitted[:, self.at[t + 1] : self.at[t + 2]] * beta[:, :done]
+                beta[:, :done] = step @ w
+            total = np.einsum("kn,kn->n", a, beta[:, :n])
+            a /= total
+            if done:
+                steps += a[:, :done] @ w.T
+            a *= beta[:, :n]
+            if t % 8 == 0:
+                beta[:, :n] /= beta[:, :n].sum(axis=0)
+            done = n
+        if len(self.rest):
+            w = emitted[:, self.rest] * beta[:, self.rest]
+            prev = before[:, self.rest]
+            steps += (prev / np.einsum("kn,kn->n", prev, step @ w)) @ w.T
+        start = alpha[:, self.first].sum(axis=1)
+        counts = np.empty_like(m.emit)
         for j in range(k):
-            counts[:, j] = np.bincount(x, g[:, j], minlength=len(counts))
-        return float(like.sum()), start, steps, counts
+            counts[:, j] = np.bincount(self.symbols, alpha[j], minlength=len(counts))
+        return float(like.sum()), start, steps * m.step, counts
 
 
 def maximised(start: np.ndarray, steps: np.ndarray, counts: np.ndarray) -> Model:
@@ -229,10 +275,10 @@ class Lexicon:
         out = np.empty(len(words) + 1, np.int32)
         out[-1] = self.end
         out[:-1][known] = self.symbol[at[known]]
-        rest: Counter = Counter()
-        for i in np.flatnonzero(~known).tolist():
-            rest[words[i]] += 1
-            out[i] = self.end + 1 + class_of(words[i])
+        others = np.flatnonzero(~known)
+        unheld = [words[i] for i in others.tolist()]
+        out[others] = np.fromiter(map(class_of, unheld), np.int32, len(unheld)) + (self.end + 1)
+        rest = Counter(unheld)
         logs = float(self.log[at[known]].sum()) + math.log10(self.end_count + 1)
         classed = out > self.end
         share = float(self.log[at[known & classed[:-1]]].sum() - self.class_log[out[classed] - self.end - 1].sum())
@@ -242,6 +288,10 @@ class Lexicon:
 ENCODED = "rid long, doc_id long, held_out boolean, symbols array<int>, logs double, n_known long, class_logs double, words array<string>, ns array<int>"
 
 
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+
+
 def _encoded(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -250,10 +300,12 @@ def _encoded(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, text):
                 found = [shared.value.encode(t) for t in text_bytes(piece.column(text))]
+                symbols, others = _offsets([len(f[0]) for f in found]), _offsets([len(f[4]) for f in found])
+                words, ns = pa.array([w for f in found for w in f[4]], pa.binary()).cast(pa.string()), pa.array([n for f in found for n in f[4].values()], pa.int32())
                 cols = [
-                    pa.array(range(nth, nth + len(found)), pa.int64()), piece.column("doc_id"), piece.column("held_out"), pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                    pa.array(range(nth, nth + len(found)), pa.int64()), piece.column("doc_id"), piece.column("held_out"), pa.ListArray.from_arrays(symbols, pa.array(np.concatenate([f[0] for f in found]))),
                     pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.float64()),
-                    pa.array([list(f[4]) for f in found], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([list(f[4].values()) for f in found], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(others, words), pa.ListArray.from_arrays(others, ns),
                 ]
                 nth += len(found)
                 yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "held_out", "symbols", "logs", "n_known", "class_logs", "words", "ns"])
@@ -268,7 +320,20 @@ def _sequences(col) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(off, off[1:], strict=False)]
 
 
-def _groups(sequences: list[np.ndarray], tokens: int = 1 << 17):
+def _gathered(batches):
+    """Batches joined to tables of about GROUP symbols at least, so that many texts are worked on in step."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("symbols").flatten())
+        if n >= GROUP:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(sequences: list[np.ndarray], tokens: int = GROUP):
     """Runs of sequences of about so many tokens."""
     start, held = 0, 0
     for i, s in enumerate(sequences):
@@ -288,8 +353,8 @@ def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
     def run(batches):
         m = shared.value
         start, steps, counts, like = np.zeros_like(m.start), np.zeros_like(m.step), np.zeros_like(m.emit), 0.0
-        for batch in batches:
-            seqs = _sequences(batch.column("symbols"))
+        for table in _gathered(batches):
+            seqs = _sequences(table.column("symbols"))
             for a, b in _groups(seqs):
                 found = Texts(seqs[a:b]).expect(m)
                 like += found[0]
@@ -347,10 +412,11 @@ def language_scores(docs: DataFrame, held_out=None, text: str = "text", states:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            seqs = _sequences(batch.column("symbols"))
+        for table in _gathered(batches):
+            seqs = _sequences(table.column("symbols"))
             like = [Texts(seqs[a:b]).forward(shared.value)[0] for a, b in _groups(seqs)]
-            cols = [*(batch.column(c) for c in ("rid", "doc_id", "held_out")), pa.array([len(s) for s in seqs], pa.int64()), *(batch.column(c) for c in ("logs", "n_known", "class_logs")), pa.array(np.concatenate([*like, np.zeros(0)]) / math.log(10))]
+            held = {c: table.column(c).combine_chunks() for c in ("rid", "doc_id", "held_out", "logs", "n_known", "class_logs")}
+            cols = [*(held[c] for c in ("rid", "doc_id", "held_out")), pa.array([len(s) for s in seqs], pa.int64()), *(held[c] for c in ("logs", "n_known", "class_logs")), pa.array(np.concatenate([*like, np.zeros(0)]) / math.log(10))]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "held_out", "n_tokens", "logs", "n_known", "class_logs", "hidden"])
 
     scored = encoded.select("rid", "doc_id", "held_out", "symbols", "logs", "n_known", "class_logs").mapInArrow(tidy(run), "rid long, doc_id long, held_out boolean, n_tokens long, logs double, n_known long, class_logs double, hidden double")
