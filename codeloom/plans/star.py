@@ -68,6 +68,18 @@ EDGES = (
 )
 #: The same without ids, which follow from the other columns.
 ENDS = f"SELECT source_id, target_id, 'CALLS' AS edge_type, confidence, line FROM ({CALLS}) calls UNION ALL SELECT source_id, target_id, edge_type, confidence, 0 FROM ({STRUCTURE}) structure"
+#: ENDS before rows are merged: those of a kind above 0 are one edge if they differ in confidence alone (the greatest), those of kind 0 are an edge each.
+UNMERGED = f"""
+SELECT source_id, target_id, 'CALLS' AS edge_type, confidence, line, kind FROM (
+  SELECT concat('m:o', o_orderkey) AS source_id, concat('fn:c', o_custkey) AS target_id, CAST(0.95E0 AS DOUBLE) AS confidence, 0 AS line, 0 AS kind FROM {{orders}}
+  UNION ALL
+  SELECT concat('m:o', l_orderkey), concat('fn:p', l_partkey), CAST(CASE l_returnflag WHEN 'N' THEN 0.95E0 WHEN 'R' THEN 0.9E0 ELSE 0.5E0 END AS DOUBLE), l_linenumber, 1 FROM {{lineitem}}
+  UNION ALL
+  SELECT concat('fn:s', l_suppkey), concat('fn:p', l_partkey), CAST(0.9E0 AS DOUBLE), 0, 2 FROM {{lineitem}}
+) calls
+UNION ALL
+SELECT source_id, target_id, edge_type, confidence, 0, 0 FROM ({STRUCTURE}) structure
+"""
 EDGE_ID = f"CASE edge_type WHEN 'CALLS' THEN {CALL_ID} ELSE {PLAIN_ID} END"
 
 #: Users as nodes of one day; an edge leads to the next event of the same kind on that day.
@@ -86,6 +98,13 @@ SELECT o_orderkey AS commit_idx, concat('a', o_custkey) AS author, o_orderdate A
 """
 
 
+def merged(ends: DataFrame) -> DataFrame:
+    """ENDS of UNMERGED. Rows that lie by source or target are merged where they are."""
+    rows = ends.groupBy("source_id", "target_id", "edge_type", "line", "kind").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(1, CASE kind WHEN 0 THEN n ELSE 1 END)")))
+    return rows.select("source_id", "target_id", "edge_type", "confidence", "line")
+
+
 def tables_of(sql: str) -> list[str]:
     return sorted({name for _, name, _, _ in string.Formatter().parse(sql) if name})
 
@@ -104,7 +123,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     known, size = fingerprint(spark, paths)
     key = (spark.sparkContext.applicationId, known)
     if key not in _stored:
-        _stored[key] = StoredGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, ENDS), F.expr(EDGE_ID), buckets_for(size))
+        _stored[key] = StoredGraph(bound(spark, sf_dir, NODES), bound(spark, sf_dir, UNMERGED), F.expr(EDGE_ID), buckets_for(size), merged)
     return _stored[key]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from codeloom.graph import PropertyGraph
@@ -30,8 +32,8 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     return said.hexdigest(), total
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None, **more: Column) -> str:
-    """The name of a table with df's rows in the shared folder: in `buckets` by the key's hash, sorted by it, and in a folder for each value of `parts`. The columns of `more` are computed once the rows are there.
+def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """The name of a table with df's rows in the shared folder: in `buckets` by the key's hash, sorted by it, and in a folder for each value of `parts`. settle maps the rows once they are there, and moves none.
 
     A lookup by key reads one bucket, and in it the row groups whose range holds the key; a join on
     it needs no shuffle of the table.
@@ -39,7 +41,8 @@ def bucketed(df: DataFrame, key: str, buckets: int, parts: str | None = None, **
     spark = df.sparkSession
     name = f"codeloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    rows = df.repartition(buckets, key).withColumns(more)
+    rows = df.repartition(buckets, key)
+    rows = settle(rows) if settle else rows
     writer = rows.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd")
     (writer.partitionBy(parts) if parts else writer).saveAsTable(name)
     delete_at_end(spark, path)
@@ -54,13 +57,13 @@ def buckets_for(input_bytes: int) -> int:
 class StoredGraph(PropertyGraph):
     """A graph whose tables are written when first asked for: nodes by id, edges by source and, if asked for so, a second time by target; edges lie apart by type, which most questions name.
 
-    ends are the edges without the id, which edge_id computes from the other columns; so it isn't
-    moved. The second table of edges is made from the first.
+    ends are the edges without the id, which edge_id computes from the other columns when it is read,
+    as it would be most of a table's bytes. settle makes edges of them once they lie by their key, so
+    that what it merges isn't moved twice. The second table of edges is made from the first.
     """
 
-    def __init__(self, nodes: DataFrame, ends: DataFrame, edge_id: Column, buckets: int):
-        self._given, self._ends, self._id, self._buckets = nodes, ends, edge_id, buckets
-        self._columns = ["id", *ends.columns]
+    def __init__(self, nodes: DataFrame, ends: DataFrame, edge_id: Column, buckets: int, settle: Callable[[DataFrame], DataFrame] | None = None):
+        self._given, self._ends, self._id, self._buckets, self._settle = nodes, ends, edge_id, buckets, settle
         self._names: dict[str, str] = {}
 
     @property
@@ -71,11 +74,11 @@ class StoredGraph(PropertyGraph):
 
     def _edges_by(self, key: str) -> DataFrame:
         spark = self._ends.sparkSession
+        columns = (self._settle(self._ends) if self._settle else self._ends).columns
         if key not in self._names:
             other = next((spark.table(n) for k, n in self._names.items() if k != "id"), None)
-            ends = self._ends if other is None else other.select(self._ends.columns)
-            self._names[key] = bucketed(ends, key, self._buckets, "edge_type", id=self._id)
-        return spark.table(self._names[key]).select(self._columns)
+            self._names[key] = bucketed(self._ends, key, self._buckets, "edge_type", self._settle) if other is None else bucketed(other.select(columns), key, self._buckets, "edge_type")
+        return spark.table(self._names[key]).select(self._id.alias("id"), *columns)
 
     @property
     def edges(self) -> DataFrame:
