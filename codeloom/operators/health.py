@@ -214,7 +214,7 @@ def safe_to_modify(g: PropertyGraph) -> DataFrame:
     nodes = g.nodes.select("id", "label", "file_path")
     files = nodes.groupBy("file_path").agg(F.count_if(F.col("label").isin("Function", "Method", "Class")).alias("node_count"))
     edges = g.edges.where(F.col("edge_type").isin("CALLS", "IMPORTS")).select("source_id", "target_id", "edge_type")
-    ends = edges.join(nodes.toDF("target_id", "label", "file_path"), "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id")
+    ends = edges.join(nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id").join(nodes.toDF("target_id", "label", "file_path"), "target_id")  # by source first, as edges lie by it
     counted = (F.col("edge_type") == "CALLS") & F.col("label").isin("Function", "Method", "Class") & (F.col("from_file") != F.col("file_path"))
     into = ends.groupBy("file_path").agg(F.count_if(counted).alias("incoming"), F.countDistinct(F.when(counted, F.col("from_file"))).alias("dependent_files"), F.max(is_test_file("from_file")).alias("has_tests"))
     out = files.join(into, "file_path", "left").fillna(0, ["incoming", "dependent_files"]).fillna(False, ["has_tests"])
@@ -230,7 +230,7 @@ def dependents(g: PropertyGraph, any_node: bool = False) -> DataFrame:
     kinds = ("CALLS", "IMPORTS") if any_node else ("CALLS",)
     into = g.nodes if any_node else g.nodes.where(F.col("label").isin("Function", "Method", "Class"))
     edges = g.edges.where(F.col("edge_type").isin(*kinds)).select("source_id", "target_id")
-    ends = edges.join(into.select(F.col("id").alias("target_id"), "file_path"), "target_id").join(g.nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id")
+    ends = edges.join(g.nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id").join(into.select(F.col("id").alias("target_id"), "file_path"), "target_id")
     out = ends.where("from_file <> file_path").groupBy("file_path").agg(F.count("*").alias("incoming"), F.countDistinct("from_file").alias("dependent_files"), F.max(is_test_file("from_file")).alias("has_tests"))
     n = F.col("incoming")
     return out.withColumn("risk", ladder("LOW", (n > 20, "CRITICAL"), (n > 10, "HIGH"), (n > 3, "MEDIUM")))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import health
 from codeloom.plans import fixpoint, star, stored
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,15 @@ def test_only_calls_of_one_line_are_merged(spark):
     assert sorted(map(tuple, star.merged(ends).collect()), key=str) == want
     g = stored.StoredGraph(ends, ends, F.expr(star.EDGE_ID), 2, star.merged)
     assert sorted((tuple(r)[1:] for r in g.by_target.collect()), key=str) == want == sorted((tuple(r)[1:] for r in g.edges.collect()), key=str)
+
+
+def test_ends_of_edges_are_looked_up_with_one_move(spark):
+    g = star.star_graph(spark, SF)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (health.safe_to_modify(g), health.dependents(g)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning(target_id" in plan and "Exchange hashpartitioning(source_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
