@@ -93,8 +93,9 @@ class _Side:
         self.g, self.rounds, self.seen, self.size = g, [first], first.select("id"), 1
 
     def grow(self) -> None:
-        way = stepped(self.g, self.rounds[-1].select("id")).join(self.seen, "id", "left_anti")
-        new = cut(way.groupBy("id").agg(F.min(F.struct(F.col("at").alias("parent"), "edge", "edge_type")).alias("x")).select("id", "x.*"))
+        """What was met before goes after the step, by an outer join: Spark would put an anti join before it, and move all edges for that."""
+        way = stepped(self.g, self.rounds[-1].select("id")).groupBy("id").agg(F.min(F.struct(F.col("at").alias("parent"), "edge", "edge_type")).alias("x"))
+        new = cut(way.join(self.seen.withColumn("met", F.lit(True)), "id", "left").where("met IS NULL").select("id", "x.*"))
         self.rounds.append(new)
         self.seen, self.size = self.seen.unionByName(new.select("id")), new.count()
 
