@@ -92,6 +92,16 @@ def moves(round_number: int) -> Column:
     return F.substring(F.md5(F.concat("id", F.lit(f"/{round_number}"))), 1, 1) < "8"
 
 
+#: Links that may go to all tasks at once in a round of label propagation, and those that a bucket has.
+SENT, BUCKET_LINKS = 500_000, 1_000_000
+
+
+def _top(votes: DataFrame, state: DataFrame) -> DataFrame:
+    """n and best of votes(n, label, v): the label of most votes, of equals the node's own, else the greatest."""
+    best = F.max(F.struct("v", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("x")
+    return votes.join(state.select("n", F.col("label").alias("own")), "n").groupBy("n").agg(best).select("n", F.col("x.label").alias("best"))
+
+
 def propagated_labels(edges: DataFrame, rounds: int = 40, weight: str | None = None) -> DataFrame:
     """id and label of each end of edges(source_id, target_id), direction aside, by label propagation.
 
@@ -101,20 +111,52 @@ def propagated_labels(edges: DataFrame, rounds: int = 40, weight: str | None = N
     labels for ever, only half of the nodes, by a hash of id and round, change in a round. It ends
     when no node would change, or after the given rounds. Loops and null ends are left out.
 
-    Only (id, label) moves between rounds; the edges are written once.
+    Ids are numbered in their order, and links are kept by one end, written once. A node's best
+    label is kept, too, and found anew only if it or a neighbour has changed: after a few rounds
+    these are few, and only their links go to the labels.
     """
+    from codeloom.plans.stored import bucketed
+
+    spark = edges.sparkSession
     a, b = F.col("source_id"), F.col("target_id")
     votes = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     pairs = edges.where("source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), votes.alias("w"))
-    pairs = pairs.groupBy("a", "b").agg((F.max if weight is None else F.sum)("w").alias("w"))
-    both = cut(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "w"))).alias("x")).select("x.*"))
-    labels = cut(both.select("id").distinct().withColumn("label", F.col("id")))
+    pairs = cut(pairs.groupBy("a", "b").agg((F.max if weight is None else F.sum)("w").alias("w")))
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    names = cut(degrees.orderBy("id").withColumn("n", F.monotonically_increasing_id()))
+    everyone = names.count()
+    for end in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("id").alias(end), F.struct("n", "d").alias(f"at_{end}")).hint("merge"), end).drop(end)
+    links = pairs.select(F.explode(F.array(F.struct("at_a", "at_b", "w"), F.struct(F.col("at_b").alias("at_a"), F.col("at_a").alias("at_b"), "w"))).alias("x")).select("x.at_a.n", F.col("x.at_b.n").alias("other"), F.col("x.at_b.d").alias("d"), "x.w")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-everyone // BUCKET_LINKS))
+    links = spark.table(bucketed(links, "n", buckets))
+
+    def anew(state: DataFrame) -> DataFrame:
+        """All nodes with their best labels: links meet the labels where they lie, and votes are moved once."""
+        cast = links.join(state.select("n", "label").hint("merge"), "n").select(F.col("other").alias("n"), "label", "w")
+        return state.drop("best").join(_top(cast.repartition(buckets, "n").groupBy("n", "label").agg(F.sum("w").alias("v")), state.hint("merge")).hint("merge"), "n")
+
+    def mended(state: DataFrame, touched: DataFrame, way: str) -> DataFrame:
+        """The same where only those touched can have another best label than before."""
+        near = links.join(touched.select("n").hint(way), "n").select(F.col("n").alias("to"), F.col("other").alias("n"), "w")
+        cast = state.select("n", "label").join(near.hint(way), "n").groupBy(F.col("to").alias("n"), "label").agg(F.sum("w").alias("v"))
+        found = _top(cast.hint(way), state).withColumnRenamed("best", "found")
+        return state.join(found.hint(way), "n", "left").withColumn("best", F.coalesce("found", "best")).drop("found")
+
+    columns = ["n", "id", "d", "label", "best"]
+    state = cut(anew(names.withColumn("label", F.col("n")).withColumn("best", F.col("n"))).select(columns))
+    way = "merge"  # of a round's changes to what they meet
     for k in range(1, rounds + 1):
-        cast = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("n"))
-        own = labels.select("id", F.col("label").alias("own"))
-        best = cast.join(own, "id").groupBy("id", "own").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("kept"), "label")).alias("x"))
-        new = cut(best.select("id", F.when(moves(k), F.col("x.label")).otherwise(F.col("own")).alias("label"), (F.col("x.label") != F.col("own")).alias("would")))
-        labels = new.select("id", "label")
-        if new.where("would").isEmpty():
+        go = (F.col("best") != F.col("label")) & moves(k)
+        movers = state.where(go)
+        touched = cut(links.join(movers.select("n").hint(way), "n").select(F.col("other").alias("n"), "d").unionByName(movers.select("n", "d")).distinct())
+        count, near = touched.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).head()
+        way = "broadcast" if near <= SENT else "merge"
+        if count:
+            now = state.withColumn("label", F.when(go, F.col("best")).otherwise(F.col("label")))
+            last = k == rounds  # nothing asks for the best labels then
+            state = cut((now if last else anew(now) if 2 * count > everyone else mended(now, touched, way)).select(columns))
+        elif state.where("best <> label").isEmpty():
             break
-    return labels
+    labels = names.select(F.col("n").alias("label"), F.col("id").alias("name"))
+    return state.select("id", "label").join(labels, "label").select("id", F.col("name").alias("label"))
